@@ -287,3 +287,144 @@ def q_missingness(spark, sf_dir):
 def q_bbox(spark, sf_dir):
     return dashboards.bbox(processed(spark, sf_dir))
 FLAGSHIP = "top_risk_corridors"
+
+
+# ---------------------------------------------------------------- C: spatial
+from roadpulse.operators import spatial  # noqa: E402
+from roadpulse.operators.knn import knn_join  # noqa: E402
+from roadpulse.plans.oracle import CONTEXT_SQL, KNN5_SQL, SIMILAR_SQL, hav_sql  # noqa: E402
+
+
+def requests_df(spark, sf_dir) -> DataFrame:
+    return FX.fixture(spark, sf_dir, "requests")
+
+
+def register_df(spark, sf_dir) -> DataFrame:
+    return FX.fixture(spark, sf_dir, "register")
+
+
+@register("haversine_km", processed_ctes() + f"""SELECT id,
+  round({hav_sql('12.9716e0', '77.5946e0', 'latitude', 'longitude')}, 6) AS distance_km FROM processed""")
+def q_haversine(spark, sf_dir):
+    """Distance of every incident from the city centre."""
+    p = processed(spark, sf_dir)
+    return p.select("id", F.round(G.haversine_km(F.lit(12.9716), F.lit(77.5946), "latitude", "longitude"), 6)
+                    .alias("distance_km"))
+
+
+@register("grid_knn", processed_ctes("requests", extra={"knn5": KNN5_SQL}) +
+          """SELECT request_id, hid, round(distance_km, 6) AS distance_km,
+  CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance_km, hid) AS INT) AS nn_rank FROM knn5""")
+def q_grid_knn(spark, sf_dir):
+    """Five nearest history incidents of every request (grid join)."""
+    hist = processed(spark, sf_dir).select(F.col("id").alias("hid"), "latitude", "longitude")
+    nn = knn_join(requests_df(spark, sf_dir).select("request_id", "lat", "lon"), hist, 5, right_id="hid")
+    return nn.select("request_id", "hid", F.round("distance_km", 6).alias("distance_km"),
+                     F.col("nn_rank").cast("int").alias("nn_rank"))
+
+
+@register("nearest_context", processed_ctes("requests", extra={"knn5": KNN5_SQL}) +
+          f"SELECT request_id, corridor, police_station, zone, is_corridor, round(nearest_distance_km, 6) "
+          f"AS nearest_distance_km, n_neighbors_used FROM ({CONTEXT_SQL}) c")
+def q_nearest_context(spark, sf_dir):
+    ctx = spatial.nearest_context(requests_df(spark, sf_dir), processed(spark, sf_dir))
+    return ctx.withColumn("nearest_distance_km", F.round("nearest_distance_km", 6))
+
+
+@register("similar_incidents", processed_ctes("requests", extra={"sim8": SIMILAR_SQL}) +
+          """SELECT request_id, hid, event_cause, corridor, round(duration_min, 6) AS duration_min, duration_valid,
+  requires_road_closure, start_ts, round(distance_km, 6) AS distance_km,
+  CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance_km, hid) AS INT) AS nn_rank
+FROM sim8 WHERE distance_km <= 5e0""")
+def q_similar(spark, sf_dir):
+    s = spatial.similar_incidents(requests_df(spark, sf_dir), processed(spark, sf_dir))
+    return s.select("request_id", "hid", "event_cause", "corridor", F.round("duration_min", 6).alias("duration_min"),
+                    "duration_valid", "requires_road_closure", "start_ts",
+                    F.round("distance_km", 6).alias("distance_km"), F.col("nn_rank").cast("int").alias("nn_rank"))
+
+
+@register("corridor_centroids", processed_ctes() + """SELECT corridor, avg(latitude) AS latitude,
+  avg(longitude) AS longitude FROM processed WHERE corridor <> 'Non-corridor' GROUP BY corridor""")
+def q_centroids(spark, sf_dir):
+    return spatial.corridor_centroids(processed(spark, sf_dir))
+
+
+NEAREST_CORRIDORS_SQL = f"""SELECT request_id, CAST(route_rank AS INT) AS route_rank, corridor, latitude, longitude,
+  round(distance_km, 6) AS distance_km FROM (
+  SELECT r.request_id, c.corridor, c.latitude, c.longitude,
+    {hav_sql('r.lat', 'r.lon', 'c.latitude', 'c.longitude')} AS distance_km,
+    row_number() OVER (PARTITION BY r.request_id ORDER BY
+      {hav_sql('r.lat', 'r.lon', 'c.latitude', 'c.longitude')}, c.corridor) AS route_rank
+  FROM requests r JOIN ctx ON ctx.request_id = r.request_id
+  JOIN (SELECT corridor, avg(latitude) AS latitude, avg(longitude) AS longitude FROM processed
+        WHERE corridor <> 'Non-corridor' GROUP BY corridor) c
+    ON ctx.corridor IS NULL OR ctx.corridor = '' OR c.corridor <> ctx.corridor) t WHERE route_rank <= 3"""
+
+
+@register("nearest_corridors", processed_ctes("requests", extra={"knn5": KNN5_SQL, "ctx": CONTEXT_SQL}) +
+          NEAREST_CORRIDORS_SQL)
+def q_nearest_corridors(spark, sf_dir):
+    """Three nearest corridors other than the request's own (context) one."""
+    hist = processed(spark, sf_dir)
+    req = requests_df(spark, sf_dir)
+    ctx = spatial.nearest_context(req, hist).select("request_id", F.col("corridor").alias("ctx_corridor"))
+    out = spatial.nearest_corridors(req.join(ctx, "request_id"), hist, exclude_col="ctx_corridor")
+    return out.select("request_id", F.col("route_rank").cast("int").alias("route_rank"), "corridor",
+                      "latitude", "longitude", F.round("distance_km", 6).alias("distance_km"))
+
+
+DEPLOY_SQL = """WITH base AS (SELECT id AS request_id, lat, lon, greatest(barricades, 0) AS nb, greatest(personnel, 0) AS np
+  FROM register),
+bar AS (SELECT request_id, 'barricade' AS kind, i AS idx, 360e0 / nb * i AS bearing, lat, lon FROM base,
+  generate_series(0, nb - 1) g(i) WHERE nb > 0),
+offb AS (SELECT request_id, 'officer' AS kind, i AS idx, 360e0 / nb * i AS bearing, lat, lon FROM base,
+  generate_series(0, least(np, nb) - 1) g(i) WHERE least(np, nb) > 0),
+rest AS (SELECT request_id, 'officer' AS kind, least(np, nb) + i AS idx,
+  CASE WHEN np - least(np, nb) > 1 THEN 360e0 / (np - least(np, nb)) * i ELSE 0e0 END AS bearing, lat, lon, 1 AS ring
+  FROM base, generate_series(0, np - least(np, nb) - 1) g(i) WHERE np - least(np, nb) > 0),
+pts AS (SELECT request_id, kind, idx, bearing, lat, lon, 130e0 AS m FROM bar
+  UNION ALL SELECT request_id, kind, idx, bearing, lat, lon, 130e0 FROM offb
+  UNION ALL SELECT request_id, kind, idx, bearing, lat, lon, 28e0 FROM rest)
+SELECT request_id, kind, CAST(idx AS INT) AS idx, round(bearing, 6) AS bearing,
+  round(lat + m * cos(radians(bearing)) / 111320e0, 9) AS lat,
+  round(lon + m * sin(radians(bearing)) / (111320e0 * cos(radians(lat))), 9) AS lon FROM pts"""
+
+
+@register("deployment_points", with_ctes(["register"]) + DEPLOY_SQL.replace("WITH base", ", base", 1)
+          .replace(", base", "base", 0))
+def q_deployment(spark, sf_dir):
+    """C10 + C12: ring placement of the register's barricades and officers."""
+    reg = register_df(spark, sf_dir).select(F.col("id").alias("request_id"), "lat", "lon",
+                                            F.col("barricades").alias("barricade_points"), "personnel")
+    pts = spatial.deployment_points(reg)
+    return pts.select("request_id", "kind", F.col("idx").cast("int").alias("idx"), F.round("bearing", 6).alias("bearing"),
+                      F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@register("offset_bearing_roundtrip", processed_ctes() + """SELECT id, b AS bearing_in,
+  round((degrees(atan2(sin(radians(lon2 - longitude)) * cos(radians(lat2)),
+    cos(radians(latitude)) * sin(radians(lat2)) - sin(radians(latitude)) * cos(radians(lat2)) * cos(radians(lon2 - longitude))))
+    + 360e0) % 360e0, 3) AS bearing_back
+FROM (SELECT id, latitude, longitude, b,
+  latitude + 200e0 * cos(radians(b)) / 111320e0 AS lat2,
+  longitude + 200e0 * sin(radians(b)) / (111320e0 * cos(radians(latitude))) AS lon2
+  FROM (SELECT id, latitude, longitude, CAST(CAST(substr(id, 4) AS BIGINT) % 8 * 45 AS DOUBLE) AS b FROM processed) s) t""")
+def q_offset_bearing(spark, sf_dir):
+    """C10 + C11: move every incident 200 m along one of 8 bearings and
+    measure the bearing back (round trip, 3 decimals)."""
+    p = processed(spark, sf_dir).select("id", "latitude", "longitude",
+                                        (F.substring("id", 4, 20).cast("long") % 8 * 45).cast("double").alias("b"))
+    lat2, lon2 = G.offset_point("latitude", "longitude", F.lit(200.0), "b")
+    p = p.select("id", "latitude", "longitude", "b", lat2.alias("lat2"), lon2.alias("lon2"))
+    back = G.bearing_between("latitude", "longitude", "lat2", "lon2")
+    return p.select("id", F.col("b").alias("bearing_in"), F.round(back, 3).alias("bearing_back"))
+
+
+@register("detect_conflicts", with_ctes(["register"]) + f"""SELECT a.id AS id_a, b.id AS id_b,
+  round({hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 1000, 6) AS distance_m,
+  a.personnel + b.personnel AS combined_personnel
+FROM register a JOIN register b ON a.id < b.id
+WHERE a.status = 'active' AND b.status = 'active' AND {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 1000 < 500e0""")
+def q_conflicts(spark, sf_dir):
+    c = spatial.detect_conflicts(register_df(spark, sf_dir))
+    return c.withColumn("distance_m", F.round("distance_m", 6))

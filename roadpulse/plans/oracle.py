@@ -78,3 +78,46 @@ def processed_ctes(*more_fixtures, extra: dict[str, str] | None = None) -> str:
 
 def _r(expr: str, d: int = 6) -> str:
     return f"round({expr}, {d})"
+
+
+def hav_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Haversine km, same operation order as ``functions.geo.haversine_km``."""
+    return (f"(12742e0 * asin(sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+            f"cos(radians({lat1})) * cos(radians({lat2})) * "
+            f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))")
+
+
+# brute-force k nearest: every request against every history row
+KNN5_SQL = f"""SELECT * FROM (
+  SELECT r.request_id, h.id AS hid, h.corridor, h.police_station, h.zone, h.is_corridor,
+         {hav_sql('r.lat', 'r.lon', 'h.latitude', 'h.longitude')} AS distance_km
+  FROM requests r CROSS JOIN processed h) t
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_km, hid) <= 5"""
+
+
+def _mode_sql(col: str) -> str:
+    return f"""(SELECT request_id, {col} FROM (SELECT request_id, {col}, count(*) AS c FROM knn5
+  WHERE {col} IS NOT NULL GROUP BY request_id, {col}) t
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY c DESC, {col}) = 1)"""
+
+
+CONTEXT_SQL = f"""SELECT b.request_id, mc.corridor, mp.police_station, mz.zone, CAST(mi.is_corridor AS INT) AS is_corridor,
+  b.nearest_distance_km, b.n_neighbors_used
+FROM (SELECT request_id, min(distance_km) AS nearest_distance_km, CAST(count(*) AS INT) AS n_neighbors_used
+      FROM knn5 GROUP BY request_id) b
+LEFT JOIN {_mode_sql('corridor')} mc ON b.request_id = mc.request_id
+LEFT JOIN {_mode_sql('police_station')} mp ON b.request_id = mp.request_id
+LEFT JOIN {_mode_sql('zone')} mz ON b.request_id = mz.request_id
+LEFT JOIN {_mode_sql('is_corridor')} mi ON b.request_id = mi.request_id"""
+
+SIMILAR_SQL = f"""SELECT * FROM (
+  SELECT r.request_id, h.id AS hid, h.event_cause, h.corridor, h.duration_min, h.duration_valid,
+         h.requires_road_closure, h.start_ts, h.address, h.priority,
+         {hav_sql('r.lat', 'r.lon', 'h.latitude', 'h.longitude')} AS distance_km
+  FROM requests r
+  JOIN (SELECT event_cause, count(*) AS n FROM processed GROUP BY event_cause) cn ON TRUE
+  JOIN processed h ON (CASE WHEN EXISTS (SELECT 1 FROM processed p2 WHERE p2.event_cause = r.event_cause
+                                         GROUP BY p2.event_cause HAVING count(*) >= 3)
+                            THEN h.event_cause = r.event_cause ELSE TRUE END)
+  WHERE cn.event_cause = h.event_cause) t
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_km, hid) <= 8"""
