@@ -428,3 +428,189 @@ WHERE a.status = 'active' AND b.status = 'active' AND {hav_sql('a.lat', 'a.lon',
 def q_conflicts(spark, sf_dir):
     c = spatial.detect_conflicts(register_df(spark, sf_dir))
     return c.withColumn("distance_m", F.round("distance_m", 6))
+
+
+# ---------------------------------------------------------------- F: scoring
+from roadpulse.functions import scoring as S  # noqa: E402
+from roadpulse.operators import scoring  # noqa: E402
+from roadpulse.plans.oracle import BASE_PERSONNEL_VALUES  # noqa: E402
+
+
+def scenarios(spark, sf_dir) -> DataFrame:
+    return FX.fixture(spark, sf_dir, "scenario_scores")
+
+
+_VALID = "valid AS (SELECT duration_min AS d FROM processed WHERE duration_valid)"
+_PCT_SQL = """CASE WHEN s.ml_duration_min IS NULL OR isnan(s.ml_duration_min) OR (SELECT count(*) FROM valid) = 0 THEN 5e-1
+  ELSE (SELECT count(*) FROM valid WHERE d < s.ml_duration_min) / (SELECT count(*) FROM valid) END"""
+
+
+@register("duration_histogram", processed_ctes() + """SELECT CAST(floor(duration_min) AS INT) AS bucket, count(*) AS n,
+  coalesce(sum(count(*)) OVER (ORDER BY CAST(floor(duration_min) AS INT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS below
+FROM processed WHERE duration_valid GROUP BY 1""")
+def q_duration_histogram(spark, sf_dir):
+    """the valid-duration reference distribution as a minute histogram."""
+    return scoring.duration_histogram(processed(spark, sf_dir))
+
+
+@register("duration_percentile", processed_ctes("scenario_scores", extra={"valid": _VALID.split(" AS ", 1)[1][1:-1]}) +
+          f"SELECT s.request_id, {_PCT_SQL} AS duration_pct FROM scenario_scores s")
+def q_duration_percentile(spark, sf_dir):
+    """percentile of each request's duration estimate in the history."""
+    out = scoring.duration_percentile(scenarios(spark, sf_dir), processed(spark, sf_dir), "ml_duration_min")
+    return out.select("request_id", "duration_pct")
+
+
+_IMPACT_SQL = f"""SELECT request_id, closure_p, duration_pct, priority_used, is_corridor,
+  closure_p * 40e0 AS c_closure, duration_pct * 35e0 AS c_duration,
+  (CASE WHEN lower(priority_used) = 'high' THEN 1e0 ELSE 3e-1 END) * 15e0 AS c_priority,
+  (CASE WHEN is_corridor = 1 THEN 1e0 ELSE 25e-2 END) * 10e0 AS c_corridor
+FROM (SELECT s.*, coalesce(nullif(s.priority_override, ''), s.suggested_priority) AS priority_used,
+  {_PCT_SQL} AS duration_pct FROM scenario_scores s) x"""
+
+_IMPACT_OUT = """request_id, round(c_closure + c_duration + c_priority + c_corridor, 1) AS impact_score,
+  CASE WHEN raw >= 0 AND raw < 25 THEN 'Low' WHEN raw >= 25 AND raw < 50 THEN 'Medium'
+       WHEN raw >= 50 AND raw < 75 THEN 'High' ELSE 'Critical' END AS impact_band,
+  CASE WHEN raw >= 0 AND raw < 25 THEN '#34D399' WHEN raw >= 25 AND raw < 50 THEN '#F5A623'
+       WHEN raw >= 50 AND raw < 75 THEN '#F2784B' ELSE '#E5484D' END AS impact_color,
+  round(duration_pct * 100, 1) AS duration_percentile, round(c_closure, 1) AS component_closure,
+  round(c_duration, 1) AS component_duration, round(c_priority, 1) AS component_priority,
+  round(c_corridor, 1) AS component_corridor"""
+
+
+def _scored(spark, sf_dir):
+    s = scenarios(spark, sf_dir).withColumn("priority_used", S.resolve_priority("priority_override", "suggested_priority"))
+    s = scoring.duration_percentile(s, processed(spark, sf_dir), "ml_duration_min")
+    return s.withColumns(S.impact_columns("closure_p", "duration_pct", "priority_used", "is_corridor"))
+
+
+@register("impact_index", processed_ctes("scenario_scores", extra={"valid": "SELECT duration_min AS d FROM processed WHERE duration_valid",
+                                                                    "imp": _IMPACT_SQL}) +
+          f"SELECT {_IMPACT_OUT} FROM (SELECT *, c_closure + c_duration + c_priority + c_corridor AS raw FROM imp) t")
+def q_impact(spark, sf_dir):
+    """F3 + F4 (+F2, F8): impact score, band, colour, components."""
+    return _scored(spark, sf_dir).select("request_id", "impact_score", "impact_band", "impact_color",
+                                         "duration_percentile", "component_closure", "component_duration",
+                                         "component_priority", "component_corridor")
+
+
+@register("resource_plan", processed_ctes("scenario_scores", extra={
+    "valid": "SELECT duration_min AS d FROM processed WHERE duration_valid", "imp": _IMPACT_SQL,
+    "bp": f"SELECT * FROM (VALUES {BASE_PERSONNEL_VALUES}) v(event_cause, base_personnel)"}) +
+          """SELECT request_id, impact_score, base_personnel,
+  round(6e-1 + (impact_score / 100e0) * 14e-1, 2) AS severity_multiplier,
+  CASE WHEN closure_p >= 5e-1 THEN 2 ELSE 0 END AS extra_for_closure_management,
+  greatest(1, CAST(ceil(base_personnel * (6e-1 + (impact_score / 100e0) * 14e-1)
+    + CASE WHEN closure_p >= 5e-1 THEN 2 ELSE 0 END) AS INT)) AS personnel,
+  CASE WHEN closure_p < 3e-1 THEN 0 WHEN closure_p < 6e-1 THEN 2 WHEN is_corridor = 1 THEN 4 ELSE 3 END AS barricade_points
+FROM (SELECT i.request_id, i.closure_p, i.is_corridor, coalesce(bp.base_personnel, 2) AS base_personnel,
+  round(i.c_closure + i.c_duration + i.c_priority + i.c_corridor, 1) AS impact_score
+  FROM imp i JOIN scenario_scores s ON s.request_id = i.request_id LEFT JOIN bp ON bp.event_cause = s.event_cause) t""")
+def q_resource_plan(spark, sf_dir):
+    """F5 + F6 + F7: personnel and barricades from the rounded score."""
+    s = scoring.recommend_manpower(_scored(spark, sf_dir))
+    s = scoring.recommend_barricades(s)
+    return s.select("request_id", "impact_score", F.col("base_personnel").cast("int").alias("base_personnel"),
+                    "severity_multiplier", F.col("extra_for_closure_management").cast("int")
+                    .alias("extra_for_closure_management"), "personnel",
+                    F.col("barricade_points").cast("int").alias("barricade_points"))
+
+
+@register("resolve_priority", with_ctes(["scenario_scores"]) +
+          """SELECT request_id, suggested_priority, coalesce(nullif(priority_override, ''), suggested_priority) AS priority_used,
+  CASE WHEN is_corridor = 1 THEN 'High' ELSE 'Low' END AS rule_priority FROM scenario_scores""")
+def q_resolve_priority(spark, sf_dir):
+    """F8 + F14 rule: override wins; the corridor rule for comparison."""
+    s = scenarios(spark, sf_dir)
+    return s.select("request_id", "suggested_priority",
+                    S.resolve_priority("priority_override", "suggested_priority").alias("priority_used"),
+                    S.triage_rule("is_corridor").alias("rule_priority"))
+
+
+@register("triage_gap", processed_ctes("scenario_scores", extra={
+    "valid": "SELECT duration_min AS d FROM processed WHERE duration_valid", "imp": _IMPACT_SQL}) +
+          """SELECT request_id, rule_priority, impact_band,
+  (rule_priority = 'Low' AND impact_band IN ('High', 'Critical')) OR (rule_priority = 'High' AND impact_band = 'Low') AS gap
+FROM (SELECT request_id, CASE WHEN is_corridor = 1 THEN 'High' ELSE 'Low' END AS rule_priority,
+  CASE WHEN raw >= 0 AND raw < 25 THEN 'Low' WHEN raw >= 25 AND raw < 50 THEN 'Medium'
+       WHEN raw >= 50 AND raw < 75 THEN 'High' ELSE 'Critical' END AS impact_band
+  FROM (SELECT *, c_closure + c_duration + c_priority + c_corridor AS raw FROM imp) t) u""")
+def q_triage_gap(spark, sf_dir):
+    """where the corridor rule and the impact band disagree."""
+    s = _scored(spark, sf_dir).withColumn("rule_priority", S.triage_rule("is_corridor"))
+    return s.select("request_id", "rule_priority", "impact_band",
+                    S.triage_gap("rule_priority", "impact_band").alias("gap"))
+
+
+@register("precedent_stats", processed_ctes("requests", extra={"sim8": SIMILAR_SQL}) + """SELECT r.request_id,
+  coalesce(p.n_precedents, 0) AS n_precedents, p.precedent_median_min, p.p10_min, p.p50_min, p.p90_min, p.n_durations
+FROM requests r LEFT JOIN (
+  SELECT request_id, CAST(count(*) AS INT) AS n_precedents,
+    quantile_cont(CASE WHEN duration_valid THEN duration_min END, 0.5) AS precedent_median_min,
+    CASE WHEN count(*) >= 3 AND count(duration_min) >= 3 THEN greatest(quantile_cont(duration_min, 0.1), 0) END AS p10_min,
+    CASE WHEN count(*) >= 3 AND count(duration_min) >= 3 THEN greatest(quantile_cont(duration_min, 0.5), 0) END AS p50_min,
+    CASE WHEN count(*) >= 3 AND count(duration_min) >= 3 THEN greatest(quantile_cont(duration_min, 0.9), 0) END AS p90_min,
+    CASE WHEN count(*) >= 3 AND count(duration_min) >= 3 THEN CAST(count(duration_min) AS INT) END AS n_durations
+  FROM sim8 WHERE distance_km <= 5e0 GROUP BY request_id) p ON p.request_id = r.request_id""")
+def q_precedent_stats(spark, sf_dir):
+    """F9 + F10: precedent median and P10/P50/P90 interval per request."""
+    req = requests_df(spark, sf_dir)
+    sim = spatial.similar_incidents(req, processed(spark, sf_dir))
+    return scoring.precedent_stats(req, sim)
+
+
+@register("closure_anomaly", processed_ctes("scenario_scores") + """SELECT request_id,
+  CASE WHEN n >= 3 THEN n END AS anomaly_n, CASE WHEN n >= 3 THEN rate END AS hist_rate,
+  CASE WHEN n >= 3 THEN p - rate END AS excess,
+  CASE WHEN n >= 3 THEN (SELECT avg(CASE WHEN CAST(h.requires_road_closure AS DOUBLE) <= t.p THEN 1e0 ELSE 0e0 END) * 100
+                         FROM processed h WHERE h.event_cause = t.event_cause AND (NOT t.use_cc OR h.corridor = t.corridor)) END
+    AS percentile,
+  CASE WHEN n >= 3 THEN p - rate > 15e-2 END AS is_elevated, CASE WHEN n >= 3 THEN p - rate < -15e-2 END AS is_suppressed
+FROM (SELECT s.request_id, s.event_cause, s.corridor, s.closure_p AS p, u.use_cc,
+    CASE WHEN u.use_cc THEN u.n_cc ELSE u.n_c END AS n, CASE WHEN u.use_cc THEN u.r_cc ELSE u.r_c END AS rate
+  FROM scenario_scores s JOIN (
+    SELECT s2.request_id,
+      s2.corridor IS NOT NULL AND s2.corridor <> '' AND s2.corridor <> 'Non-corridor'
+        AND (SELECT count(*) FROM processed h WHERE h.event_cause = s2.event_cause AND h.corridor = s2.corridor) >= 5 AS use_cc,
+      (SELECT count(*) FROM processed h WHERE h.event_cause = s2.event_cause AND h.corridor = s2.corridor) AS n_cc,
+      (SELECT avg(CAST(requires_road_closure AS DOUBLE)) FROM processed h WHERE h.event_cause = s2.event_cause AND h.corridor = s2.corridor) AS r_cc,
+      (SELECT count(*) FROM processed h WHERE h.event_cause = s2.event_cause) AS n_c,
+      (SELECT avg(CAST(requires_road_closure AS DOUBLE)) FROM processed h WHERE h.event_cause = s2.event_cause) AS r_c
+    FROM scenario_scores s2) u ON u.request_id = s.request_id) t""")
+def q_closure_anomaly(spark, sf_dir):
+    """closure probability against the historical base rate."""
+    return scoring.closure_anomaly(scenarios(spark, sf_dir), processed(spark, sf_dir))
+
+
+_AVAILABLE_SQL = "SELECT DISTINCT shift_id, CAST(10 + shift_id * 7 AS BIGINT) AS available FROM register"
+
+
+@register("optimize_allocation", with_ctes(["register"], {"avail": _AVAILABLE_SQL}) + """SELECT shift_id, id, impact_score,
+  personnel, allocated, CAST(greatest(personnel - allocated, 0) AS BIGINT) AS shortfall FROM (
+  SELECT *, CAST(CASE WHEN pos = n THEN greatest(available - before, 0)
+                      ELSE least(greatest(available - before, 0), want) END AS BIGINT) AS allocated FROM (
+    SELECT *, coalesce(sum(want) OVER (PARTITION BY shift_id ORDER BY impact_score DESC, id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      row_number() OVER (PARTITION BY shift_id ORDER BY impact_score DESC, id) AS pos FROM (
+      SELECT r.*, a.available, count(*) OVER (PARTITION BY r.shift_id) AS n,
+        greatest(1, CAST(round_even(a.available * r.impact_score /
+          CASE WHEN sum(r.impact_score) OVER (PARTITION BY r.shift_id) = 0 THEN 1e0
+               ELSE sum(r.impact_score) OVER (PARTITION BY r.shift_id) END, 0) AS BIGINT)) AS want
+      FROM register r JOIN avail a ON a.shift_id = r.shift_id WHERE r.status = 'active' AND a.available > 0) x) y) z""")
+def q_allocation(spark, sf_dir):
+    """impact-weighted officer allocation per shift."""
+    reg = register_df(spark, sf_dir)
+    avail = reg.select("shift_id").distinct().select("shift_id", (F.lit(10) + F.col("shift_id") * 7)
+                                                     .cast("long").alias("available"))
+    return scoring.optimize_allocation(reg, avail)
+
+
+@register("register_kpis", with_ctes(["register"]) + """SELECT count(CASE WHEN status = 'active' THEN 1 END) AS active_events,
+  count(CASE WHEN status <> 'active' THEN 1 END) AS resolved_events,
+  CAST(coalesce(sum(CASE WHEN status = 'active' THEN personnel END), 0) AS BIGINT) AS total_personnel,
+  CAST(coalesce(sum(CASE WHEN status = 'active' THEN barricades END), 0) AS BIGINT) AS total_barricades,
+  count(CASE WHEN status = 'active' AND band = 'Critical' THEN 1 END) AS critical_active FROM register""")
+def q_register_kpis(spark, sf_dir):
+    """Totals over the active-events register."""
+    return dashboards.register_kpis(register_df(spark, sf_dir))

@@ -321,7 +321,27 @@ def place_queries_sql(dialect: str) -> str:
 FROM ({_BASE}) b WHERE event_id % 50 = 7"""
 
 
+def scenario_scores_sql(dialect: str) -> str:
+    """Requests with stand-in model outputs (closure probability, duration
+    estimate, suggested priority) and context, so the scoring rules can be
+    checked without trained models.  A few estimates are NULL, negative or
+    beyond two days on purpose."""
+    a = "CAST(floor(lat*1e4) AS BIGINT)"
+    b = "CAST(floor(lon*1e4) AS BIGINT)"
+    c = "CAST(floor(lon*1e3) AS BIGINT)"
+    d = "CAST(floor(lat*1e5) AS BIGINT)"
+    return f"""SELECT request_id, event_cause, event_type, lat, lon, when_ist, priority_override, requested_at, shift_id,
+  (({a}*31 + {b}) % 100)/1e2 AS closure_p,
+  CASE WHEN {d} % 50 = 0 THEN NULL WHEN {d} % 50 = 1 THEN 3e3 WHEN {d} % 50 = 2 THEN -1e0
+       ELSE CAST({d} % 700 AS DOUBLE) + 5e-1 END AS ml_duration_min,
+  CASE WHEN {c} % 3 = 0 THEN 'Non-corridor' ELSE 'Corridor ' || CAST({c} % 8 AS STRING) END AS corridor,
+  CASE WHEN {c} % 3 = 0 THEN 0 ELSE 1 END AS is_corridor,
+  CASE WHEN ({a} + {b}) % 4 = 0 THEN 'Low' ELSE 'High' END AS suggested_priority
+FROM ({requests_sql(dialect)}) r"""
+
+
 FIXTURES = {
+    "scenario_scores": scenario_scores_sql,
     "incidents": incidents_sql,
     "incidents_raw": incidents_raw_sql,
     "requests": requests_sql,
