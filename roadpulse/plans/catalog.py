@@ -614,3 +614,96 @@ def q_allocation(spark, sf_dir):
 def q_register_kpis(spark, sf_dir):
     """Totals over the active-events register."""
     return dashboards.register_kpis(register_df(spark, sf_dir))
+
+
+# ------------------------------------------------ A3-A5, F18, F19: feedback
+import uuid  # noqa: E402
+
+from roadpulse.operators import register as reg_ops  # noqa: E402
+from roadpulse.sources import feedback as fb  # noqa: E402
+
+_KEY_SQL = ("concat_ws('|', event_cause, event_type, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR), start_datetime, "
+            "actual_end_datetime)")
+OUTCOME_ROWS_SQL = f"""SELECT 'fb-' || substr(md5({_KEY_SQL}), 1, 10) AS id, event_type, lat AS latitude, lon AS longitude,
+  address, event_cause, requires_road_closure, start_datetime, actual_end_datetime AS end_datetime, 'resolved' AS status,
+  priority, corridor, start_datetime AS created_date, police_station, actual_end_datetime AS closed_datetime,
+  actual_end_datetime AS resolved_datetime, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS junction,
+  CAST(manpower_used AS INT) AS logged_manpower_used, forecast_impact_score, escalated_beyond_forecast,
+  notes AS feedback_notes FROM outcomes"""
+
+
+def outcomes_df(spark, sf_dir):
+    return FX.fixture(spark, sf_dir, "outcomes")
+
+
+@register("log_outcomes", with_ctes(["outcomes"]) + OUTCOME_ROWS_SQL)
+def q_log_outcomes(spark, sf_dir):
+    """A4 projection (the log-time stamp excluded from the comparison)."""
+    return fb.outcome_rows(outcomes_df(spark, sf_dir)).drop("feedback_logged_at")
+
+
+@register("feedback_log_roundtrip", with_ctes(["outcomes"]) + f"SELECT DISTINCT * FROM ({OUTCOME_ROWS_SQL}) o")
+def q_feedback_roundtrip(spark, sf_dir):
+    """A3 + A4: log the outcomes twice into a fresh log and read it back;
+    the replay adds nothing (ids are content-derived)."""
+    path = scratch_path(spark, f"feedback_log_{uuid.uuid4().hex[:12]}")
+    assert fb.load_feedback(spark, path).isEmpty()
+    outs = outcomes_df(spark, sf_dir)
+    fb.log_outcomes(outs, path)
+    fb.log_outcomes(outs, path)
+    return fb.load_feedback(spark, path).drop("feedback_logged_at")
+
+
+@register("augment_with_feedback", with_ctes(["incidents_raw", "outcomes"], {
+    "fbrows": OUTCOME_ROWS_SQL,
+    "aug": """SELECT * EXCLUDE (comment, map_file) FROM incidents_raw UNION ALL
+      SELECT id, event_type, CAST(latitude AS VARCHAR), CAST(longitude AS VARCHAR), address, event_cause,
+        CAST(requires_road_closure AS VARCHAR), start_datetime, end_datetime, status, priority, corridor, created_date,
+        police_station, closed_datetime, resolved_datetime, zone, junction FROM fbrows""",
+    "incidents": RAW_PARSED_SQL.replace("FROM incidents_raw", "FROM aug"),
+    "processed": PROCESSED_SQL}) +
+          f"SELECT id, event_cause, start_ts, {_r('duration_min')} AS duration_min, duration_valid FROM processed")
+def q_augment(spark, sf_dir):
+    """A5: export + feedback log in one processed table (mixed timestamp
+    formats parsed per value)."""
+    raw = raw_incidents(spark, sf_dir)
+    aug = fb.augment_with_feedback(raw, fb.outcome_rows(outcomes_df(spark, sf_dir)))
+    p = cleaning.prepare_incidents(aug)
+    return p.select("id", "event_cause", "start_ts", F.round("duration_min", 6).alias("duration_min"), "duration_valid")
+
+
+@register("forecast_vs_outcome", with_ctes(["outcomes"], {
+    "fbrows": OUTCOME_ROWS_SQL,
+    "bp": f"SELECT * FROM (VALUES {BASE_PERSONNEL_VALUES}) v(event_cause, base_personnel)"}) +
+          """SELECT g.*, coalesce(bp.base_personnel, 2) AS base_personnel,
+  g.avg_manpower_used - coalesce(bp.base_personnel, 2) AS manpower_gap
+FROM (SELECT event_cause, count(*) AS n, avg(logged_manpower_used) AS avg_manpower_used,
+  avg(CAST(escalated_beyond_forecast AS DOUBLE)) AS escalation_rate, avg(forecast_impact_score) AS mean_forecast_score
+  FROM fbrows GROUP BY event_cause) g LEFT JOIN bp ON bp.event_cause = g.event_cause""")
+def q_forecast_vs_outcome(spark, sf_dir):
+    """outcomes vs the resource constants, per cause."""
+    return reg_ops.forecast_vs_outcome(fb.outcome_rows(outcomes_df(spark, sf_dir)))
+
+
+@register("register_add", processed_ctes("scenario_scores", "register", extra={
+    "valid": "SELECT duration_min AS d FROM processed WHERE duration_valid", "imp": _IMPACT_SQL}) + """SELECT id, cause,
+  status, impact_score, band FROM register UNION ALL
+SELECT substr(md5(s.request_id || '|' || strftime(s.requested_at, '%Y-%m-%d %H:%M:%S.%f')), 1, 8), s.event_cause, 'active',
+  round(i.c_closure + i.c_duration + i.c_priority + i.c_corridor, 1),
+  CASE WHEN raw >= 0 AND raw < 25 THEN 'Low' WHEN raw >= 25 AND raw < 50 THEN 'Medium'
+       WHEN raw >= 50 AND raw < 75 THEN 'High' ELSE 'Critical' END
+FROM (SELECT *, c_closure + c_duration + c_priority + c_corridor AS raw FROM imp) i
+JOIN scenario_scores s ON s.request_id = i.request_id""")
+def q_register_add(spark, sf_dir):
+    """forecasts appended to the active-events register."""
+    s = scoring.recommend_barricades(scoring.recommend_manpower(_scored(spark, sf_dir)))
+    s = s.withColumn("police_station", F.lit("Unknown"))
+    out = reg_ops.add_to_register(register_df(spark, sf_dir), s)
+    return out.select("id", "cause", "status", "impact_score", "band")
+
+
+@register("register_resolve_all", with_ctes(["register"]) +
+          "SELECT id, 'resolved' AS status FROM register")
+def q_register_resolve(spark, sf_dir):
+    """resolve every event of the register."""
+    return reg_ops.resolve_all(register_df(spark, sf_dir)).select("id", "status")
