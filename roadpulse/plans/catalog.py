@@ -707,3 +707,86 @@ def q_register_add(spark, sf_dir):
 def q_register_resolve(spark, sf_dir):
     """resolve every event of the register."""
     return reg_ops.resolve_all(register_df(spark, sf_dir)).select("id", "status")
+
+
+# ---------------------------------------------------------------- weather
+from roadpulse.operators import weather as W  # noqa: E402
+
+WEATHER_SQL = """SELECT reading_ts, source,
+  CASE WHEN available THEN rain_mm END AS rain_mm, CASE WHEN available THEN weathercode END AS weathercode,
+  CASE WHEN available THEN temperature END AS temperature, CASE WHEN available THEN wind END AS wind,
+  CASE WHEN available THEN wind_unit END AS wind_unit,
+  CASE WHEN available THEN description ELSE 'unavailable' END AS description,
+  is_rain, is_heavy, 1e0 + CASE WHEN is_rain THEN 25e-2 ELSE 0e0 END + CASE WHEN is_heavy THEN 25e-2 ELSE 0e0 END AS multiplier,
+  available FROM (
+  SELECT *,
+    CASE WHEN NOT available THEN false WHEN source = 'open_meteo' THEN rain_mm > 0 OR weathercode BETWEEN 51 AND 99
+         ELSE rain_mm > 0 OR regexp_matches(lower(description), 'rain|drizzle|shower|thunderstorm') END AS is_rain,
+    CASE WHEN NOT available THEN false WHEN source = 'open_meteo' THEN rain_mm > 5 OR weathercode >= 80
+         ELSE rain_mm > 5 OR regexp_matches(lower(description), 'heavy|torrential|thunderstorm') END AS is_heavy
+  FROM (SELECT reading_ts, source, available, rain_mm, weathercode, temperature, wind, wind_unit,
+    CASE WHEN source = 'open_meteo' THEN
+      CASE WHEN weathercode BETWEEN 0 AND 3 THEN 'Clear / mostly clear' WHEN weathercode BETWEEN 10 AND 19 THEN 'Mist / haze'
+           WHEN weathercode BETWEEN 20 AND 29 THEN 'Recent precipitation' WHEN weathercode BETWEEN 40 AND 49 THEN 'Fog'
+           WHEN weathercode BETWEEN 51 AND 67 THEN 'Drizzle or rain' WHEN weathercode BETWEEN 71 AND 77 THEN 'Snow'
+           WHEN weathercode BETWEEN 80 AND 82 THEN 'Rain showers' WHEN weathercode BETWEEN 95 AND 99 THEN 'Thunderstorm'
+           ELSE 'Overcast/cloudy' END
+    ELSE coalesce(json_extract_string(jb, '$.current_condition[0].weatherDesc[0].value'), 'Cloudy') END AS description
+  FROM (SELECT reading_ts, source, jb,
+    CASE WHEN source = 'open_meteo' THEN json_extract(jb, '$.current') IS NOT NULL
+         ELSE json_extract(jb, '$.current_condition[0]') IS NOT NULL END AS available,
+    CASE WHEN v_rain IS NULL OR v_rain = 0 THEN 0e0 ELSE v_rain END AS rain_mm,
+    CAST(CASE WHEN v_code IS NULL OR v_code = 0 THEN 0e0 ELSE v_code END AS INTEGER) AS weathercode,
+    CASE WHEN v_temp IS NULL OR v_temp = 0 THEN 28e0 ELSE v_temp END AS temperature,
+    CASE WHEN v_wind IS NULL OR v_wind = 0 THEN 0e0 ELSE v_wind END / CASE WHEN source = 'open_meteo' THEN 1e0 ELSE 36e-1 END AS wind,
+    CASE WHEN source = 'open_meteo' THEN 'km/h' ELSE 'm/s' END AS wind_unit
+  FROM (SELECT received_at AS reading_ts, source, jb,
+    TRY_CAST(CASE WHEN source = 'open_meteo' THEN json_extract_string(jb, '$.current.precipitation')
+                  ELSE json_extract_string(jb, '$.current_condition[0].precipMM') END AS DOUBLE) AS v_rain,
+    TRY_CAST(CASE WHEN source = 'open_meteo' THEN json_extract_string(jb, '$.current.weathercode')
+                  ELSE json_extract_string(jb, '$.current_condition[0].weatherCode') END AS DOUBLE) AS v_code,
+    TRY_CAST(CASE WHEN source = 'open_meteo' THEN json_extract_string(jb, '$.current.temperature_2m')
+                  ELSE json_extract_string(jb, '$.current_condition[0].temp_C') END AS DOUBLE) AS v_temp,
+    TRY_CAST(CASE WHEN source = 'open_meteo' THEN json_extract_string(jb, '$.current.windspeed_10m')
+                  ELSE json_extract_string(jb, '$.current_condition[0].windspeedKmph') END AS DOUBLE) AS v_wind
+  FROM (SELECT received_at, source, CASE WHEN json_valid(body) THEN body END AS jb FROM weather_payloads) a) b) c) d) e"""
+
+
+def weather_df(spark, sf_dir):
+    return W.parse_weather_payloads(FX.fixture(spark, sf_dir, "weather_payloads"))
+
+
+@register("weather_readings", with_ctes(["weather_payloads"]) + WEATHER_SQL)
+def q_weather_readings(spark, sf_dir):
+    """A8 + B14 + B15: typed readings with description, rain flags and
+    multiplier from both provider shapes."""
+    return weather_df(spark, sf_dir)
+
+
+ASOF_SQL = """SELECT s.request_id, w.reading_ts, w.source, coalesce(w.multiplier, 1e0) AS multiplier,
+  coalesce(w.is_rain, false) AS is_rain FROM scenario_scores s LEFT JOIN (
+  SELECT s2.request_id, w2.* FROM scenario_scores s2 JOIN weather w2
+    ON w2.reading_ts <= s2.requested_at AND w2.reading_ts >= s2.requested_at - INTERVAL 30 MINUTE
+  QUALIFY row_number() OVER (PARTITION BY s2.request_id ORDER BY w2.reading_ts DESC, w2.source) = 1) w
+  ON w.request_id = s.request_id"""
+
+
+@register("weather_asof_join", with_ctes(["weather_payloads", "scenario_scores"], {"weather": WEATHER_SQL}) + ASOF_SQL)
+def q_weather_asof(spark, sf_dir):
+    """latest reading at most 30 minutes old at request time."""
+    j = W.weather_asof_join(scenarios(spark, sf_dir), weather_df(spark, sf_dir))
+    return j.select("request_id", "reading_ts", "source", "multiplier", "is_rain")
+
+
+@register("weather_adjust", with_ctes(["weather_payloads", "scenario_scores"], {"weather": WEATHER_SQL, "wx_asof": ASOF_SQL}) +
+          f"""SELECT s.request_id, round(s.closure_p, 3) AS closure_probability,
+  a.is_rain AND s.event_cause IN ({', '.join(repr(c) for c in W.RAIN_SENSITIVE)}) AS weather_adjusted,
+  CASE WHEN a.is_rain AND s.event_cause IN ({', '.join(repr(c) for c in W.RAIN_SENSITIVE)})
+       THEN least(1e0, round(s.closure_p, 3) * a.multiplier) ELSE round(s.closure_p, 3) END AS adjusted_closure
+FROM scenario_scores s JOIN wx_asof a ON a.request_id = s.request_id""")
+def q_weather_adjust(spark, sf_dir):
+    """rain adjustment of the closure probability."""
+    s = scenarios(spark, sf_dir)
+    j = s.join(W.weather_asof_join(s, weather_df(spark, sf_dir)).select("request_id", "is_rain", "multiplier"),
+               "request_id")
+    return W.weather_adjust(j).select("request_id", "closure_probability", "weather_adjusted", "adjusted_closure")
