@@ -286,7 +286,6 @@ def q_missingness(spark, sf_dir):
   max(longitude) + 6e-2 AS east, min(latitude) - 6e-2 AS south FROM processed""")
 def q_bbox(spark, sf_dir):
     return dashboards.bbox(processed(spark, sf_dir))
-FLAGSHIP = "top_risk_corridors"
 
 
 # ---------------------------------------------------------------- C: spatial
@@ -790,3 +789,211 @@ def q_weather_adjust(spark, sf_dir):
     j = s.join(W.weather_asof_join(s, weather_df(spark, sf_dir)).select("request_id", "is_rain", "multiplier"),
                "request_id")
     return W.weather_adjust(j).select("request_id", "closure_probability", "weather_adjusted", "adjusted_closure")
+
+
+# ---------------------------------------------------------------- E: models
+import json as _json  # noqa: E402
+
+from roadpulse.operators import metrics as MT  # noqa: E402
+from roadpulse.operators import ml  # noqa: E402
+from roadpulse.plans import forecast as FC  # noqa: E402
+
+# Forest sizes used by the registered queries.  The library defaults are the
+# reference's (300/400 trees); the catalog trains 50-tree forests so the
+# whole catalog stays runnable in one session - all other settings equal.
+CATALOG_FOREST_PARAMS = {name: dict(p, numTrees=50) for name, p in ml.DEFAULT_PARAMS.items()}
+
+_MODEL_CACHE: dict = {}
+
+
+def trained(spark, sf_dir, params=None):
+    """(models, metrics, importances) for ``sf_dir``, trained once per
+    session and saved with A6/A7 under the shared scratch folder."""
+    params = params or CATALOG_FOREST_PARAMS
+    key = (sf_dir, _json.dumps(params, sort_keys=True), id(spark.sparkContext._jsc))
+    if key not in _MODEL_CACHE:
+        models, metrics, fi = ml.train_all(processed(spark, sf_dir), params=params)
+        tag = hashlib.md5(repr(key[:2]).encode()).hexdigest()[:10]
+        base = scratch_path(spark, f"models_{tag}_{uuid.uuid4().hex[:6]}")
+        ml.save_models(models, f"{base}/models")
+        ml.write_metrics(metrics, f"{base}/metrics")
+        fi_saved = fi.persist()
+        fi_saved.count()
+        _MODEL_CACHE[key] = (base, ml.read_metrics(spark, f"{base}/metrics"), fi_saved)
+    base, metrics, fi = _MODEL_CACHE[key]
+    return ml.load_models(f"{base}/models"), metrics, fi
+
+
+SCORES_TIERS = """SELECT *, """ + _TIER_SQL.format(m="actual_min") + " AS label_tier, " + \
+    _TIER_SQL.format(m="pred_min") + " AS pred_tier FROM scores"
+
+
+def scores_df(spark, sf_dir):
+    s = FX.fixture(spark, sf_dir, "scores")
+    return s.withColumns({"label_tier": T.duration_tier("actual_min"), "pred_tier": T.duration_tier("pred_min")})
+
+
+SPLIT_SQL = """SELECT *, CASE WHEN row_number() OVER (ORDER BY start_ts, id) <= floor(count(*) OVER () * 8e-1)
+  THEN 'train' ELSE 'test' END AS split FROM processed"""
+
+
+@register("time_split", processed_ctes(extra={"split_t": SPLIT_SQL}) + "SELECT id, split FROM split_t")
+def q_time_split(spark, sf_dir):
+    """Earliest 80% by start time -> train, rest -> test."""
+    return ml.time_split(processed(spark, sf_dir)).select("id", "split")
+
+
+@register("class_weights", processed_ctes(extra={"split_t": SPLIT_SQL}) + """SELECT requires_road_closure,
+  count(*) AS n, (SELECT count(*) FROM split_t WHERE split = 'train') /
+    ((SELECT count(DISTINCT requires_road_closure) FROM split_t WHERE split = 'train') * count(*)) AS weight
+FROM split_t WHERE split = 'train' GROUP BY requires_road_closure""")
+def q_class_weights(spark, sf_dir):
+    """Balanced class weights of the closure label on the train split."""
+    tr = ml.time_split(processed(spark, sf_dir)).where(F.col("split") == "train")
+    w = ml.with_class_weights(tr, "requires_road_closure")
+    return w.groupBy("requires_road_closure").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+
+
+@register("rank_metrics", with_ctes(["scores"]) + """SELECT sum(pos * (neg_below + neg / 2e0)) / (sum(pos) * sum(neg)) AS roc_auc,
+  sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) END) / sum(pos) AS pr_auc FROM (
+  SELECT score, pos, neg,
+    coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+    sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+    sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+  FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY score) g) c""")
+def q_rank_metrics(spark, sf_dir):
+    """E8 + E9: exact ROC-AUC and step average precision."""
+    return MT.rank_metrics(scores_df(spark, sf_dir), "label", "score")
+
+
+@register("binary_metrics", with_ctes(["scores"]) + """SELECT tp, fp, tn, fn, positive_rate, precision, recall,
+  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0e0 END AS f1 FROM (
+  SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS recall FROM (
+    SELECT count(CASE WHEN label = 1 AND score >= 5e-1 THEN 1 END) AS tp,
+      count(CASE WHEN label <> 1 AND score >= 5e-1 THEN 1 END) AS fp,
+      count(CASE WHEN label <> 1 AND score < 5e-1 THEN 1 END) AS tn,
+      count(CASE WHEN label = 1 AND score < 5e-1 THEN 1 END) AS fn,
+      avg(CAST(label AS DOUBLE)) AS positive_rate FROM scores) a) b""")
+def q_binary_metrics(spark, sf_dir):
+    """Metrics at threshold 0.5."""
+    return MT.binary_metrics(scores_df(spark, sf_dir), "label", "score")
+
+
+@register("multiclass_metrics", with_ctes(["scores"], {"st": SCORES_TIERS}) + """SELECT
+  sum(tp) / sum(sup) AS accuracy, sum(f1 * sup) / sum(sup) AS f1_weighted, avg(f1) AS f1_macro FROM (
+  SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0e0 END AS f1 FROM (
+    SELECT k, coalesce(sup, 0) AS sup, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp,
+      CASE WHEN coalesce(np, 0) > 0 THEN coalesce(tp, 0) / np ELSE 0e0 END AS pr,
+      CASE WHEN coalesce(sup, 0) > 0 THEN coalesce(tp, 0) / sup ELSE 0e0 END AS rc
+    FROM (SELECT coalesce(a.k, b.k) AS k, a.sup, b.np FROM
+           (SELECT label_tier AS k, count(*) AS sup FROM st GROUP BY 1) a
+           FULL JOIN (SELECT pred_tier AS k, count(*) AS np FROM st GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k) s
+    LEFT JOIN (SELECT label_tier AS k2, count(*) AS tp FROM st WHERE label_tier = pred_tier GROUP BY 1) c
+      ON c.k2 IS NOT DISTINCT FROM s.k) x) y""")
+def q_multiclass(spark, sf_dir):
+    """Accuracy, weighted and macro F1 of tier predictions."""
+    return MT.multiclass_metrics(scores_df(spark, sf_dir), "label_tier", "pred_tier")
+
+
+@register("tier_confusion", with_ctes(["scores"], {"st": SCORES_TIERS}) + """SELECT CAST(a.i AS INT) AS row, CAST(p.i AS INT) AS col,
+  a.v AS actual, p.v AS predicted, count(st.label_tier) AS n
+FROM (VALUES (0, 'Quick (<30 min)'), (1, 'Moderate (30-120 min)'), (2, 'Prolonged (>120 min)')) a(i, v)
+CROSS JOIN (VALUES (0, 'Quick (<30 min)'), (1, 'Moderate (30-120 min)'), (2, 'Prolonged (>120 min)')) p(i, v)
+LEFT JOIN st ON st.label_tier = a.v AND st.pred_tier = p.v GROUP BY 1, 2, 3, 4""")
+def q_tier_confusion(spark, sf_dir):
+    """Tier confusion matrix in label order."""
+    from roadpulse.constants import TIER_LABELS
+    return MT.confusion_long(scores_df(spark, sf_dir), TIER_LABELS, "label_tier", "pred_tier")
+
+
+@register("regression_metrics", with_ctes(["scores"], {"sv": "SELECT * FROM scores WHERE actual_min > 0 AND pred_min > 0"}) +
+          """SELECT avg(abs(actual_min - pred_min)) AS mae_minutes,
+  quantile_cont(abs(actual_min - pred_min), 0.5) AS median_ae_minutes,
+  1 - sum(pow(ln(1 + actual_min) - ln(1 + pred_min), 2)) /
+      sum(pow(ln(1 + actual_min) - (SELECT avg(ln(1 + actual_min)) FROM sv), 2)) AS r2_log_space,
+  quantile_cont(actual_min, 0.5) AS median_actual_minutes, count(*) AS n FROM sv""")
+def q_regression(spark, sf_dir):
+    """MAE, median AE, R^2 in log space (rows in the log domain)."""
+    s = scores_df(spark, sf_dir).where((F.col("actual_min") > 0) & (F.col("pred_min") > 0))
+    return MT.regression_metrics(s, "actual_min", "pred_min")
+
+
+@register("naive_baselines", processed_ctes(extra={"split_t": SPLIT_SQL}) + f"""SELECT
+  (SELECT avg(abs(duration_min - (SELECT quantile_cont(duration_min, 0.5) FROM split_t WHERE split = 'train' AND duration_valid)))
+   FROM split_t WHERE split = 'test' AND duration_valid) AS naive_baseline_mae_minutes,
+  (SELECT avg(CASE WHEN {_TIER_SQL.format(m='duration_min')} = (
+      SELECT t FROM (SELECT {_TIER_SQL.format(m='duration_min')} AS t, count(*) AS n FROM split_t
+                     WHERE split = 'train' AND duration_valid GROUP BY 1) m
+      ORDER BY n DESC, CASE t WHEN 'Quick (<30 min)' THEN 1 WHEN 'Moderate (30-120 min)' THEN 2 ELSE 3 END LIMIT 1)
+    THEN 1e0 ELSE 0e0 END) FROM split_t WHERE split = 'test' AND duration_valid) AS tier_naive_baseline_accuracy""")
+def q_naive(spark, sf_dir):
+    """Train-median MAE and train-mode tier accuracy on the test split."""
+    from roadpulse.constants import TIER_LABELS
+    sp = ml.time_split(processed(spark, sf_dir)).where("duration_valid") \
+        .withColumn("tier", T.duration_tier("duration_min"))
+    return MT.naive_baselines(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"),
+                              "duration_min", "tier", TIER_LABELS)
+
+
+@register("geo_clusters")
+def q_geo_clusters(spark, sf_dir):
+    """C2 + C3: KMeans(50) over the history, cluster of every request."""
+    models, _, _ = trained(spark, sf_dir)
+    req = requests_df(spark, sf_dir).withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")})
+    return ml.assign_geo_cluster(models["geo_kmeans"], req).select("request_id", "geo_cluster")
+
+
+@register("train_models")
+def q_train_models(spark, sf_dir):
+    """E1 + E3-E7 + E15 (+A6/A7): four forests on the time split; the
+    long metrics table of the run."""
+    _, metrics, _ = trained(spark, sf_dir)
+    return metrics.select("model", "metric", "value")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Top-15 importances of the closure, duration and tier models."""
+    _, _, fi = trained(spark, sf_dir)
+    return fi.select("model", "feature", "importance")
+
+
+from roadpulse.constants import FESTIVAL_WINDOWS as _FW  # noqa: E402
+
+_FESTIVAL_REQ = " OR ".join(f"CAST(r.when_ist AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in _FW)
+
+_ASSEMBLE_SQL = f"""SELECT c.request_id, c.corridor, c.police_station, c.zone, coalesce(c.is_corridor, 0) AS is_corridor,
+  round(c.nearest_distance_km, 6) AS nearest_distance_km,
+  hour(r.when_ist) AS hour, month(r.when_ist) AS month,
+  CASE WHEN isodow(r.when_ist) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend,
+  CASE WHEN hour(r.when_ist) <= 4 THEN 'Late Night (00-04)' WHEN hour(r.when_ist) <= 7 THEN 'Early Morning (04-07)'
+       WHEN hour(r.when_ist) <= 10 THEN 'Morning (07-10)' WHEN hour(r.when_ist) <= 16 THEN 'Midday (10-16)'
+       WHEN hour(r.when_ist) <= 19 THEN 'Evening (16-19)' WHEN hour(r.when_ist) <= 22 THEN 'Night Peak (19-22)'
+       ELSE 'Late Night (22-24)' END AS daypart,
+  CASE WHEN {_FESTIVAL_REQ} THEN 1 ELSE 0 END AS is_festival_window,
+  round(sin(2*pi()*hour(r.when_ist)/24e0), 6) AS hour_sin, round(cos(2*pi()*(isodow(r.when_ist) - 1)/7e0), 6) AS dow_cos
+FROM requests r JOIN ({CONTEXT_SQL}) c ON c.request_id = r.request_id"""
+
+
+@register("assemble_features", processed_ctes("requests", extra={"knn5": KNN5_SQL}) + _ASSEMBLE_SQL)
+def q_assemble(spark, sf_dir):
+    """F16: context + calendar features of every request (the geo cluster,
+    a KMeans output, is checked in ``geo_clusters``)."""
+    models, _, _ = trained(spark, sf_dir)
+    f = FC.assemble_features(requests_df(spark, sf_dir), processed(spark, sf_dir), models)
+    return f.select("request_id", "corridor", "police_station", "zone", "is_corridor",
+                    F.round("nearest_distance_km", 6).alias("nearest_distance_km"),
+                    F.hour("when_ist").alias("hour"), "month", "is_weekend", "daypart", "is_festival_window",
+                    F.round("hour_sin", 6).alias("hour_sin"), F.round("dow_cos", 6).alias("dow_cos"))
+
+
+@register("forecast")
+def q_forecast(spark, sf_dir):
+    """the end-to-end forecast of every request, flattened."""
+    models, _, _ = trained(spark, sf_dir)
+    fc = FC.forecast(requests_df(spark, sf_dir), processed(spark, sf_dir), models)
+    return FC.flatten_forecast(fc)
+
+
+FLAGSHIP = "forecast"
