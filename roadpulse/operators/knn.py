@@ -5,20 +5,21 @@ of ``cell_km``), and level-L cells made of 4^L fine cells per axis
 (``floor(fine / 4^L)``).  Two points within great-circle distance d_L =
 2R asin(c_L/2) sit in the same or adjacent level-L cells (27-neighbourhood).
 
-For every pending request, level L equi-joins its 27 level-L cells with the
-per-cell *counts* of level L-1 (an area-bounded summary, never the points).
-From each sub-cell's centre and half-diagonal we get lower / upper bounds of
-the distance to any point inside; ``ub_k`` is the smallest upper bound whose
-cumulative count reaches k.  When ``ub_k <= d_L`` every point that can be
-among the k nearest lies in a sub-cell with ``lb <= ub_k`` inside this
-neighbourhood, so the request is settled with those candidate cells; else it
-moves to the next (4x larger) level.  The last level covers the globe.
-
+For a request, level L equi-joins its 27 level-L cells with the per-cell
+*counts* of level L-1 (an area-bounded summary, never the points).  From each
+sub-cell's centre and half-diagonal come lower / upper bounds of the distance
+to any point inside; ``ub_k`` is the smallest upper bound whose cumulative
+count reaches k.  When ``ub_k <= d_L`` every point that can be among the k
+nearest lies in a sub-cell with ``lb <= ub_k`` inside this neighbourhood, so
+the request is settled at L with those candidate cells.  The last level
+covers the globe.
+
+The first ``first_pass`` levels are evaluated together in one job (most
+requests settle there); the remaining requests climb one level per job.
 Only candidate fine cells are then joined with the points, and the top k per
-request are kept with ``row_number() <= k`` (planned as a partial
-window-group-limit before the shuffle).  Cost is O(k) points per request in
-any density; no cross join, no broadcast of data-sized tables.  Ties are
-broken by the right-side id.
+request are kept with ``row_number() <= k`` (a window group limit).  Cost is
+O(k) points per request whatever the density; no cross join, no broadcast of
+data-sized tables.  Ties are broken by the right-side id.
 """
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.constants import EARTH_RADIUS_KM
+from roadpulse.session import materialize
 from roadpulse.functions.geo import chord_for_km, haversine_km, neighbour_offsets, unit_xyz
 
 _EPS_KM = 1e-9
@@ -45,19 +47,30 @@ def _chord_to_km(col):
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(c / 2)
 
 
+def _levels(c0: float, max_km: float | None) -> list[tuple[int, float, bool]]:
+    """(level, guaranteed radius, is_last) up to the globe or ``max_km``."""
+    out, level = [], 1
+    while True:
+        d = _level_radius_km(c0 * 4 ** level)
+        last = math.isinf(d) or (max_km is not None and d >= max_km)
+        out.append((level, d, last))
+        if last:
+            return out
+        level += 1
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, *,
              left_id: str = "request_id", left_lat: str = "lat", left_lon: str = "lon",
              right_id: str = "id", right_lat: str = "latitude", right_lon: str = "longitude",
              keys: tuple[str, ...] = (), max_km: float | None = None,
-             cell_km: float = 0.05) -> DataFrame:
+             cell_km: float = 0.05, first_pass: int = 3) -> DataFrame:
     """For each left row, the k nearest right rows (sharing ``keys``), or
     with ``max_km`` the k nearest within that radius.  k is capped at the
     number of right rows with the same keys.
 
     Returns ``left_id``, every right column, ``distance_km`` and ``nn_rank``
-    (1 = nearest).  Runs one small job per grid level (iterative settle).
+    (1 = nearest).
     """
-    spark = left.sparkSession
     keys = tuple(keys)
     c0 = chord_for_km(cell_km)
 
@@ -67,34 +80,31 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *,
         "_iy": F.floor(y / F.lit(c0)).cast("long"),
         "_iz": F.floor(z / F.lit(c0)).cast("long"),
     })
+    # area-bounded summaries, reused by every level
+    # (checkpointed: reused by every level without rescanning the points)
     fine = pts.groupBy(*keys, "_ix", "_iy", "_iz").agg(F.count("*").alias("_cnt"))
-    key_n = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    fine = materialize(fine, "knn_cells")
+    key_n = fine.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
 
     lx, ly, lz = unit_xyz(left_lat, left_lon)
-    req = left.select(F.col(left_id).alias("_lid"), *keys,
-                      lx.alias("_x"), ly.alias("_y"), lz.alias("_z"))
+    req = left.select(F.col(left_id).alias("_lid"), *keys, lx.alias("_x"), ly.alias("_y"), lz.alias("_z"))
     req = req.withColumns({
         "_fx": F.floor(F.col("_x") / F.lit(c0)).cast("long"),
         "_fy": F.floor(F.col("_y") / F.lit(c0)).cast("long"),
         "_fz": F.floor(F.col("_z") / F.lit(c0)).cast("long"),
     })
-    req = req.join(key_n, list(keys), "inner") if keys else req.join(key_n, how="cross")  # 1-row side
+    # key counts: one row per key (or a single row without keys)
+    req = req.join(key_n, list(keys), "inner") if keys else req.join(key_n, how="cross")
     req = req.withColumn("_k", F.least(F.lit(k), F.col("_n"))).drop("_n")
 
-    pending = req
-    cand_parts = []
-    level = 1
-    while True:
+    def level_frame(pend: DataFrame, level: int, d_lvl: float, last: bool) -> DataFrame:
         m, ms = 4 ** level, 4 ** (level - 1)
-        c_lvl, c_sub = c0 * m, c0 * ms
-        d_lvl = _level_radius_km(c_lvl)
-        final = math.isinf(d_lvl) or (max_km is not None and d_lvl >= max_km)
-
-        q = pending.select("_lid", *keys, "_x", "_y", "_z", "_k",
-                           F.floor(F.col("_fx") / m).cast("long").alias("_qx"),
-                           F.floor(F.col("_fy") / m).cast("long").alias("_qy"),
-                           F.floor(F.col("_fz") / m).cast("long").alias("_qz"),
-                           F.explode(neighbour_offsets()).alias("_o"))
+        c_sub = c0 * ms
+        q = pend.select("_lid", *keys, "_x", "_y", "_z", "_k",
+                        F.floor(F.col("_fx") / m).cast("long").alias("_qx"),
+                        F.floor(F.col("_fy") / m).cast("long").alias("_qy"),
+                        F.floor(F.col("_fz") / m).cast("long").alias("_qz"),
+                        F.explode(neighbour_offsets()).alias("_o"))
         q = q.select("_lid", *keys, "_x", "_y", "_z", "_k",
                      (F.col("_qx") + F.col("_o.dx")).alias("_px"),
                      (F.col("_qy") + F.col("_o.dy")).alias("_py"),
@@ -126,40 +136,55 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *,
             bound = F.when(F.col("_tot") >= F.col("_k"), F.least(F.col("_ubk"), F.lit(max_km))).otherwise(F.lit(max_km))
         else:
             bound = F.col("_ubk")
-        settled = F.lit(True) if final else ((F.col("_tot") >= F.col("_k")) & (F.col("_ubk") <= F.lit(d_lvl)))
-        j = j.withColumns({"_bound": bound, "_settled": settled}).checkpoint(eager=True)
+        settled = F.lit(True) if last else ((F.col("_tot") >= F.col("_k")) & (F.col("_ubk") <= F.lit(d_lvl)))
+        return j.withColumns({"_bound": bound, "_settled": settled, "_level": F.lit(level), "_ms": F.lit(ms)})
 
-        cands = j.where(F.col("_settled") & (F.col("_lb") <= F.col("_bound") + F.lit(_EPS_KM)))
-        cand_parts.append((ms, cands.select("_lid", *keys, "_sx", "_sy", "_sz", "_bound")))
-        if final:
+    levels = _levels(c0, max_km)
+    pending = req
+    cands_all = []
+    i = 0
+    while i < len(levels):
+        batch = levels[i:i + (first_pass if i == 0 else 1)]
+        frames = [level_frame(pending, lv, d, last) for lv, d, last in batch]
+        j = frames[0]
+        for f in frames[1:]:
+            j = j.unionByName(f)
+        # the lowest level at which each request settles
+        first = F.min(F.when(F.col("_settled"), F.col("_level"))).over(Window.partitionBy("_lid"))
+        j = materialize(j.withColumn("_first", first).where(F.col("_level") == F.col("_first")).drop("_first"),
+                        "knn_level")
+        cands_all.append(j.where(F.col("_lb") <= F.col("_bound") + F.lit(_EPS_KM))
+                         .select("_lid", *keys, "_sx", "_sy", "_sz", "_ms", "_bound"))
+        i += len(batch)
+        if i >= len(levels):
             break
-        # requests with no points at all in this neighbourhood are absent
-        # from ``j``: pending = not settled here (anti join), not "in j"
-        done = j.where(F.col("_settled")).select("_lid").distinct()
-        pending = pending.join(done, "_lid", "left_anti").checkpoint(eager=True)
+        # requests with no points in a neighbourhood are absent from ``j``:
+        # pending = not settled (anti join), not "present and unsettled"
+        pending = pending.join(j.select("_lid").distinct(), "_lid", "left_anti")
         if pending.isEmpty():
             break
-        level += 1
 
+    cands = cands_all[0]
+    for c in cands_all[1:]:
+        cands = cands.unionByName(c)
     # candidate sub-cells -> non-empty fine cells (summary join, area-bounded)
-    fine_cands = None
-    for ms, cands in cand_parts:
-        fc = fine.select(*keys, "_ix", "_iy", "_iz",
-                         F.floor(F.col("_ix") / ms).cast("long").alias("_sx"),
-                         F.floor(F.col("_iy") / ms).cast("long").alias("_sy"),
-                         F.floor(F.col("_iz") / ms).cast("long").alias("_sz"))
-        part = cands.join(fc, [*keys, "_sx", "_sy", "_sz"]).select("_lid", *keys, "_ix", "_iy", "_iz", "_bound")
-        fine_cands = part if fine_cands is None else fine_cands.unionByName(part)
+    fc = None
+    for ms in sorted({4 ** (lv - 1) for lv, _, _ in levels}):
+        part = fine.select(*keys, "_ix", "_iy", "_iz", F.lit(ms).alias("_ms"),
+                           F.floor(F.col("_ix") / ms).cast("long").alias("_sx"),
+                           F.floor(F.col("_iy") / ms).cast("long").alias("_sy"),
+                           F.floor(F.col("_iz") / ms).cast("long").alias("_sz"))
+        fc = part if fc is None else fc.unionByName(part)
+    fine_cands = cands.join(fc, [*keys, "_ms", "_sx", "_sy", "_sz"]) \
+        .select("_lid", *keys, "_ix", "_iy", "_iz", "_bound")
 
     lpos = left.select(F.col(left_id).alias("_lid"), F.col(left_lat).alias("_llat"), F.col(left_lon).alias("_llon"))
     pairs = fine_cands.join(pts, [*keys, "_ix", "_iy", "_iz"]).join(lpos, "_lid")
-    dist = haversine_km("_llat", "_llon", right_lat, right_lon)
-    pairs = pairs.withColumn("distance_km", dist)
+    pairs = pairs.withColumn("distance_km", haversine_km("_llat", "_llon", right_lat, right_lon))
     keep = F.col("distance_km") <= F.col("_bound") + F.lit(_EPS_KM)
     if max_km is not None:
         keep = keep & (F.col("distance_km") <= F.lit(max_km))
     pairs = pairs.where(keep)
     rank = F.row_number().over(Window.partitionBy("_lid").orderBy("distance_km", right_id))
     out = pairs.withColumn("nn_rank", rank).where(F.col("nn_rank") <= k)
-    right_cols = [c for c in right.columns]
-    return out.select(F.col("_lid").alias(left_id), *right_cols, "distance_km", "nn_rank")
+    return out.select(F.col("_lid").alias(left_id), *right.columns, "distance_km", "nn_rank")

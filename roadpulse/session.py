@@ -73,3 +73,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/roadpulse/{name}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as Parquet under the shared scratch
+    folder and reading it back (one computation, unlike an eager checkpoint
+    that computes the plan for the count and again for the files).  Survives
+    executor loss: the files live on the shared filesystem."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}_{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
