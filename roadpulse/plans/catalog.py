@@ -19,7 +19,7 @@ from roadpulse.operators import cleaning, dashboards
 from roadpulse.plans.oracle import (
     CLEAN_SQL, PROCESSED_SQL, RAW_PARSED_SQL, _r, processed_ctes, with_ctes,
 )
-from roadpulse.session import scratch_path
+from roadpulse.session import materialize, scratch_path
 from roadpulse.sources import fixtures as FX
 from roadpulse.sources.incidents import load_incidents
 
@@ -997,3 +997,168 @@ def q_forecast(spark, sf_dir):
 
 
 FLAGSHIP = "forecast"
+
+
+# ---------------------------------------------------------------- G: streams
+from roadpulse.streaming import jobs as ST  # noqa: E402
+
+
+@register("stream_forecast")
+def q_stream_forecast(spark, sf_dir):
+    """G1: requests landed as 5 JSON drops (one landed twice) are scored by
+    the streaming forecast; a replay on the same checkpoint adds nothing."""
+    models, _, _ = trained(spark, sf_dir)
+    hist = processed(spark, sf_dir)
+    base = scratch_path(spark, f"stream_forecast_{uuid.uuid4().hex[:10]}")
+    src = ST.land_drops(requests_df(spark, sf_dir), f"{base}/in")
+    for _ in range(2):
+        ST.start_stream_forecast(spark, src, f"{base}/out", f"{base}/ckpt", hist, models).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+@register("stream_feedback", with_ctes(["outcomes"]) + f"SELECT DISTINCT * FROM ({OUTCOME_ROWS_SQL}) o")
+def q_stream_feedback(spark, sf_dir):
+    """Outcome drops (one repeated, one 40 days late) streamed into the
+    feedback log one file per micro-batch; duplicates and the late row are
+    dropped, and a replay on the same checkpoint adds nothing."""
+    outs = outcomes_df(spark, sf_dir)
+    late = outs.limit(1).withColumn("start_datetime", F.date_format(
+        F.to_timestamp("start_datetime") - F.expr("INTERVAL 40 DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    base = scratch_path(spark, f"stream_feedback_{uuid.uuid4().hex[:10]}")
+    src = ST.land_drops(outs, f"{base}/in", late=late)
+    for _ in range(2):
+        ST.start_stream_feedback(spark, src, f"{base}/log", f"{base}/ckpt", max_files=1).awaitTermination()
+    return fb.load_feedback(spark, f"{base}/log").drop("feedback_logged_at")
+
+
+# ------------------------------------------------ C13, C15-C17: roads, places
+from roadpulse.operators import roads as RD  # noqa: E402
+from roadpulse.sources import briefing as BR  # noqa: E402
+
+
+def road_nodes(spark, sf_dir):
+    return FX.fixture(spark, sf_dir, "road_nodes")
+
+
+def road_edges(spark, sf_dir):
+    return FX.fixture(spark, sf_dir, "road_edges")
+
+
+def _road_requests(spark, sf_dir):
+    return requests_df(spark, sf_dir).select("request_id", "lat", "lon")
+
+
+@register("road_deployment_points")
+def q_road_deployment(spark, sf_dir):
+    """Register events snapped to the road lattice (400 m), barricades
+    along real approach bearings; others on the geometric ring."""
+    reg = register_df(spark, sf_dir).select(F.col("id").alias("request_id"), "lat", "lon",
+                                            F.col("barricades").alias("barricade_points"), "personnel")
+    pts = RD.road_deployment_points(reg, road_nodes(spark, sf_dir), road_edges(spark, sf_dir))
+    return pts.select("request_id", "kind", F.col("idx").cast("int").alias("idx"), F.round("bearing", 6).alias("bearing"),
+                      F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "n_approaches", "mode")
+
+
+@register("diversion_routes")
+def q_diversion_routes(spark, sf_dir):
+    """Shortest directed detours round each request's closed node."""
+    return RD.diversion_routes(_road_requests(spark, sf_dir), road_nodes(spark, sf_dir), road_edges(spark, sf_dir))
+
+
+@register("diversion_suggestion")
+def q_diversion_suggestion(spark, sf_dir):
+    """Road-graph routes where a graph node with neighbours is within
+    reach, else the nearest-corridor fallback."""
+    req = requests_df(spark, sf_dir)
+    hist = processed(spark, sf_dir)
+    ctx = spatial.nearest_context(req, hist).select("request_id", "corridor")
+    fb_ = FC.diversion_fallback(req.join(ctx, "request_id"), hist)
+    road = RD.diversion_routes(req.select("request_id", "lat", "lon"), road_nodes(spark, sf_dir),
+                               road_edges(spark, sf_dir))
+    j = req.select("request_id").join(fb_, "request_id", "left").join(
+        road.select("request_id", "approach_count", F.col("suggested_routes").alias("_rr")), "request_id", "left")
+    on_road = F.col("approach_count").isNotNull()
+    return j.select("request_id",
+                    F.when(on_road, F.lit("road_graph")).otherwise(F.lit("historical_fallback")).alias("mode"),
+                    "approach_count",
+                    F.when(on_road, F.col("_rr")).otherwise(F.col("suggested_routes")).alias("suggested_routes"))
+
+
+def gazetteer_df(spark, sf_dir):
+    return RD.build_gazetteer(processed(spark, sf_dir))
+
+
+_GAZ_SQL = r"""SELECT q.query_id, q.query, g.lat, g.lon, g.display_name FROM (
+  SELECT *, CASE WHEN trim(query) = '' THEN NULL
+    ELSE trim(regexp_replace(regexp_replace(lower(trim(query)), ',\s*bengaluru.*$', ''), '\s+', ' ', 'g')) END AS key
+  FROM place_queries) q
+LEFT JOIN (SELECT *, trim(regexp_replace(regexp_replace(lower(display_name), ',\s*bengaluru.*$', ''), '\s+', ' ', 'g')) AS key
+  FROM (SELECT regexp_replace(trim(regexp_replace(regexp_replace(junction, '([A-Z])', ' \1', 'g'), '\s+', ' ', 'g')),
+                 '\bJunc\b', 'Junction', 'g') AS display_name, avg(latitude) AS lat, avg(longitude) AS lon, count(*) AS n
+        FROM processed WHERE junction IS NOT NULL GROUP BY junction) j) g ON g.key = q.key
+QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY g.n DESC, g.display_name) = 1"""
+
+
+@register("gazetteer_lookup", processed_ctes("place_queries") + _GAZ_SQL)
+def q_gazetteer(spark, sf_dir):
+    """C17: typed place names resolved against the history's junctions;
+    blank or unknown names give NULL positions."""
+    q = FX.fixture(spark, sf_dir, "place_queries")
+    hist = processed(spark, sf_dir)
+    return RD.gazetteer_lookup(q, gazetteer_df(spark, sf_dir), dashboards.bbox(hist))
+
+
+REQUEST_COLS = "request_id, event_cause, event_type, lat, lon, when_ist, priority_override, requested_at, shift_id"
+
+
+@register("load_requests", with_ctes(["requests"]) + f"SELECT {REQUEST_COLS} FROM requests")
+def q_load_requests(spark, sf_dir):
+    """Requests landed as CSV and read back with the explicit schema."""
+    path = scratch_path(spark, f"requests_csv_{uuid.uuid4().hex[:10]}")
+    requests_df(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    return BR.load_requests(spark, path, "csv")
+
+
+@register("briefing_text")
+def q_briefing(spark, sf_dir):
+    """A10: the text briefing of every forecast (deployment points from the
+    geometric ring, as when no road graph is loaded)."""
+    models, _, _ = trained(spark, sf_dir)
+    fc = materialize(FC.forecast(requests_df(spark, sf_dir), processed(spark, sf_dir), models), "forecasts")
+    plan = fc.select("request_id", "lat", "lon", F.col("barricades.barricade_points").alias("barricade_points"),
+                     F.col("manpower.personnel").alias("personnel"))
+    return BR.briefing_text(fc, spatial.deployment_points(plan))
+
+
+@register("model_io_roundtrip")
+def q_model_io(spark, sf_dir):
+    """Saved models load back and score requests identically."""
+    models, _, _ = trained(spark, sf_dir)
+    req = requests_df(spark, sf_dir)
+    base = scratch_path(spark, f"models_copy_{uuid.uuid4().hex[:10]}")
+    ml.save_models(models, base)
+    again = ml.load_models(base)
+    feats = FC.assemble_features(req, processed(spark, sf_dir), models)
+    a = ml.predict_closure(models["closure_model"], feats.withColumn("priority", F.lit("High")))
+    b = ml.predict_closure(again["closure_model"], feats.withColumn("priority", F.lit("High")))
+    return a.select("request_id", F.col("closure_p").alias("p_saved")).join(
+        b.select("request_id", F.col("closure_p").alias("p_loaded")), "request_id")
+
+
+@register("metrics_log")
+def q_metrics_log(spark, sf_dir):
+    """Metrics appended per run and read back (empty when absent)."""
+    _, metrics, _ = trained(spark, sf_dir)
+    path = scratch_path(spark, f"metrics_log_{uuid.uuid4().hex[:10]}")
+    assert ml.read_metrics(spark, path).isEmpty()
+    ml.write_metrics(metrics, path)
+    return ml.latest_run(ml.read_metrics(spark, path))
+
+
+@register("retrain_with_feedback")
+def q_retrain(spark, sf_dir):
+    """Export + feedback log -> retrain -> new vs previous metrics."""
+    _, old, _ = trained(spark, sf_dir)
+    out = ml.retrain_with_feedback(raw_incidents(spark, sf_dir), fb.outcome_rows(outcomes_df(spark, sf_dir)), old,
+                                   cleaning.prepare_incidents, params=CATALOG_FOREST_PARAMS)
+    return out[2]
