@@ -1010,7 +1010,8 @@ def q_stream_forecast(spark, sf_dir):
     models, _, _ = trained(spark, sf_dir)
     hist = processed(spark, sf_dir)
     base = scratch_path(spark, f"stream_forecast_{uuid.uuid4().hex[:10]}")
-    src = ST.land_drops(requests_df(spark, sf_dir), f"{base}/in")
+    req = requests_df(spark, sf_dir)
+    src = ST.land_drops(req, f"{base}/in", F.col("requested_at"))
     for _ in range(2):
         ST.start_stream_forecast(spark, src, f"{base}/out", f"{base}/ckpt", hist, models).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
@@ -1025,7 +1026,7 @@ def q_stream_feedback(spark, sf_dir):
     late = outs.limit(1).withColumn("start_datetime", F.date_format(
         F.to_timestamp("start_datetime") - F.expr("INTERVAL 40 DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     base = scratch_path(spark, f"stream_feedback_{uuid.uuid4().hex[:10]}")
-    src = ST.land_drops(outs, f"{base}/in", late=late)
+    src = ST.land_drops(outs, f"{base}/in", F.to_timestamp("start_datetime"), late=late)
     for _ in range(2):
         ST.start_stream_feedback(spark, src, f"{base}/log", f"{base}/ckpt", max_files=1).awaitTermination()
     return fb.load_feedback(spark, f"{base}/log").drop("feedback_logged_at")
@@ -1115,7 +1116,8 @@ REQUEST_COLS = "request_id, event_cause, event_type, lat, lon, when_ist, priorit
 def q_load_requests(spark, sf_dir):
     """Requests landed as CSV and read back with the explicit schema."""
     path = scratch_path(spark, f"requests_csv_{uuid.uuid4().hex[:10]}")
-    requests_df(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    (requests_df(spark, sf_dir).write.mode("overwrite").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path))
     return BR.load_requests(spark, path, "csv")
 
 
