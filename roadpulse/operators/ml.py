@@ -108,7 +108,7 @@ def feature_stages(cats: list[str], nums: list[str]) -> list:
     ohe = [f"{c}__ohe" for c in cats]
     return [
         StringIndexer(inputCols=cats, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
         VectorAssembler(inputCols=ohe + nums, outputCol="features", handleInvalid="keep"),
     ]
 

@@ -1164,3 +1164,18 @@ def q_retrain(spark, sf_dir):
     out = ml.retrain_with_feedback(raw_incidents(spark, sf_dir), fb.outcome_rows(outcomes_df(spark, sf_dir)), old,
                                    cleaning.prepare_incidents, params=CATALOG_FOREST_PARAMS)
     return out[2]
+
+
+from roadpulse.sources.incidents import read_processed, write_processed  # noqa: E402
+
+
+@register("write_processed", processed_ctes() + f"""SELECT id, CAST(start_ts AS DATE) AS start_date, event_cause,
+  {_r('duration_min')} AS duration_min, is_corridor FROM processed""")
+def q_write_processed(spark, sf_dir):
+    """A2: the processed table written as Parquet partitioned by local
+    start date (rebalanced, sorted by time) and read back."""
+    path = scratch_path(spark, f"processed_{uuid.uuid4().hex[:10]}")
+    write_processed(processed(spark, sf_dir), path)
+    back = read_processed(spark, path)
+    return back.select("id", "start_date", "event_cause", F.round("duration_min", 6).alias("duration_min"),
+                       "is_corridor")
