@@ -238,6 +238,14 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 15) -
 
 
 # ------------------------------------------------------------------ E15
+def _spread(df: DataFrame) -> DataFrame:
+    """Iterative fits pass over their input many times: make sure it has at
+    least one partition per core (small inputs arrive as one file)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+
 def _metric_rows(model_name: str, one_row: DataFrame) -> DataFrame:
     cols = [c for c in one_row.columns]
     return one_row.select(F.explode(F.array(*[
@@ -250,8 +258,9 @@ def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, r
     Returns (models dict, metrics DataFrame, feature-importance DataFrame)."""
     params = params or {}
     run_id = run_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    history = _spread(history)
     km = fit_geo_clusters(history, n_init=n_init)
-    data = time_split(assign_geo_cluster(km, history)).persist()
+    data = _spread(time_split(assign_geo_cluster(km, history))).persist()
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
 
     pri = train_priority(train, params.get("priority"))

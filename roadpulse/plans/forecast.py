@@ -14,16 +14,18 @@ from roadpulse.constants import RAIN_SENSITIVE
 from roadpulse.functions import scoring as S
 from roadpulse.functions.temporal import calendar_columns
 from roadpulse.operators import ml, scoring, spatial
+from roadpulse.session import materialize
 
 FEATURE_COLS = ["event_cause", "event_type", "corridor", "police_station", "zone", "daypart", "geo_cluster",
                 "latitude", "longitude", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month", "is_weekend",
                 "is_festival_window", "is_corridor"]
 
 
-def assemble_features(requests: DataFrame, history: DataFrame, models: dict) -> DataFrame:
+def assemble_features(requests: DataFrame, history: DataFrame, models: dict,
+                      ctx: DataFrame | None = None) -> DataFrame:
     """F16: request rows with context (C6), geo cluster (C3) and calendar
     features of the local request time (B3-B6; naive times are IST)."""
-    ctx = spatial.nearest_context(requests, history)
+    ctx = ctx if ctx is not None else spatial.nearest_context(requests, history)
     r = requests.join(ctx, "request_id", "left")
     cal = calendar_columns("when_ist")
     r = r.withColumns({k: v for k, v in cal.items()
@@ -55,21 +57,25 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
     does not cover use the historical corridor fallback.  ``weather``
     (request_id, is_rain, multiplier) applies the rain adjustment (F13).
     """
-    feats = assemble_features(requests, history, models)
+    # context feeds the features and the corridor fallback: computed once
+    ctx = materialize(spatial.nearest_context(requests, history), "forecast_context")
+    feats = assemble_features(requests, history, models, ctx)
     feats = ml.predict_priority(models["priority_model"], feats)
     feats = feats.withColumn("priority_used", S.resolve_priority("priority_override", "suggested_priority"))
     scored = ml.predict_closure(models["closure_model"], feats.withColumn("priority", F.col("priority_used")))
     scored = ml.predict_duration(models["duration_model"], scored)
     scored = ml.predict_tier(models["duration_tier_model"], scored)
 
-    sim = spatial.similar_incidents(requests, history)
+    # used twice (stats and the precedent list): written once
+    sim = materialize(spatial.similar_incidents(requests, history), "forecast_similar")
     stats = scoring.precedent_stats(requests, sim)
     scored = scored.join(stats, "request_id", "left")
     scored = scored.withColumn("_dur_for_index", F.coalesce("precedent_median_min", "ml_duration_min"))
     scored = scoring.duration_percentile(scored, history, "_dur_for_index")
     scored = scored.withColumns(S.impact_columns("closure_p", "duration_pct", "priority_used", "is_corridor"))
 
-    fallback = diversion_fallback(scored.select("request_id", "lat", "lon", "corridor"), history)
+    fallback = diversion_fallback(requests.select("request_id", "lat", "lon").join(
+        ctx.select("request_id", "corridor"), "request_id", "left"), history)
     if road_diversions is not None:
         div = (fallback.join(road_diversions.select("request_id", "approach_count",
                                                     F.col("suggested_routes").alias("_road_routes")),
