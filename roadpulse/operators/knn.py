@@ -73,6 +73,11 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *,
     """
     keys = tuple(keys)
     c0 = chord_for_km(cell_km)
+    if left.isEmpty():  # nothing to place: skip the level jobs
+        from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+        schema = StructType([left.schema[left_id], *right.schema.fields,
+                             StructField("distance_km", DoubleType()), StructField("nn_rank", IntegerType())])
+        return left.sparkSession.createDataFrame([], schema)
 
     x, y, z = unit_xyz(right_lat, right_lon)
     pts = right.withColumns({

@@ -253,21 +253,30 @@ def _metric_rows(model_name: str, one_row: DataFrame) -> DataFrame:
         for c in cols])).alias("m")).select("m.*")
 
 
-def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, run_id: str | None = None):
-    """Clusters -> split -> four models -> long metrics table.
-    Returns (models dict, metrics DataFrame, feature-importance DataFrame)."""
+def fit_all(history: DataFrame, params: dict | None = None, n_init: int = 1):
+    """C2 + E2 + E4-E7: clusters, time split and the four models.
+    Returns (models, split data); the split data is cached for evaluation."""
     params = params or {}
-    run_id = run_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     history = _spread(history)
     km = fit_geo_clusters(history, n_init=n_init)
     data = _spread(time_split(assign_geo_cluster(km, history))).persist()
+    train = data.where(F.col("split") == "train")
+    models = {
+        "geo_kmeans": km,
+        "priority_model": train_priority(train, params.get("priority")),
+        "closure_model": train_closure(train, params.get("closure")),
+        "duration_model": train_duration(train, params.get("duration")),
+        "duration_tier_model": train_tier(train, params.get("tier")),
+    }
+    return models, data
+
+
+def evaluate_all(models: dict, data: DataFrame, run_id: str | None = None):
+    """E10-E14 on the test split: the long metrics table of a run (with
+    n_total, train window end, test window start) and the top-15 feature
+    importances of the closure, duration and tier models."""
+    run_id = run_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-
-    pri = train_priority(train, params.get("priority"))
-    clo = train_closure(train, params.get("closure"))
-    dur = train_duration(train, params.get("duration"))
-    tier = train_tier(train, params.get("tier"))
-
     head = data.agg(
         F.count("*").alias("n_total_events"),
         F.max(F.when(F.col("split") == "train", F.unix_micros(F.col("start_ts").cast("timestamp")))).alias("train_window_end_us"),
@@ -277,16 +286,17 @@ def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, r
     )
     parts = [_metric_rows("all", head)]
 
-    pp = predict_priority(pri, test).persist()
+    pp = predict_priority(models["priority_model"], test).persist()
     parts.append(_metric_rows("priority_model", M.multiclass_metrics(pp, "priority", "suggested_priority")
                               .select("accuracy", "f1_weighted")))
-    cp = predict_closure(clo, test).withColumn("_label", F.col("requires_road_closure").cast("int")).persist()
+    cp = predict_closure(models["closure_model"], test).withColumn(
+        "_label", F.col("requires_road_closure").cast("int")).persist()
     parts.append(_metric_rows("closure_model", M.rank_metrics(cp, "_label", "closure_p")
                               .join(M.binary_metrics(cp, "_label", "closure_p"), how="cross")))
     test_v = test.where("duration_valid")
-    dp = predict_duration(dur, test_v).persist()
+    dp = predict_duration(models["duration_model"], test_v).persist()
     reg = M.regression_metrics(dp, "duration_min", "ml_duration_min")
-    tp = predict_tier(tier, test_v).withColumn("tier", duration_tier("duration_min")).persist()
+    tp = predict_tier(models["duration_tier_model"], test_v).withColumn("tier", duration_tier("duration_min")).persist()
     naive = M.naive_baselines(train.where("duration_valid").withColumn("tier", duration_tier("duration_min")),
                               tp, "duration_min", "tier", TIER_LABELS)
     tm = M.multiclass_metrics(tp, "tier", "tier_prediction").select(
@@ -298,13 +308,22 @@ def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, r
         metrics = metrics.unionByName(p)
     metrics = metrics.withColumn("run_id", F.lit(run_id)).persist()
     metrics.count()
-    fi = (feature_importance(clo, test, 15).withColumn("model", F.lit("closure_model"))
-          .unionByName(feature_importance(dur, test_v, 15).withColumn("model", F.lit("duration_model")))
-          .unionByName(feature_importance(tier, test_v, 15).withColumn("model", F.lit("duration_tier_model"))))
-    models = {"geo_kmeans": km, "priority_model": pri, "closure_model": clo,
-              "duration_model": dur, "duration_tier_model": tier}
-    for d in (pp, cp, dp, tp, data):
+    fi = (feature_importance(models["closure_model"], test, 15).withColumn("model", F.lit("closure_model"))
+          .unionByName(feature_importance(models["duration_model"], test_v, 15)
+                       .withColumn("model", F.lit("duration_model")))
+          .unionByName(feature_importance(models["duration_tier_model"], test_v, 15)
+                       .withColumn("model", F.lit("duration_tier_model"))))
+    for d in (pp, cp, dp, tp):
         d.unpersist()
+    return metrics, fi
+
+
+def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, run_id: str | None = None):
+    """Clusters -> split -> four models -> long metrics table.
+    Returns (models dict, metrics DataFrame, feature-importance DataFrame)."""
+    models, data = fit_all(history, params, n_init)
+    metrics, fi = evaluate_all(models, data, run_id)
+    data.unpersist()
     return models, metrics, fi
 
 
