@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -26,6 +27,7 @@ from roadpulse.constants import (
 )
 from roadpulse.functions.temporal import duration_tier
 from roadpulse.operators import metrics as M
+from roadpulse.session import materialize
 
 PRIORITY_FEATURES = (CATEGORICAL_FEATURES, NUMERIC_FEATURES)
 CLOSURE_FEATURES = (CATEGORICAL_FEATURES + ["priority"], NUMERIC_FEATURES)
@@ -259,15 +261,17 @@ def fit_all(history: DataFrame, params: dict | None = None, n_init: int = 1):
     params = params or {}
     history = _spread(history)
     km = fit_geo_clusters(history, n_init=n_init)
-    data = _spread(time_split(assign_geo_cluster(km, history))).persist()
+    # written once: the fits and the evaluation then plan against a plain
+    # scan instead of re-analysing the cleaning + split lineage every step
+    data = _spread(materialize(time_split(assign_geo_cluster(km, history)), "ml_split")).persist()
     train = data.where(F.col("split") == "train")
-    models = {
-        "geo_kmeans": km,
-        "priority_model": train_priority(train, params.get("priority")),
-        "closure_model": train_closure(train, params.get("closure")),
-        "duration_model": train_duration(train, params.get("duration")),
-        "duration_tier_model": train_tier(train, params.get("tier")),
-    }
+    # the four forests are independent: submit their jobs concurrently so
+    # the level-by-level tree jobs of one fit fill cores another leaves idle
+    fits = {"priority_model": (train_priority, "priority"), "closure_model": (train_closure, "closure"),
+            "duration_model": (train_duration, "duration"), "duration_tier_model": (train_tier, "tier")}
+    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        futures = {name: pool.submit(fn, train, params.get(key)) for name, (fn, key) in fits.items()}
+        models = {"geo_kmeans": km, **{name: f.result() for name, f in futures.items()}}
     return models, data
 
 
@@ -286,35 +290,37 @@ def evaluate_all(models: dict, data: DataFrame, run_id: str | None = None):
     )
     parts = [_metric_rows("all", head)]
 
-    pp = predict_priority(models["priority_model"], test).persist()
+    pp = materialize(predict_priority(models["priority_model"], test), "ml_pred_priority")
     parts.append(_metric_rows("priority_model", M.multiclass_metrics(pp, "priority", "suggested_priority")
                               .select("accuracy", "f1_weighted")))
     cp = predict_closure(models["closure_model"], test).withColumn(
-        "_label", F.col("requires_road_closure").cast("int")).persist()
+        "_label", F.col("requires_road_closure").cast("int"))
+    cp = materialize(cp, "ml_pred_closure")
     parts.append(_metric_rows("closure_model", M.rank_metrics(cp, "_label", "closure_p")
                               .join(M.binary_metrics(cp, "_label", "closure_p"), how="cross")))
     test_v = test.where("duration_valid")
-    dp = predict_duration(models["duration_model"], test_v).persist()
+    dp = materialize(predict_duration(models["duration_model"], test_v), "ml_pred_duration")
     reg = M.regression_metrics(dp, "duration_min", "ml_duration_min")
-    tp = predict_tier(models["duration_tier_model"], test_v).withColumn("tier", duration_tier("duration_min")).persist()
+    tp = materialize(predict_tier(models["duration_tier_model"], test_v).withColumn("tier", duration_tier("duration_min")),
+                     "ml_pred_tier")
     naive = M.naive_baselines(train.where("duration_valid").withColumn("tier", duration_tier("duration_min")),
                               tp, "duration_min", "tier", TIER_LABELS)
     tm = M.multiclass_metrics(tp, "tier", "tier_prediction").select(
         F.col("accuracy").alias("tier_accuracy"), F.col("f1_macro").alias("tier_f1_macro"))
     parts.append(_metric_rows("duration_model", reg.join(naive, how="cross").join(tm, how="cross")))
 
-    metrics = parts[0]
-    for p in parts[1:]:
-        metrics = metrics.unionByName(p)
-    metrics = metrics.withColumn("run_id", F.lit(run_id)).persist()
-    metrics.count()
+    # each part is a handful of (model, metric, value) rows: evaluate the
+    # parts concurrently and keep the 26 numbers as a small table
+    with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+        rows = [r for rs in pool.map(lambda df: df.collect(), parts) for r in rs]
+    spark = data.sparkSession
+    metrics = spark.createDataFrame([(r.model, r.metric, r.value, run_id) for r in rows],
+                                    "model string, metric string, value double, run_id string")
     fi = (feature_importance(models["closure_model"], test, 15).withColumn("model", F.lit("closure_model"))
           .unionByName(feature_importance(models["duration_model"], test_v, 15)
                        .withColumn("model", F.lit("duration_model")))
           .unionByName(feature_importance(models["duration_tier_model"], test_v, 15)
                        .withColumn("model", F.lit("duration_tier_model"))))
-    for d in (pp, cp, dp, tp):
-        d.unpersist()
     return metrics, fi
 
 

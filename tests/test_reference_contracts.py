@@ -116,3 +116,16 @@ def test_feedback_round_trip(spark, sf_dir):
     assert log.first().event_cause == "accident"
     fb.log_outcomes(one, path)  # replay: nothing new
     assert fb.load_feedback(spark, path).count() == 1
+
+
+def test_gazetteer_never_raises_blank_and_miss_are_null(spark, history):
+    from roadpulse.operators import dashboards, roads
+    q = spark.createDataFrame([("a", ""), ("b", "   "), ("c", "Nowhere Street 9"), ("d", "hub a main junction, Bengaluru"),
+                               ("e", "HUB A MAIN JUNCTION")], "query_id string, query string")
+    gz = roads.build_gazetteer(history)
+    out = {r.query_id: r for r in roads.gazetteer_lookup(q, gz, dashboards.bbox(history)).collect()}
+    assert set(out) == {"a", "b", "c", "d", "e"}
+    for k in ("a", "b", "c"):
+        assert out[k].lat is None and out[k].lon is None
+    if gz.where("display_name = 'Hub A Main Junction'").count():
+        assert out["d"].lat is not None and out["d"].lat == out["e"].lat
