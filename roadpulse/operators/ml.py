@@ -12,6 +12,7 @@ import datetime as _dt
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -270,7 +271,9 @@ def fit_all(history: DataFrame, params: dict | None = None, n_init: int = 1):
     fits = {"priority_model": (train_priority, "priority"), "closure_model": (train_closure, "closure"),
             "duration_model": (train_duration, "duration"), "duration_tier_model": (train_tier, "tier")}
     with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-        futures = {name: pool.submit(fn, train, params.get(key)) for name, (fn, key) in fits.items()}
+        # inheritable: the threads keep the caller's job group / properties
+        futures = {name: pool.submit(inheritable_thread_target(fn), train, params.get(key))
+                   for name, (fn, key) in fits.items()}
         models = {"geo_kmeans": km, **{name: f.result() for name, f in futures.items()}}
     return models, data
 
@@ -312,7 +315,7 @@ def evaluate_all(models: dict, data: DataFrame, run_id: str | None = None):
     # each part is a handful of (model, metric, value) rows: evaluate the
     # parts concurrently and keep the 26 numbers as a small table
     with ThreadPoolExecutor(max_workers=len(parts)) as pool:
-        rows = [r for rs in pool.map(lambda df: df.collect(), parts) for r in rs]
+        rows = [r for rs in pool.map(inheritable_thread_target(lambda df: df.collect()), parts) for r in rs]
     spark = data.sparkSession
     metrics = spark.createDataFrame([(r.model, r.metric, r.value, run_id) for r in rows],
                                     "model string, metric string, value double, run_id string")
