@@ -1060,7 +1060,67 @@ def _road_requests(spark, sf_dir):
     return requests_df(spark, sf_dir).select("request_id", "lat", "lon")
 
 
-@register("road_deployment_points")
+def _bearing_sql(a_lat, a_lon, b_lat, b_lon):
+    return (f"((degrees(atan2(sin(radians({b_lon} - {a_lon})) * cos(radians({b_lat})), "
+            f"cos(radians({a_lat})) * sin(radians({b_lat})) - sin(radians({a_lat})) * cos(radians({b_lat})) * "
+            f"cos(radians({b_lon} - {a_lon})))) + 360e0) % 360e0)")
+
+
+def _off_sql(lat, lon, m, b):
+    return (f"round({lat} + {m} * cos(radians({b})) / 111320e0, 9)",
+            f"round({lon} + {m} * sin(radians({b})) / (111320e0 * cos(radians({lat}))), 9)")
+
+
+_RD_BLAT, _RD_BLON = _off_sql("node_lat", "node_lon", "90e0", "bearing")
+_RD_RLAT, _RD_RLON = _off_sql("node_lat", "node_lon", "24e0", "bearing")
+_RD_GLAT, _RD_GLON = _off_sql("lat", "lon", "m", "bearing")
+ROAD_DEPLOY_SQL = f"""WITH plan AS (SELECT id AS request_id, lat, lon, barricades AS nb, personnel AS np FROM register),
+snap AS (SELECT * FROM (
+  SELECT p.request_id, n.node_id, n.lat AS node_lat, n.lon AS node_lon,
+    {hav_sql('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d
+  FROM plan p CROSS JOIN road_nodes n
+  QUALIFY row_number() OVER (PARTITION BY p.request_id ORDER BY d, n.node_id) = 1) t WHERE d <= 4e-1),
+rk AS (SELECT s.request_id, s.node_lat, s.node_lon, e.dst AS nbr_id,
+    {_bearing_sql('s.node_lat', 's.node_lon', 'm.lat', 'm.lon')} AS bearing
+  FROM snap s JOIN (SELECT DISTINCT src, dst FROM road_edges) e ON e.src = s.node_id
+  JOIN road_nodes m ON m.node_id = e.dst),
+road AS (SELECT rk.*, row_number() OVER (PARTITION BY rk.request_id ORDER BY bearing, nbr_id) - 1 AS i,
+    count(*) OVER (PARTITION BY rk.request_id) AS n_approaches, p.nb, p.np
+  FROM rk JOIN plan p ON p.request_id = rk.request_id),
+head AS (SELECT DISTINCT request_id, node_lat, node_lon, n_approaches,
+    least(greatest(nb, 0), n_approaches) AS nbar, greatest(np, 0) AS npp FROM road),
+pts AS (
+  SELECT request_id, 'barricade' AS kind, i AS idx, bearing, {_RD_BLAT} AS lat, {_RD_BLON} AS lon, n_approaches
+  FROM road WHERE i < least(greatest(nb, 0), n_approaches)
+  UNION ALL
+  SELECT request_id, 'officer', i, bearing, {_RD_BLAT}, {_RD_BLON}, n_approaches
+  FROM road WHERE i < least(greatest(nb, 0), n_approaches) AND i < greatest(np, 0)
+  UNION ALL
+  SELECT request_id, 'officer', least(npp, nbar) + j,
+    CASE WHEN npp - least(npp, nbar) > 1 THEN 360e0 / (npp - least(npp, nbar)) * j ELSE 0e0 END AS bearing,
+    {_RD_RLAT.replace('bearing', 'CASE WHEN npp - least(npp, nbar) > 1 THEN 360e0 / (npp - least(npp, nbar)) * j ELSE 0e0 END')},
+    {_RD_RLON.replace('bearing', 'CASE WHEN npp - least(npp, nbar) > 1 THEN 360e0 / (npp - least(npp, nbar)) * j ELSE 0e0 END')},
+    n_approaches
+  FROM head, generate_series(0, npp - least(npp, nbar) - 1) g(j) WHERE npp - least(npp, nbar) > 0),
+geo_base AS (SELECT p.request_id, p.lat, p.lon, greatest(p.nb, 0) AS nb, greatest(p.np, 0) AS np FROM plan p
+  WHERE p.request_id NOT IN (SELECT request_id FROM head)),
+geo AS (
+  SELECT request_id, 'barricade' AS kind, i AS idx, 360e0 / nb * i AS bearing, lat, lon, 130e0 AS m
+  FROM geo_base, generate_series(0, nb - 1) g(i) WHERE nb > 0
+  UNION ALL SELECT request_id, 'officer', i, 360e0 / nb * i, lat, lon, 130e0
+  FROM geo_base, generate_series(0, least(np, nb) - 1) g(i) WHERE least(np, nb) > 0
+  UNION ALL SELECT request_id, 'officer', least(np, nb) + i,
+    CASE WHEN np - least(np, nb) > 1 THEN 360e0 / (np - least(np, nb)) * i ELSE 0e0 END, lat, lon, 28e0
+  FROM geo_base, generate_series(0, np - least(np, nb) - 1) g(i) WHERE np - least(np, nb) > 0)
+SELECT request_id, kind, CAST(idx AS INT) AS idx, round(bearing, 6) AS bearing, lat, lon,
+  CAST(n_approaches AS BIGINT) AS n_approaches, 'road_graph' AS mode FROM pts
+UNION ALL
+SELECT request_id, kind, CAST(idx AS INT), round(bearing, 6), {_RD_GLAT}, {_RD_GLON}, CAST(NULL AS BIGINT),
+  'geometric_fallback' FROM geo"""
+
+
+@register("road_deployment_points", with_ctes(["register", "road_nodes", "road_edges"]) +
+          "SELECT * FROM (" + ROAD_DEPLOY_SQL.replace("WITH plan AS", "WITH plan AS", 1) + ") z")
 def q_road_deployment(spark, sf_dir):
     """Register events snapped to the road lattice (400 m), barricades
     along real approach bearings; others on the geometric ring."""
