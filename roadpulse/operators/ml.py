@@ -54,8 +54,9 @@ _SLICES = 4096
 def time_split(df: DataFrame, frac: float = TRAIN_FRACTION, ts: str = "start_ts", id_col: str = "id") -> DataFrame:
     """The first ``int(n*frac)`` rows by (start time, id) are 'train',
     the rest 'test' - computed with a 4096-slice time histogram (running
-    sums on a tiny table) and a row_number only inside the slice that holds
-    the cut, never a window over the whole table."""
+    sums on a tiny table), a second one inside the slice holding the cut,
+    and a row_number only inside the sub-slice holding it - never a window
+    over the whole table."""
     t = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     stats = t.agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     stats = stats.withColumns({
@@ -73,12 +74,27 @@ def time_split(df: DataFrame, frac: float = TRAIN_FRACTION, ts: str = "start_ts"
     whole_test = F.col("_start") >= F.col("_cut")
     plain = t.where(whole_train | whole_test).withColumn(
         "split", F.when(whole_train, F.lit("train")).otherwise(F.lit("test")))
+    # the slice holding the cut: a second 4096-way time histogram inside it,
+    # so only the sub-slice holding the cut is ranked row by row
     edge = t.where(~(whole_train | whole_test))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(ts, id_col))
-    edge = edge.withColumn("split", F.when(F.col("_start") + rank <= F.col("_cut"), F.lit("train"))
-                           .otherwise(F.lit("test")))
+    sub_w = F.col("_w") / F.lit(float(_SLICES))
+    edge = edge.withColumn("_sb", F.greatest(F.lit(0), F.least(
+        F.floor((F.col("_us") - F.col("_lo") - F.col("_b") * F.col("_w")) / sub_w).cast("long"), F.lit(_SLICES - 1))))
+    hist2 = edge.groupBy("_b", "_sb").agg(F.count("*").alias("_c2"))
+    hist2 = hist2.withColumn("_e2", F.sum("_c2").over(
+        Window.partitionBy("_b").orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)))
+    hist2 = hist2.select("_b", "_sb", (F.col("_e2") - F.col("_c2")).alias("_s2"), "_e2")
+    edge = edge.join(F.broadcast(hist2), ["_b", "_sb"])  # <= 4096 rows
+    start2, end2 = F.col("_start") + F.col("_s2"), F.col("_start") + F.col("_e2")
+    train2, test2 = end2 <= F.col("_cut"), start2 >= F.col("_cut")
+    plain2 = edge.where(train2 | test2).withColumn(
+        "split", F.when(train2, F.lit("train")).otherwise(F.lit("test")))
+    edge2 = edge.where(~(train2 | test2))
+    rank = F.row_number().over(Window.partitionBy("_b", "_sb").orderBy(ts, id_col))
+    edge2 = edge2.withColumn("split", F.when(start2 + rank <= F.col("_cut"), F.lit("train"))
+                             .otherwise(F.lit("test")))
     keep = df.columns + ["split"]
-    return plain.select(*keep).unionByName(edge.select(*keep))
+    return plain.select(*keep).unionByName(plain2.select(*keep)).unionByName(edge2.select(*keep))
 
 
 # ------------------------------------------------------------------ C2/C3
