@@ -8,8 +8,6 @@ template.  Inside roles and texts a backslash is doubled and ``<|`` becomes
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,13 +99,15 @@ def format_chats(records: DataFrame, record="record", loss_role="assistant", lay
     return (
         written(records.withColumn(key, F.monotonically_increasing_id()), "chat")  # ids stay as written
         .withColumn(turns, canonical_turns(fingerprint(F.col(record)), F.col(record), layouts))
-        .select("*", F.posexplode_outer(turns).alias(pos, turn))
+        .select(*records.columns, key, F.col(turns).isNull().alias(turns), F.posexplode_outer(turns).alias(pos, turn))
+        # the record's own columns travel with its first turn alone
+        .withColumns({c: F.when(F.coalesce(pos, F.lit(0)) == 0, F.col(c)) for c in records.columns})
         .withColumn(seg, F.when(at_turn.isNotNull(), F.concat(
             F.lit(START), escaped(at_turn["role"]), F.lit(SEP), escaped(at_turn["text"]), F.lit(END))))
         .withColumn(start, F.coalesce(F.sum(F.char_length(seg)).over(
             Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .groupBy(key)
-        .agg(*[F.first(c).alias(c) for c in records.columns], F.first(F.col(turns).isNull()).alias(turns),
+        .agg(*[F.first(c, ignorenulls=True).alias(c) for c in records.columns], F.first(turns).alias(turns),
              F.sort_array(F.collect_list(F.when(at_turn.isNotNull(), F.struct(
                  F.col(pos).alias("pos"), F.col(seg).alias("seg"),
                  (F.col(start) + len(START) + F.char_length(escaped(at_turn["role"])) + len(SEP)).alias("start"),
