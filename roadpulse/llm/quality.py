@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable, text="text", key="doc_i
         return pd.DataFrame({"w": [w.tolist()]})
 
     # one bounded group: 2 * sample rows of a few numbers
-    model = both.groupBy(F.lit(1)).applyInPandas(fit, "w array<double>").first()
+    model = both.groupBy().applyInPandas(fit, "w array<double>").first()
     return list(model["w"]) if model else [0.0] * (1 + 3 * len(NAMES))
 
 
