@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import fold, fresh, table, written
-from roadpulse.llm.surface import NAMES, labelled, sampled, surface
+from roadpulse.llm.surface import NAMES, labelled, sampled, surface, texts_of
 
 #: documents fitted on: at most so many trusted positives, and as many unlabelled
 SAMPLE = 8000
@@ -95,13 +95,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable, text="text", key="doc_i
     learned from; at most ``sample`` positives and ``sample`` unlabelled
     documents are used.  Without any positive or document: a constant that
     scores every text 0.5."""
-    slim = docs.select(key, text)
-    trusted = labelled(slim, labels.filter(F.col(label) == 1), label, learnable, key, sample)
-    others = sampled(slim.filter(F.col(key).isNotNull()).select(key).distinct(), key, sample).withColumnRenamed(key, "sampled_id")
-    unlabelled = slim.join(F.broadcast(others), slim[key] == F.col("sampled_id"))
+    trusted = labelled(docs, labels.filter(F.col(label) == 1), label, learnable, text, key, sample)
+    others = sampled(docs.filter(F.col(key).isNotNull()).select(key).distinct(), key, sample)
     both = written(
-        trusted.select(F.lit(1).alias("trusted"), F.col(key).alias("id"), F.col(text).alias("text"))
-        .unionByName(unlabelled.select(F.lit(0).alias("trusted"), F.col(key).alias("id"), F.col(text).alias("text")))
+        trusted.select(F.lit(1).alias("trusted"), "id", "text")
+        .unionByName(texts_of(docs, others, text, key).select(F.lit(0).alias("trusted"), "id", "text"))
         .select("trusted", "id", _features(F.col("text")).alias("x")), "quality_sample")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:

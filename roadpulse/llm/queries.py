@@ -1,13 +1,14 @@
 """The queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from roadpulse.llm import chat, embedding_dedup, license_scan, mixing, packing, quality, simhash, topk, toxicity
+from roadpulse.llm import chat, embedding_dedup, language_model, license_scan, mixing, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
+    "op5_lm_scoring": language_model.op5_lm_scoring,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_simhash": simhash.op8_simhash,

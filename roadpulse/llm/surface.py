@@ -53,12 +53,21 @@ def sampled(ids: DataFrame, key: str, bound: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(key), key).limit(bound)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable, key: str, bound: int) -> DataFrame:
-    """Rows of ``docs`` with a usable label ``y`` (0 or 1), at most ``bound``
-    labelled ids.  Labels repeated for an id count as their largest; ids
-    without a label, or labelled null, are left out.  The sample of ids is
-    bounded, so it is broadcast and no text is shuffled."""
+def texts_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, text, and the other columns of ``ids``) of a bounded set of ids.
+
+    The set is broadcast, so no text is shuffled; of rows that repeat an id,
+    however many, one text stays."""
+    ids = ids.withColumnRenamed(key, "id")
+    found = docs.select(F.col(key).alias("found"), F.col(text).cast("string").alias("text")).join(
+        F.broadcast(ids), F.col("found") == F.col("id"))
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable, text: str, key: str, bound: int) -> DataFrame:
+    """(id, y, text) of documents with a usable label ``y`` (0 or 1), for at
+    most ``bound`` labelled ids.  Labels repeated for an id count as their
+    largest; ids without a label, or labelled null, are left out."""
     ids = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(label).cast("int").alias("y")).filter(learnable)
-    chosen = sampled(ids, key, bound).withColumnRenamed(key, "labelled_id")
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("labelled_id")).drop("labelled_id")
+    return texts_of(docs, sampled(ids, key, bound), text, key)

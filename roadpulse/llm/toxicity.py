@@ -157,8 +157,7 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, learnable, text="text", key="doc_id", label="toxic", sample=SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` labelled documents that ``learnable`` admits.
     With no label, or one class alone, every score is that class's (0 for none)."""
-    rows = written(labelled(docs.select(key, text), labels, label, learnable, key, sample)
-                   .select(F.col(key).alias("id"), F.col(text).alias("text"), "y"), "toxic_sample")
+    rows = written(labelled(docs, labels, label, learnable, text, key, sample), "toxic_sample")
     lexicon = learn_lexicon(rows)
     if not lexicon and rows.select("y").distinct().count() < 2:
         one = rows.agg(F.max("y")).first()[0]
