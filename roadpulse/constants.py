@@ -7,18 +7,22 @@ operator reads them from here.
 """
 from __future__ import annotations
 
+# --- fixed values: texts that a CSV export means as missing --------------------
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # --- fixed values: time ------------------------------------------------------
 LOCAL_TZ = "Asia/Kolkata"
 
-# IST calendar-date windows (inclusive) flagged as festival periods.
+# first and last local date of each festival period
 FESTIVAL_WINDOWS = [
-    ("2023-11-10", "2023-11-15"),  # Diwali / Deepavali
-    ("2023-12-24", "2023-12-26"),  # Christmas
-    ("2023-12-31", "2024-01-01"),  # New Year's Eve / Day
-    ("2024-01-14", "2024-01-16"),  # Makar Sankranti
-    ("2024-01-26", "2024-01-26"),  # Republic Day
-    ("2024-03-08", "2024-03-08"),  # Maha Shivaratri
-    ("2024-03-25", "2024-03-26"),  # Holi
+    ("2023-11-10", "2023-11-15"),
+    ("2023-12-24", "2023-12-26"),
+    ("2023-12-31", "2024-01-01"),
+    ("2024-01-14", "2024-01-16"),
+    ("2024-01-26", "2024-01-26"),
+    ("2024-03-08", "2024-03-08"),
+    ("2024-03-25", "2024-03-26"),
 ]
 
 # Right-closed hour bins (-1,4], (4,7], (7,10], (10,16], (16,19], (19,22], (22,24].

@@ -34,11 +34,6 @@ def chord_for_km(d_km: float) -> float:
     return 2.0 * math.sin(min(d_km / (2.0 * EARTH_RADIUS_KM), math.pi / 2))
 
 
-def km_for_chord(chord) -> Column:
-    """Great-circle km of a unit-sphere chord (clamped to [0, 2])."""
-    c = F.least(F.greatest(_c(chord), F.lit(0.0)), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(c / 2)
-
 
 def grid_cell(lat, lon, cell: float) -> tuple[Column, Column, Column]:
     """C4: integer cell of the unit-sphere point at cube edge ``cell``.

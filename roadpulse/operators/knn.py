@@ -17,9 +17,14 @@ covers the globe.
 The first ``first_pass`` levels are evaluated together in one job (most
 requests settle there); the remaining requests climb one level per job.
 Only candidate fine cells are then joined with the points, and the top k per
-request are kept with ``row_number() <= k`` (a window group limit).  Cost is
-O(k) points per request whatever the density; no cross join, no broadcast of
-data-sized tables.  Ties are broken by the right-side id.
+request are kept with ``row_number() <= k`` (a window group limit).
+
+Dense places are thinned and refined first, both exactly: of points with equal
+keys and coordinates only the k smallest ids can ever be among a request's k
+nearest, and while the fullest cell holds more than ``CELL_POINTS * k`` points
+the cell edge is quartered, down to ``MIN_CELL_KM``.  So a request meets a
+bounded number of points unless a metre holds more of them.  No cross join, no
+broadcast of data-sized tables.  Ties are broken by the right-side id.
 """
 from __future__ import annotations
 
@@ -33,6 +38,9 @@ from roadpulse.session import materialize
 from roadpulse.functions.geo import chord_for_km, haversine_km, neighbour_offsets, unit_xyz
 
 _EPS_KM = 1e-9
+#: points of the fullest cell, per wanted neighbour, above which cells are quartered
+CELL_POINTS = 16
+MIN_CELL_KM = 0.001
 
 
 def _level_radius_km(cell: float) -> float:
@@ -59,6 +67,19 @@ def _levels(c0: float, max_km: float | None) -> list[tuple[int, float, bool]]:
         level += 1
 
 
+def _fit_cell(points: DataFrame, keys, lat: str, lon: str, cell_km: float, k: int) -> tuple[float, int]:
+    """Chord edge of the fine cells, and how often ``cell_km`` was quartered."""
+    x, y, z = unit_xyz(lat, lon)
+    steps = 0
+    while True:
+        c0 = chord_for_km(cell_km)
+        fullest = (points.groupBy(*keys, *[F.floor(v / F.lit(c0)).alias(n) for v, n in ((x, "_ix"), (y, "_iy"), (z, "_iz"))])
+                   .count().agg(F.max("count")).first()[0]) or 0
+        if fullest <= CELL_POINTS * k or cell_km / 4 < MIN_CELL_KM:
+            return c0, steps
+        cell_km, steps = cell_km / 4, steps + 1
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, *,
              left_id: str = "request_id", left_lat: str = "lat", left_lon: str = "lon",
              right_id: str = "id", right_lat: str = "latitude", right_lon: str = "longitude",
@@ -72,13 +93,17 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *,
     (1 = nearest).
     """
     keys = tuple(keys)
-    c0 = chord_for_km(cell_km)
     if left.isEmpty():  # nothing to place: skip the level jobs
         from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
         schema = StructType([left.schema[left_id], *right.schema.fields,
                              StructField("distance_km", DoubleType()), StructField("nn_rank", IntegerType())])
         return left.sparkSession.createDataFrame([], schema)
 
+    same = Window.partitionBy(*keys, right_lat, right_lon).orderBy(right_id)
+    right = materialize(right.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same"),
+                        "knn_points")
+    c0, steps = _fit_cell(right, keys, right_lat, right_lon, cell_km, k)
+    first_pass += steps
     x, y, z = unit_xyz(right_lat, right_lon)
     pts = right.withColumns({
         "_ix": F.floor(x / F.lit(c0)).cast("long"),

@@ -406,8 +406,3 @@ def latest_run(metrics: DataFrame) -> DataFrame:
     """Rows of the most recent run id."""
     last = metrics.agg(F.max("run_id").alias("run_id"))
     return metrics.join(last, "run_id")
-
-
-def metrics_json(metrics: DataFrame) -> str:
-    """Small helper for reports: the (already tiny) metrics table as JSON."""
-    return json.dumps([r.asDict() for r in metrics.collect()])

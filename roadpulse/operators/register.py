@@ -12,11 +12,10 @@ REGISTER_COLS = ["id", "cause", "event_type", "lat", "lon", "location_name", "wh
 
 
 def forecasts_to_register(forecasts: DataFrame) -> DataFrame:
-    """F18 append rows: status 'active', 8-char id from an md5 of the request
-    id and time (stable across replays)."""
+    """F18 append rows: status 'active', id an md5 of the request id and time
+    (stable across replays)."""
     return forecasts.select(
-        F.substring(F.md5(F.concat_ws("|", "request_id", F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))),
-                    1, 8).alias("id"),
+        F.md5(F.concat_ws("|", "request_id", F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).alias("id"),
         F.col("event_cause").alias("cause"), "event_type", "lat", "lon",
         F.coalesce(F.col("location_name"), F.lit("Unknown")).alias("location_name")
         if "location_name" in forecasts.columns else F.lit("Unknown").alias("location_name"),

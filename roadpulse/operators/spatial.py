@@ -131,8 +131,3 @@ def detect_conflicts(register: DataFrame, radius_m: float = CONFLICT_RADIUS_M) -
     return (pairs.withColumn("distance_m", dist_m).where(F.col("distance_m") < radius_m)
             .select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "distance_m",
                     (F.col("a_personnel") + F.col("b_personnel")).alias("combined_personnel")))
-
-
-def compass_bearings(points: DataFrame, lat0: str, lon0: str) -> DataFrame:
-    """Bearing from the incident to each deployment point (briefing helper)."""
-    return points.withColumn("bearing_from_incident", bearing_between(lat0, lon0, "lat", "lon"))

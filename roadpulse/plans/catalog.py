@@ -49,13 +49,13 @@ def raw_csv_path(spark: SparkSession, sf_dir: str) -> str:
     """Land the text export as CSV (with two surplus columns) once per input
     directory, in the shared scratch folder."""
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    path = scratch_path(spark, f"incidents_raw_csv_v2_{tag}")
+    path = scratch_path(spark, f"incidents_raw_csv_v3_{tag}")
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         # keep surrounding blanks: they are part of the raw values (" debris ")
-        (FX.fixture(spark, sf_dir, "incidents_raw").write.mode("overwrite").option("header", True)
+        (FX.fixture(spark, sf_dir, "incidents_raw").write.mode("overwrite").option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
@@ -66,7 +66,8 @@ def raw_incidents(spark, sf_dir) -> DataFrame:
 
 # ------------------------------------------------------- A: sources / sinks
 @register("load_incidents", with_ctes(["incidents_raw"]) +
-          "SELECT * EXCLUDE (comment, map_file) FROM incidents_raw")
+          """SELECT * EXCLUDE (comment, map_file) REPLACE (CASE WHEN zone NOT IN ('NULL', 'NA') THEN zone END AS zone)
+FROM incidents_raw""")
 def q_load_incidents(spark, sf_dir):
     return raw_incidents(spark, sf_dir)
 
@@ -621,9 +622,9 @@ import uuid  # noqa: E402
 from roadpulse.operators import register as reg_ops  # noqa: E402
 from roadpulse.sources import feedback as fb  # noqa: E402
 
-_KEY_SQL = ("concat_ws('|', event_cause, event_type, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR), start_datetime, "
-            "actual_end_datetime)")
-OUTCOME_ROWS_SQL = f"""SELECT 'fb-' || substr(md5({_KEY_SQL}), 1, 10) AS id, event_type, lat AS latitude, lon AS longitude,
+_KEY_SQL = "concat_ws('|', " + ", ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in fb.SUBMITTED) + ")"
+OUTCOME_ROWS_SQL = f"""SELECT 'fb-' || md5({_KEY_SQL}) AS id, event_type, lat AS latitude, lon AS longitude,
   address, event_cause, requires_road_closure, start_datetime, actual_end_datetime AS end_datetime, 'resolved' AS status,
   priority, corridor, start_datetime AS created_date, police_station, actual_end_datetime AS closed_datetime,
   actual_end_datetime AS resolved_datetime, CAST(NULL AS VARCHAR) AS zone, CAST(NULL AS VARCHAR) AS junction,
@@ -687,7 +688,7 @@ def q_forecast_vs_outcome(spark, sf_dir):
 @register("register_add", processed_ctes("scenario_scores", "register", extra={
     "valid": "SELECT duration_min AS d FROM processed WHERE duration_valid", "imp": _IMPACT_SQL}) + """SELECT id, cause,
   status, impact_score, band FROM register UNION ALL
-SELECT substr(md5(s.request_id || '|' || strftime(s.requested_at, '%Y-%m-%d %H:%M:%S.%f')), 1, 8), s.event_cause, 'active',
+SELECT md5(s.request_id || '|' || strftime(s.requested_at, '%Y-%m-%d %H:%M:%S.%f')), s.event_cause, 'active',
   round(i.c_closure + i.c_duration + i.c_priority + i.c_corridor, 1),
   CASE WHEN raw >= 0 AND raw < 25 THEN 'Low' WHEN raw >= 25 AND raw < 50 THEN 'Medium'
        WHEN raw >= 50 AND raw < 75 THEN 'High' ELSE 'Critical' END
@@ -1024,22 +1025,34 @@ def q_stream_forecast(spark, sf_dir):
     req = requests_df(spark, sf_dir)
     src = ST.land_drops(req, f"{base}/in", F.col("requested_at"))
     for _ in range(2):
-        ST.start_stream_forecast(spark, src, f"{base}/out", f"{base}/ckpt", hist, models).awaitTermination()
+        ST.start_stream_forecast(spark, src, f"{base}/out", f"{base}/ckpt", hist, models, max_files=3).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
-@register("stream_feedback", with_ctes(["outcomes"]) + f"SELECT DISTINCT * FROM ({OUTCOME_ROWS_SQL}) o")
+_ODD_SQL = """SELECT * EXCLUDE (k) REPLACE (CASE k WHEN 0 THEN strftime(CAST(start_datetime AS TIMESTAMP) - INTERVAL 40 DAY, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN 1 THEN 'not-a-date' ELSE start_datetime END AS start_datetime,
+  CASE k WHEN 2 THEN notes || ' (again)' ELSE notes END AS notes)
+  FROM outcomes, (VALUES (0), (1), (2)) t(k)"""
+
+
+@register("stream_feedback", with_ctes(["outcomes"], {"odd": _ODD_SQL}) + f"""SELECT DISTINCT * FROM (
+  {OUTCOME_ROWS_SQL} UNION ALL {OUTCOME_ROWS_SQL.replace("FROM outcomes", "FROM odd")}) o""")
 def q_stream_feedback(spark, sf_dir):
-    """Outcome drops (one repeated, one 40 days late) streamed into the
-    feedback log one file per micro-batch; duplicates and the late row are
-    dropped, and a replay on the same checkpoint adds nothing."""
+    """Outcome drops streamed into the feedback log over several
+    micro-batches: one drop repeated, and a last one that holds, for every
+    outcome, a copy 40 days late, one with a malformed time, and another
+    submission for the same place and time.  All of them are logged once; a
+    replay on the same checkpoint adds nothing."""
     outs = outcomes_df(spark, sf_dir)
-    late = outs.limit(1).withColumn("start_datetime", F.date_format(
+    k = F.col("k")
+    odd = outs.crossJoin(spark.range(3).select(F.col("id").alias("k"))).withColumn("start_datetime", F.when(k == 0, F.date_format(
         F.to_timestamp("start_datetime") - F.expr("INTERVAL 40 DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k == 1, "not-a-date").otherwise(F.col("start_datetime"))).withColumn(
+        "notes", F.when(k == 2, F.concat("notes", F.lit(" (again)"))).otherwise(F.col("notes"))).drop("k")
     base = scratch_path(spark, f"stream_feedback_{uuid.uuid4().hex[:10]}")
-    src = ST.land_drops(outs, f"{base}/in", F.to_timestamp("start_datetime"), late=late)
+    src = ST.land_drops(outs, f"{base}/in", F.to_timestamp("start_datetime"), late=odd)
     for _ in range(2):
-        ST.start_stream_feedback(spark, src, f"{base}/log", f"{base}/ckpt", max_files=1).awaitTermination()
+        ST.start_stream_feedback(spark, src, f"{base}/log", f"{base}/ckpt", max_files=3).awaitTermination()
     return fb.load_feedback(spark, f"{base}/log").drop("feedback_logged_at")
 
 
@@ -1187,7 +1200,7 @@ REQUEST_COLS = "request_id, event_cause, event_type, lat, lon, when_ist, priorit
 def q_load_requests(spark, sf_dir):
     """Requests landed as CSV and read back with the explicit schema."""
     path = scratch_path(spark, f"requests_csv_{uuid.uuid4().hex[:10]}")
-    (requests_df(spark, sf_dir).write.mode("overwrite").option("header", True)
+    (requests_df(spark, sf_dir).select(*reversed(REQUEST_COLS.split(", "))).write.mode("overwrite").option("header", True)
      .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path))
     return BR.load_requests(spark, path, "csv")
 

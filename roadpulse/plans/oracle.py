@@ -52,7 +52,8 @@ FROM ({CLEAN_SQL}) c
 WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND start_ts IS NOT NULL) t"""
 
 RAW_PARSED_SQL = """SELECT id, event_type, TRY_CAST(latitude AS DOUBLE) AS latitude, TRY_CAST(longitude AS DOUBLE) AS longitude,
-  address, event_cause, status, priority, corridor, police_station, zone, junction,
+  address, event_cause, status, priority, corridor, police_station,
+  CASE WHEN zone NOT IN ('NULL', 'NA') THEN zone END AS zone, junction,
   coalesce(lower(trim(requires_road_closure)) IN ('true', '1', 'yes', '1.0', 't', 'y'), false) AS requires_road_closure,
   TRY_CAST(start_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS start_datetime,
   TRY_CAST(end_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS end_datetime,

@@ -73,7 +73,7 @@ RAW_CAUSE = """CASE WHEN event_id IN (0, 977) THEN 'rare_cause'
   ELSE NULL END"""
 
 # the cause a dispatcher would pick from the form's option list
-REQUEST_CAUSE = """CASE
+REQUEST_CAUSE = """CASE WHEN event_id % 1009 = 977 THEN 'rare_cause'
   WHEN ci IN (0, 1) THEN 'vehicle_breakdown' WHEN ci = 2 THEN 'accident'
   WHEN ci = 3 THEN 'construction' WHEN ci = 4 THEN 'pot_holes'
   WHEN ci = 5 THEN 'tree_fall' WHEN ci = 6 THEN 'water_logging'
@@ -100,6 +100,10 @@ END_MIN = "CASE WHEN ci IN (3, 7) AND event_id % 2 = 0 THEN 12e1 END"
 STATUS = "CASE WHEN event_type IN ('error', 'click') THEN 'resolved' ELSE 'open' END"
 ADDRESS = "'Road ' || CAST(event_id % 50 AS STRING)"
 
+# quotes, commas and line breaks, as addresses in real exports have them
+RAW_ADDRESS = f"""CASE WHEN event_id % 40 = 7 THEN 'Near "Big" shop, MG Road'
+  WHEN event_id % 40 = 9 THEN 'Gate 2,' || chr(10) || 'Ring "Road' ELSE {ADDRESS} END"""
+
 _BASE = f"SELECT *, {_HUB} AS hub, {_CI} AS ci FROM events"
 
 
@@ -139,7 +143,7 @@ def incidents_raw_sql(dialect: str) -> str:
   {EVENT_TYPE} AS event_type,
   CASE WHEN event_id % 333 = 5 THEN NULL ELSE CAST({LATITUDE} AS STRING) END AS latitude,
   CAST({LONGITUDE} AS STRING) AS longitude,
-  {ADDRESS} AS address,
+  {RAW_ADDRESS} AS address,
   {RAW_CAUSE} AS event_cause,
   CASE WHEN event_id % 401 = 0 THEN NULL WHEN ((event_id*31 + user_id*17) % 100) < ({CLOSURE_RATE})
        THEN 'TRUE' ELSE 'FALSE' END AS requires_road_closure,
@@ -152,7 +156,7 @@ def incidents_raw_sql(dialect: str) -> str:
   {POLICE_STATION} AS police_station,
   {iso(add(CLOSED_MIN))} AS closed_datetime,
   {iso(add(RESOLVED_MIN))} AS resolved_datetime,
-  {ZONE} AS zone,
+  CASE WHEN event_id % 100 = 60 THEN 'NULL' WHEN event_id % 100 = 61 THEN 'NA' ELSE {ZONE} END AS zone,
   {JUNCTION} AS junction,
   'n/a' AS comment,
   CAST(event_id % 7 AS STRING) AS map_file
@@ -160,7 +164,7 @@ FROM ({_BASE}) b"""
 
 
 def requests_sql(dialect: str) -> str:
-    """Scenario requests: every 20th event re-posed 30 days later, nudged 1e-3
+    """Scenario requests: every event re-posed 30 days later, nudged 1e-3
     degrees, plus the two fixed points of the reference's own tests."""
     lit = lambda t: _ts_literal(t, dialect)
     return f"""SELECT
@@ -173,7 +177,7 @@ def requests_sql(dialect: str) -> str:
   CASE WHEN event_id % 60 = 3 THEN 'Low' END AS priority_override,
   ts AS requested_at,
   CAST(user_id % 4 AS INT) AS shift_id
-FROM ({_BASE}) b WHERE event_id % 20 = 3
+FROM ({_BASE}) b
 UNION ALL SELECT 'rq-test-silkboard', 'vehicle_breakdown', 'unplanned', 12.9352e0, 77.6146e0,
   {lit('2026-07-01 09:00:00')}, CAST(NULL AS STRING), {lit('2024-01-15 06:00:00')}, 0
 UNION ALL SELECT 'rq-test-far', 'public_event', 'planned', 13.2e0, 77.85e0,
@@ -207,7 +211,7 @@ def register_sql(dialect: str) -> str:
   CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'active' END AS status,
   ts AS added_at,
   CAST(user_id % 4 AS INT) AS shift_id
-FROM ({_BASE}) b WHERE event_id % 20 = 3"""
+FROM ({_BASE}) b"""
 
 
 def scores_sql(dialect: str) -> str:
@@ -240,7 +244,7 @@ def outcomes_sql(dialect: str) -> str:
   ((event_id*7919) % 1001)/1e1 AS forecast_impact_score,
   event_id % 4 = 1 AS escalated_beyond_forecast,
   'outcome ' || CAST(event_id AS STRING) AS notes
-FROM ({_BASE}) b WHERE event_id % 200 = 5"""
+FROM ({_BASE}) b"""
 
 
 def weather_payloads_sql(dialect: str) -> str:
@@ -318,7 +322,7 @@ def place_queries_sql(dialect: str) -> str:
        WHEN event_id % 7 = 2 THEN lower('Hub ' || chr(CAST(65 + hub AS INT)) || ' Main Junction') || ', Bengaluru'
        WHEN event_id % 7 = 3 THEN 'Nowhere Street ' || CAST(event_id % 13 AS STRING)
        ELSE upper('hub ' || chr(CAST(65 + hub AS INT)) || ' main junction') END AS query
-FROM ({_BASE}) b WHERE event_id % 50 = 7"""
+FROM ({_BASE}) b"""
 
 
 def scenario_scores_sql(dialect: str) -> str:
@@ -365,8 +369,3 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one stand-in table over the parquet files of ``sf_dir``."""
     register_sources(spark, sf_dir)
     return spark.sql(FIXTURES[name](SPARK))
-
-
-def fixture_cte(names) -> str:
-    """``WITH`` clause defining the named fixtures for the DuckDB oracle."""
-    return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n](DUCKDB)})" for n in names)
