@@ -1,7 +1,6 @@
 """MLlib models over the processed table.
 
-* split by time without a global sort (histogram over time, rank only
-  inside the boundary slice);
+* split by time at one looked-up row;
 * one-hot features where an unseen category encodes as all zeros;
 * four random forests with balanced class weights via ``weightCol``;
 * metrics as small aggregations over cached predictions.
@@ -9,17 +8,16 @@
 from __future__ import annotations
 
 import datetime as _dt
-import json
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.constants import (
@@ -28,81 +26,53 @@ from roadpulse.constants import (
 )
 from roadpulse.functions.temporal import duration_tier
 from roadpulse.operators import metrics as M
+from roadpulse.operators.ranks import Ranks
 from roadpulse.session import materialize
 
+# starts of KMeans, as in the reference
+GEO_STARTS = 10
+
 PRIORITY_FEATURES = (CATEGORICAL_FEATURES, NUMERIC_FEATURES)
 CLOSURE_FEATURES = (CATEGORICAL_FEATURES + ["priority"], NUMERIC_FEATURES)
 DURATION_FEATURES = (DURATION_CATEGORICAL, DURATION_NUMERIC)
 
-# forest settings of the reference; sklearn depth is unbounded, MLlib caps
-# at 30 - we use 20 where the reference sets no limit
+# forest settings of the reference; where it sets no depth, MLlib's limit of 30
 DEFAULT_PARAMS = {
-    "priority": dict(numTrees=300, minInstancesPerNode=3, maxDepth=20),
-    "closure": dict(numTrees=400, minInstancesPerNode=2, maxDepth=20),
+    "priority": dict(numTrees=300, minInstancesPerNode=3, maxDepth=30),
+    "closure": dict(numTrees=400, minInstancesPerNode=2, maxDepth=30),
     "duration": dict(numTrees=300, minInstancesPerNode=25, maxDepth=8),
     "tier": dict(numTrees=300, minInstancesPerNode=15, maxDepth=8),
 }
 
 # level-wise tree building: more nodes per pass over the data (fewer passes
 # for deep trees) and node ids cached instead of re-walking every tree
-TREE_TUNING = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
-
-_SLICES = 4096
-
+TREE_TUNING = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=128)
 
 # ------------------------------------------------------------------ E2
 def time_split(df: DataFrame, frac: float = TRAIN_FRACTION, ts: str = "start_ts", id_col: str = "id") -> DataFrame:
     """The first ``int(n*frac)`` rows by (start time, id) are 'train',
-    the rest 'test' - computed with a 4096-slice time histogram (running
-    sums on a tiny table), a second one inside the slice holding the cut,
-    and a row_number only inside the sub-slice holding it - never a window
-    over the whole table."""
-    t = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    stats = t.agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    stats = stats.withColumns({
-        "_w": F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(_SLICES)), F.lit(1.0)),
-        "_cut": F.floor(F.col("_n") * F.lit(frac)).cast("long"),
-    })
-    t = t.join(F.broadcast(stats.select("_lo", "_w", "_cut")), how="cross")  # 1-row side
-    t = t.withColumn("_b", F.least(F.floor((F.col("_us") - F.col("_lo")) / F.col("_w")).cast("long"),
-                                   F.lit(_SLICES - 1)))
-    hist = t.groupBy("_b").agg(F.count("*").alias("_c"))
-    hist = hist.withColumn("_end", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-    hist = hist.withColumn("_start", F.col("_end") - F.col("_c")).select("_b", "_start", "_end")
-    t = t.join(F.broadcast(hist), "_b")  # <= 4096 rows
-    whole_train = F.col("_end") <= F.col("_cut")
-    whole_test = F.col("_start") >= F.col("_cut")
-    plain = t.where(whole_train | whole_test).withColumn(
-        "split", F.when(whole_train, F.lit("train")).otherwise(F.lit("test")))
-    # the slice holding the cut: a second 4096-way time histogram inside it,
-    # so only the sub-slice holding the cut is ranked row by row
-    edge = t.where(~(whole_train | whole_test))
-    sub_w = F.col("_w") / F.lit(float(_SLICES))
-    edge = edge.withColumn("_sb", F.greatest(F.lit(0), F.least(
-        F.floor((F.col("_us") - F.col("_lo") - F.col("_b") * F.col("_w")) / sub_w).cast("long"), F.lit(_SLICES - 1))))
-    hist2 = edge.groupBy("_b", "_sb").agg(F.count("*").alias("_c2"))
-    hist2 = hist2.withColumn("_e2", F.sum("_c2").over(
-        Window.partitionBy("_b").orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)))
-    hist2 = hist2.select("_b", "_sb", (F.col("_e2") - F.col("_c2")).alias("_s2"), "_e2")
-    edge = edge.join(F.broadcast(hist2), ["_b", "_sb"])  # <= 4096 rows
-    start2, end2 = F.col("_start") + F.col("_s2"), F.col("_start") + F.col("_e2")
-    train2, test2 = end2 <= F.col("_cut"), start2 >= F.col("_cut")
-    plain2 = edge.where(train2 | test2).withColumn(
-        "split", F.when(train2, F.lit("train")).otherwise(F.lit("test")))
-    edge2 = edge.where(~(train2 | test2))
-    rank = F.row_number().over(Window.partitionBy("_b", "_sb").orderBy(ts, id_col))
-    edge2 = edge2.withColumn("split", F.when(start2 + rank <= F.col("_cut"), F.lit("train"))
-                             .otherwise(F.lit("test")))
-    keep = df.columns + ["split"]
-    return plain.select(*keep).unionByName(plain2.select(*keep)).unionByName(edge2.select(*keep))
+    the rest 'test'; rows without a time stand last.  The last training row
+    is looked up once (``Ranks`` over time and id alone), and every row is
+    then compared with it."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    ranks = Ranks(df.select(us.alias("us"), F.col(id_col).alias("id")), "us", "id")
+    n_train = int(ranks.n * frac)
+    if not n_train:
+        return df.withColumn("split", F.lit("test"))
+    cut = ranks.at([n_train - 1])[0]
+    if cut["us"] is None:
+        train = us.isNotNull() | (F.col(id_col) <= F.lit(cut["id"]))
+    else:
+        train = (us < F.lit(cut["us"])) | ((us == F.lit(cut["us"])) & (F.col(id_col) <= F.lit(cut["id"])))
+    return df.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
 # ------------------------------------------------------------------ C2/C3
-def fit_geo_clusters(df: DataFrame, k: int = GEO_CLUSTERS, seed: int = RANDOM_SEED, n_init: int = 1) -> KMeansModel:
-    """KMeans over raw (lat, lon) degrees.  MLlib seeds with k-means||;
-    ``n_init`` > 1 fits several seeds and keeps the lowest cost."""
+def fit_geo_clusters(df: DataFrame, k: int = GEO_CLUSTERS, seed: int = RANDOM_SEED, n_init: int = GEO_STARTS) -> KMeansModel:
+    """KMeans over raw (lat, lon) degrees: ``n_init`` starts (k-means||), of
+    which the one with the lowest cost stays."""
     pts = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="_geo").transform(
-        df.select("latitude", "longitude")).persist()
+        df.select("latitude", "longitude")).persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for i in range(max(1, n_init)):
         km = KMeans(k=k, seed=seed + i, featuresCol="_geo", predictionCol="geo_cluster").fit(pts)
@@ -207,35 +177,34 @@ def _labels(model: PipelineModel) -> list[str]:
     return list(model.stages[-1].getLabels())
 
 
+def _scored(model: PipelineModel, df: DataFrame, added) -> DataFrame:
+    """``df`` as it was, with the columns that ``added(prediction)`` names.
+    The model sees prepared copies of its inputs; the originals come back."""
+    kept = {f"_kept_{i}": c for i, c in enumerate(df.columns)}
+    pred = model.transform(_prepare(df.withColumns({k: F.col(c) for k, c in kept.items()})))
+    made = added(pred)
+    return pred.select(*[F.col(k).alias(c) for k, c in kept.items() if c not in made],
+                       *[v.alias(c) for c, v in made.items()])
+
+
 def predict_priority(model: PipelineModel, df: DataFrame, out: str = "suggested_priority") -> DataFrame:
-    pred = model.transform(_prepare(df))
-    return pred.withColumn(out, F.col("predicted_label")).drop(*_model_cols(pred, df))
+    return _scored(model, df, lambda p: {out: F.col("predicted_label")})
 
 
 def predict_closure(model: PipelineModel, df: DataFrame, out: str = "closure_p") -> DataFrame:
-    pred = model.transform(_prepare(df))
-    return pred.withColumn(out, vector_to_array("probability")[1]).drop(*_model_cols(pred, df))
+    return _scored(model, df, lambda p: {out: vector_to_array("probability")[1]})
 
 
 def predict_duration(model: PipelineModel, df: DataFrame, out: str = "ml_duration_min") -> DataFrame:
-    pred = model.transform(_prepare(df))
-    return pred.withColumn(out, F.expm1("prediction")).drop(*_model_cols(pred, df))
+    return _scored(model, df, lambda p: {out: F.expm1("prediction")})
 
 
 def predict_tier(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Tier prediction and a label -> probability map (3 decimals)."""
-    labels = _labels(model)
-    arr = F.array(*[F.lit(v) for v in labels])
-    pred = model.transform(_prepare(df))
+    arr = F.array(*[F.lit(v) for v in _labels(model)])
     probs = F.transform(vector_to_array("probability"), lambda p: F.round(p, 3))
-    return (pred.withColumn("tier_prediction", F.col("predicted_label"))
-            .withColumn("tier_probabilities", F.map_from_arrays(arr, probs))
-            .drop(*_model_cols(pred, df)))
-
-
-def _model_cols(pred: DataFrame, original: DataFrame) -> list[str]:
-    keep = set(original.columns)
-    return [c for c in pred.columns if c not in keep]
+    return _scored(model, df, lambda p: {"tier_prediction": F.col("predicted_label"),
+                                         "tier_probabilities": F.map_from_arrays(arr, probs)})
 
 
 # ------------------------------------------------------------------ E14
@@ -257,12 +226,16 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 15) -
 
 
 # ------------------------------------------------------------------ E15
-def _spread(df: DataFrame) -> DataFrame:
-    """Iterative fits pass over their input many times: make sure it has at
-    least one partition per core (small inputs arrive as one file)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+#: rows of a training partition, and the fewest partitions
+PART_ROWS, LEAST_PARTS = 100_000, 32
+
 
+def _spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Training rows dealt by id, in as many partitions as their number asks
+    for: bootstrap samples are drawn per partition, so the fitted forests
+    depend on the rows alone and not on cores or files."""
+    n = max(LEAST_PARTS, -(-df.count() // PART_ROWS))
+    return df.repartition(n, key).sortWithinPartitions(key)
 
 
 def _metric_rows(model_name: str, one_row: DataFrame) -> DataFrame:
@@ -272,11 +245,10 @@ def _metric_rows(model_name: str, one_row: DataFrame) -> DataFrame:
         for c in cols])).alias("m")).select("m.*")
 
 
-def fit_all(history: DataFrame, params: dict | None = None, n_init: int = 1):
+def fit_all(history: DataFrame, params: dict | None = None, n_init: int = GEO_STARTS):
     """C2 + E2 + E4-E7: clusters, time split and the four models.
     Returns (models, split data); the split data is cached for evaluation."""
     params = params or {}
-    history = _spread(history)
     km = fit_geo_clusters(history, n_init=n_init)
     # written once: the fits and the evaluation then plan against a plain
     # scan instead of re-analysing the cleaning + split lineage every step
@@ -309,27 +281,36 @@ def evaluate_all(models: dict, data: DataFrame, run_id: str | None = None):
     )
     parts = [_metric_rows("all", head)]
 
-    pp = materialize(predict_priority(models["priority_model"], test), "ml_pred_priority")
+    pp = materialize(predict_priority(models["priority_model"], test).select("priority", "suggested_priority"), "ml_pred_priority")
     parts.append(_metric_rows("priority_model", M.multiclass_metrics(pp, "priority", "suggested_priority")
                               .select("accuracy", "f1_weighted")))
     cp = predict_closure(models["closure_model"], test).withColumn(
         "_label", F.col("requires_road_closure").cast("int"))
-    cp = materialize(cp, "ml_pred_closure")
+    cp = materialize(cp.select("_label", "closure_p"), "ml_pred_closure")
     parts.append(_metric_rows("closure_model", M.rank_metrics(cp, "_label", "closure_p")
                               .join(M.binary_metrics(cp, "_label", "closure_p"), how="cross")))
     test_v = test.where("duration_valid")
-    dp = materialize(predict_duration(models["duration_model"], test_v), "ml_pred_duration")
+    dp = materialize(predict_duration(models["duration_model"], test_v).select("duration_min", "ml_duration_min"), "ml_pred_duration")
     reg = M.regression_metrics(dp, "duration_min", "ml_duration_min")
-    tp = materialize(predict_tier(models["duration_tier_model"], test_v).withColumn("tier", duration_tier("duration_min")),
-                     "ml_pred_tier")
+    tp = materialize(predict_tier(models["duration_tier_model"], test_v).withColumn("tier", duration_tier("duration_min"))
+                     .select("duration_min", "tier", "tier_prediction"), "ml_pred_tier")
     naive = M.naive_baselines(train.where("duration_valid").withColumn("tier", duration_tier("duration_min")),
                               tp, "duration_min", "tier", TIER_LABELS)
     tm = M.multiclass_metrics(tp, "tier", "tier_prediction").select(
         F.col("accuracy").alias("tier_accuracy"), F.col("f1_macro").alias("tier_f1_macro"))
+    # class shares of the test split, tier confusion, and how many rows the duration models learned from
+    balance = M.class_balance(pp, "priority").select(
+        F.lit("priority_model").alias("model"), F.concat(F.lit("test_share_"), F.col("priority")).alias("metric"),
+        F.col("share").cast("double").alias("value"))
+    confusion = M.confusion_long(tp, TIER_LABELS, "tier", "tier_prediction").select(
+        F.lit("duration_model").alias("model"), F.concat(F.lit("tier_confusion_"), "row", F.lit("_"), "col").alias("metric"),
+        F.col("n").cast("double").alias("value"))
+    learned = train.where("duration_valid").agg(F.count("*").alias("n_train_valid"))
+    parts += [balance, confusion, _metric_rows("duration_model", learned)]
     parts.append(_metric_rows("duration_model", reg.join(naive, how="cross").join(tm, how="cross")))
 
     # each part is a handful of (model, metric, value) rows: evaluate the
-    # parts concurrently and keep the 26 numbers as a small table
+    # parts concurrently and keep the numbers as a small table
     with ThreadPoolExecutor(max_workers=len(parts)) as pool:
         rows = [r for rs in pool.map(inheritable_thread_target(lambda df: df.collect()), parts) for r in rs]
     spark = data.sparkSession
@@ -343,7 +324,7 @@ def evaluate_all(models: dict, data: DataFrame, run_id: str | None = None):
     return metrics, fi
 
 
-def train_all(history: DataFrame, params: dict | None = None, n_init: int = 1, run_id: str | None = None):
+def train_all(history: DataFrame, params: dict | None = None, n_init: int = GEO_STARTS, run_id: str | None = None):
     """Clusters -> split -> four models -> long metrics table.
     Returns (models dict, metrics DataFrame, feature-importance DataFrame)."""
     models, data = fit_all(history, params, n_init)

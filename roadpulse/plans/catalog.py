@@ -799,18 +799,13 @@ from roadpulse.operators import metrics as MT  # noqa: E402
 from roadpulse.operators import ml  # noqa: E402
 from roadpulse.plans import forecast as FC  # noqa: E402
 
-# Forest sizes used by the registered queries.  The library defaults are the
-# reference's (300/400 trees); the catalog trains 50-tree forests so the
-# whole catalog stays runnable in one session - all other settings equal.
-CATALOG_FOREST_PARAMS = {name: dict(p, numTrees=50) for name, p in ml.DEFAULT_PARAMS.items()}
-
 _MODEL_CACHE: dict = {}
 
 
 def _fitted(spark, sf_dir, params=None):
     """Models for ``sf_dir``: fitted once per session, saved with A6 under
     the shared scratch folder and loaded back from there."""
-    params = params or CATALOG_FOREST_PARAMS
+    params = params or ml.DEFAULT_PARAMS  # the reference's 300 and 400 trees
     key = (sf_dir, _json.dumps(params, sort_keys=True), id(spark.sparkContext._jsc))
     if key not in _MODEL_CACHE:
         models, data = ml.fit_all(processed(spark, sf_dir), params=params)
@@ -1246,7 +1241,7 @@ def q_retrain(spark, sf_dir):
     """Export + feedback log -> retrain -> new vs previous metrics."""
     _, old, _ = trained(spark, sf_dir)
     out = ml.retrain_with_feedback(raw_incidents(spark, sf_dir), fb.outcome_rows(outcomes_df(spark, sf_dir)), old,
-                                   cleaning.prepare_incidents, params=CATALOG_FOREST_PARAMS)
+                                   cleaning.prepare_incidents)
     return out[2]
 
 

@@ -46,3 +46,19 @@ def test_knn_matches_brute_force(spark):
             want = [h for _, h in sorted(cands)[:k]]
             have = [h for _, h in sorted(got.get(q, []))]
             assert have == want, (k, keys, q)
+
+
+def test_knn_in_one_dense_cell(spark):
+    """Many points within metres, a third of them at one coordinate."""
+    rng = random.Random(8)
+    right = [(f"h{i:04d}", 12.9, 77.6) if i % 3 == 0 else (f"h{i:04d}", 12.9 + rng.random() * 2e-4, 77.6 + rng.random() * 2e-4)
+             for i in range(900)]
+    left = [(f"q{i}", 12.9 + rng.random() * 2e-4, 77.6 + rng.random() * 2e-4) for i in range(60)] + [("q-on", 12.9, 77.6)]
+    R = spark.createDataFrame(right, "hid string, latitude double, longitude double")
+    L = spark.createDataFrame(left, "request_id string, lat double, lon double")
+    got = {}
+    for r in knn_join(L, R, 4, right_id="hid").collect():
+        got.setdefault(r.request_id, []).append((r.nn_rank, r.hid))
+    for q, la, lo in left:
+        want = [h for _, h in sorted((round(_hav(la, lo, h[1], h[2]), 9), h[0]) for h in right)[:4]]
+        assert [h for _, h in sorted(got[q])] == want
