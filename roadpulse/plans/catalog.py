@@ -1258,3 +1258,81 @@ def q_write_processed(spark, sf_dir):
     back = read_processed(spark, path)
     return back.select("id", "start_date", "event_cause", F.round("duration_min", 6).alias("duration_min"),
                        "is_corridor")
+
+
+# -------------------------------- what SQL can hold the training family against
+@register("training_facts", processed_ctes(extra={
+    "split_t": SPLIT_SQL,
+    "tiers": f"SELECT *, {_TIER_SQL.format(m='duration_min')} AS tier FROM split_t WHERE duration_valid"}) + """
+SELECT model, metric, round(value, 6) AS value FROM (
+  SELECT 'all' AS model, 'n_total_events' AS metric, count(*)::DOUBLE AS value FROM split_t
+  UNION ALL SELECT 'all', 'n_train', count(*) FROM split_t WHERE split = 'train'
+  UNION ALL SELECT 'all', 'n_test', count(*) FROM split_t WHERE split = 'test'
+  UNION ALL SELECT 'all', 'train_window_end_us', epoch_us(max(start_ts)) FROM split_t WHERE split = 'train'
+  UNION ALL SELECT 'all', 'test_window_start_us', epoch_us(min(start_ts)) FROM split_t WHERE split = 'test'
+  UNION ALL SELECT 'closure_model', 'positive_rate', avg(CAST(requires_road_closure AS DOUBLE)) FROM split_t WHERE split = 'test'
+  UNION ALL SELECT 'priority_model', 'test_share_' || priority, count(*) / (SELECT count(*) FROM split_t WHERE split = 'test')
+    FROM split_t WHERE split = 'test' GROUP BY priority
+  UNION ALL SELECT 'duration_model', 'n_train_valid', count(*) FROM tiers WHERE split = 'train'
+  UNION ALL SELECT 'duration_model', 'naive_baseline_mae_minutes', avg(abs(duration_min - (
+    SELECT quantile_cont(duration_min, 0.5) FROM tiers WHERE split = 'train'))) FROM tiers WHERE split = 'test'
+) facts""")
+def q_training_facts(spark, sf_dir):
+    """What the metrics of a training run say of its data."""
+    _, metrics, _ = trained(spark, sf_dir)
+    told = ["n_total_events", "n_train", "n_test", "train_window_end_us", "test_window_start_us", "positive_rate",
+            "n_train_valid", "naive_baseline_mae_minutes"]
+    return metrics.where(F.col("metric").isin(told) | F.col("metric").startswith("test_share_")).select(
+        "model", "metric", F.round("value", 6).alias("value"))
+
+
+@register("geo_cluster_assignment", with_ctes(["requests"]) + """
+SELECT count(*) AS n_requests, CAST(0 AS BIGINT) AS not_at_nearest, CAST(50 AS BIGINT) AS n_centres FROM requests""")
+def q_geo_cluster_assignment(spark, sf_dir):
+    """Requests whose cluster is not that of their nearest centre (none)."""
+    models, _, _ = trained(spark, sf_dir, with_metrics=False)
+    centres = [tuple(float(x) for x in c) for c in models["geo_kmeans"].clusterCenters()]
+    req = requests_df(spark, sf_dir).withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")})
+    placed = ml.assign_geo_cluster(models["geo_kmeans"], req)
+    apart = F.array(*[F.pow(F.col("lat") - a, 2) + F.pow(F.col("lon") - b, 2) for a, b in centres])
+    own = F.element_at(apart, F.col("geo_cluster").cast("int") + 1)
+    return placed.agg(F.count("*").alias("n_requests"),
+                      F.count(F.when(own > F.array_min(apart) + 1e-12, 1)).alias("not_at_nearest")).withColumn(
+        "n_centres", F.lit(len(centres)).cast("long"))
+
+
+@register("model_io_differences", with_ctes(["requests"]) + """
+SELECT count(*) AS n_requests, CAST(0 AS BIGINT) AS n_different FROM requests""")
+def q_model_io_differences(spark, sf_dir):
+    """Requests that saved and loaded models score differently (none)."""
+    return q_model_io(spark, sf_dir).agg(
+        F.count("*").alias("n_requests"), F.count(F.when(~F.col("p_saved").eqNullSafe(F.col("p_loaded")), 1)).alias("n_different"))
+
+
+@register("register_clear", with_ctes(["register"]) + f"""SELECT count(*) AS n_before,
+  CAST(0 AS BIGINT) AS n_after FROM register""")
+def q_register_clear(spark, sf_dir):
+    """rows of the register before and after it is cleared."""
+    reg = register_df(spark, sf_dir)
+    return reg.agg(F.count("*").alias("n_before")).join(reg_ops.clear(reg).agg(F.count("*").alias("n_after")), how="cross")
+
+
+@register("allocation_totals", with_ctes(["register"], {"avail": _AVAILABLE_SQL}) + """
+SELECT shift_id, CAST(sum(personnel) AS BIGINT) AS needed, CAST(sum(allocated) AS BIGINT) AS allocated,
+  CAST(sum(greatest(personnel - allocated, 0)) AS BIGINT) AS short FROM (
+  SELECT *, CAST(CASE WHEN pos = n THEN greatest(available - before, 0)
+                      ELSE least(greatest(available - before, 0), want) END AS BIGINT) AS allocated FROM (
+    SELECT *, coalesce(sum(want) OVER (PARTITION BY shift_id ORDER BY impact_score DESC, id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      row_number() OVER (PARTITION BY shift_id ORDER BY impact_score DESC, id) AS pos FROM (
+      SELECT r.*, a.available, count(*) OVER (PARTITION BY r.shift_id) AS n,
+        greatest(1, CAST(round_even(a.available * r.impact_score /
+          CASE WHEN sum(r.impact_score) OVER (PARTITION BY r.shift_id) = 0 THEN 1e0
+               ELSE sum(r.impact_score) OVER (PARTITION BY r.shift_id) END, 0) AS BIGINT)) AS want
+      FROM register r JOIN avail a ON a.shift_id = r.shift_id WHERE r.status = 'active' AND a.available > 0) x) y) z
+GROUP BY shift_id""")
+def q_allocation_totals(spark, sf_dir):
+    """officers needed, placed and short in each shift."""
+    return q_allocation(spark, sf_dir).groupBy("shift_id").agg(
+        F.sum("personnel").cast("long").alias("needed"), F.sum("allocated").cast("long").alias("allocated"),
+        F.sum("shortfall").cast("long").alias("short"))
