@@ -1336,3 +1336,22 @@ def q_allocation_totals(spark, sf_dir):
     return q_allocation(spark, sf_dir).groupBy("shift_id").agg(
         F.sum("personnel").cast("long").alias("needed"), F.sum("allocated").cast("long").alias("allocated"),
         F.sum("shortfall").cast("long").alias("short"))
+
+
+@register("forecast_attached")
+def q_forecast_attached(spark, sf_dir):
+    """F17 with everything attached: road diversions, the weather as of each
+    request, and a history that includes the logged outcomes."""
+    models, _, _ = trained(spark, sf_dir, with_metrics=False)
+    req = requests_df(spark, sf_dir)
+    history = materialize(cleaning.prepare_incidents(fb.augment_with_feedback(
+        raw_incidents(spark, sf_dir), fb.outcome_rows(outcomes_df(spark, sf_dir)))), "history_with_feedback")
+    roads = materialize(RD.diversion_routes(req.select("request_id", "lat", "lon"), road_nodes(spark, sf_dir),
+                                            road_edges(spark, sf_dir)), "road_diversions")
+    weather = materialize(W.weather_asof_join(req, weather_df(spark, sf_dir)), "weather_as_of")
+    out = FC.forecast(req, history, models, road_diversions=roads, weather=weather)
+    return FC.flatten_forecast(out).join(out.select(
+        "request_id", F.round("weather_adjusted_closure", 6).alias("weather_adjusted_closure"), F.col("diversion.approach_count").alias("approach_count"),
+        F.col("diversion.suggested_routes").alias("suggested_routes"), F.col("diversion.note").alias("diversion_note"),
+        F.col("anomaly.anomaly_n").alias("anomaly_n"), F.col("anomaly.is_elevated").alias("is_elevated"),
+        F.col("anomaly.is_suppressed").alias("is_suppressed")), "request_id")

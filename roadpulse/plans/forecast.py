@@ -16,11 +16,6 @@ from roadpulse.functions.temporal import calendar_columns
 from roadpulse.operators import ml, scoring, spatial
 from roadpulse.session import materialize
 
-FEATURE_COLS = ["event_cause", "event_type", "corridor", "police_station", "zone", "daypart", "geo_cluster",
-                "latitude", "longitude", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month", "is_weekend",
-                "is_festival_window", "is_corridor"]
-
-
 def assemble_features(requests: DataFrame, history: DataFrame, models: dict,
                       ctx: DataFrame | None = None) -> DataFrame:
     """F16: request rows with context (C6), geo cluster (C3) and calendar
@@ -55,7 +50,8 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
     ``road_diversions`` (request_id, approach_count, suggested_routes) comes
     from the road-graph operator when a graph is available; requests it
     does not cover use the historical corridor fallback.  ``weather``
-    (request_id, is_rain, multiplier) applies the rain adjustment (F13).
+    (request_id, is_rain, multiplier) applies the rain adjustment (F13).  The
+    anomaly (F11) compares the adjusted probability with history.
     """
     # context feeds the features and the corridor fallback: computed once
     ctx = materialize(spatial.nearest_context(requests, history), "forecast_context")
@@ -71,6 +67,17 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
     stats = scoring.precedent_stats(requests, sim)
     scored = scored.join(stats, "request_id", "left")
     scored = scored.withColumn("_dur_for_index", F.coalesce("precedent_median_min", "ml_duration_min"))
+    if weather is not None:
+        scored = scored.join(weather.select("request_id", "is_rain", "multiplier"), "request_id", "left")
+        rain_hit = F.coalesce(F.col("is_rain"), F.lit(False)) & F.col("event_cause").isin(*RAIN_SENSITIVE)
+        adjusted = F.when(rain_hit, F.least(F.lit(1.0), F.round("closure_p", 3) * F.col("multiplier")))
+    else:
+        adjusted = F.lit(None).cast("double")
+    # read by the percentile, the anomaly and the result: models and precedents run once
+    scored = materialize(scored.withColumn("weather_adjusted_closure", adjusted), "forecast_scored")
+    anomaly = scoring.closure_anomaly(scored.select(
+        "request_id", "event_cause", "corridor", F.coalesce("weather_adjusted_closure", "closure_p").alias("closure_p")), history)
+    scored = scored.join(anomaly, "request_id", "left")
     scored = scoring.duration_percentile(scored, history, "_dur_for_index")
     scored = scored.withColumns(S.impact_columns("closure_p", "duration_pct", "priority_used", "is_corridor"))
 
@@ -87,13 +94,6 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
     scored = scoring.recommend_manpower(scored)
     scored = scoring.recommend_barricades(scored, approach_count="approach_count")
 
-    if weather is not None:
-        scored = scored.join(weather.select("request_id", "is_rain", "multiplier"), "request_id", "left")
-        rain_hit = F.coalesce(F.col("is_rain"), F.lit(False)) & F.col("event_cause").isin(*RAIN_SENSITIVE)
-        adjusted = F.when(rain_hit, F.least(F.lit(1.0), F.round("closure_p", 3) * F.col("multiplier")))
-    else:
-        adjusted = F.lit(None).cast("double")
-
     sims = sim.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
         "nn_rank", "event_cause", "address", "corridor", "priority", "requires_road_closure", "duration_min",
         "duration_valid", "start_ts", "distance_km"))).alias("_sims"))
@@ -106,7 +106,8 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
                  "nearest_distance_km", "n_neighbors_used").alias("context"),
         F.struct(F.col("suggested_priority").alias("suggested"), F.col("priority_used").alias("used")).alias("priority"),
         F.round("closure_p", 3).alias("closure_probability"),
-        adjusted.alias("weather_adjusted_closure"),
+        "weather_adjusted_closure",
+        F.struct("anomaly_n", "hist_rate", "excess", "percentile", "is_elevated", "is_suppressed").alias("anomaly"),
         F.struct(S.round_half_away(F.col("ml_duration_min"), 1).alias("ml_point_estimate_min"),
                  "tier_prediction", "tier_probabilities", "precedent_median_min", "n_precedents",
                  "p10_min", "p50_min", "p90_min").alias("duration"),
