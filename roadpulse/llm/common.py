@@ -18,18 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: while a table is written: its shuffle files go when it is done, and batches sent to Python stay small
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the cluster's shared checkpoint folder and read it
     back: lineage is cut once and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}_{uuid.uuid4().hex[:16]}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Partitions for an explicit repartition: the session's own setting."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/llm/" in path:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
