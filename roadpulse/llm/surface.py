@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 import re
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS = re.compile(r"[^\W\d_]+")
-#: letters with digits or signs between them
-OBFUSCATED = re.compile(r"[^\W\d_][\d@$!*+|.\-]{1,2}[^\W\d_]")
+CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
+#: a digit or sign before a letter; inside a word it may stand for one
+INNER_SIGN = re.compile(r"[\d@$!*|+.\-_](?=[^\W\d_])")
 #: signs that prose uses, and signs that it seldom does
 PROSE_SIGNS, ODD_SIGNS = ".,;:'\"()-", "&$%#*|@^~=<>{}[]\\/_+`"
 
@@ -24,26 +25,31 @@ def surface(text: str | None) -> list[float]:
     tokens = text.split()
     k = max(1, len(tokens))
     count = text.count
-    letters = sum(map(len, WORDS.findall(text)))
-    odd = sum(map(count, ODD_SIGNS))
+    digits, prose, odd = sum(map(count, "0123456789")), sum(map(count, PROSE_SIGNS)), sum(map(count, ODD_SIGNS))
+    shouts = count("!") + count("?")
+    words = sum(map(len, tokens))
+    letters = max(0, words - digits - prose - odd - shouts)
+    obfuscated = sum(1 for m in INNER_SIGN.finditer(text) if m.start() and text[m.start() - 1].isalpha())
     lines = [x for x in text.split("\n") if x.strip()]
+    sizes = list(map(len, tokens))
+    lone = [t for t, size in zip(tokens, sizes) if size == 1] if sizes.count(1) else []
     return [
         min(1.0, k / 1000),
         letters / n,
-        sum(map(str.isupper, text)) / max(1, letters),
-        sum(1 for t in tokens if len(t) > 1 and t.isupper()) / k,
-        sum(map(count, "0123456789")) / n,
-        sum(map(count, PROSE_SIGNS)) / n,
+        len(CAPITALS.findall(text)) / max(1, letters),
+        sum(map(str.isupper, tokens)) / k,
+        digits / n,
+        prose / n,
         odd / n,
-        (count("!") + count("?")) / k,
+        shouts / k,
         odd / k,
-        len(OBFUSCATED.findall(text)) / k,
-        sum(map(str.__eq__, tokens, tokens[1:])) / k,
+        obfuscated / k,
+        sum(map(eq, tokens, tokens[1:])) / k,
         len(set(tokens)) / k,
         1 - len(set(lines)) / max(1, len(lines)),
         min(1.0, letters / k / 20),
-        sum(1 for t in tokens if len(t) > 20) / k,
-        sum(1 for t in tokens if len(t) == 1 and not t.isalnum()) / k,
+        sum(map((20).__lt__, sizes)) / k,
+        sum(1 for t in lone if not t.isalnum()) / k,
     ]
 
 

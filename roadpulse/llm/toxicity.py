@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import fold, fresh, table, written
-from roadpulse.llm.surface import NAMES, WORDS, labelled, surface
+from roadpulse.llm.surface import NAMES, labelled, surface
 
 #: labelled documents fitted on, at most
 SAMPLE = 9000
@@ -40,21 +40,18 @@ SECOND_PERSON = frozenset(("you your yours yourself ya u ur du dich dir dein dei
                            "usted ustedes tú ti tuyo vosotros").split())
 #: signs read as letters in obfuscated words (fixed values)
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
-_TOKEN_SIGNS = re.compile(r"[\d@$!*|.\-_+]")
+WORDS = re.compile(r"[^\W\d_]+")
+EDGES = ".,;:!?*&$%#|-\"'()[]{}<>"
 
 
-def plain_words(text: str | None) -> list[str]:
-    """Lower-case words in order; obfuscated ones as they are meant."""
-    low = (text or "").lower()
-    words = WORDS.findall(low)
-    if _TOKEN_SIGNS.search(low):
-        for token in low.split():
-            inner = token.strip(".,;:!?*&$%#|-\"'()")
-            if _TOKEN_SIGNS.search(inner):
-                meant = "".join(c for c in inner.translate(LOOKALIKES) if c.isalpha())
-                if len(meant) > 2:
-                    words.append(meant)
-    return words
+def token_words(token: str) -> list[str]:
+    """Words of a lower-case token; an obfuscated one also as it is meant."""
+    inner = token.strip(EDGES)
+    if inner.isalpha():
+        return [inner]
+    words = WORDS.findall(inner)
+    meant = "".join(c for c in inner.translate(LOOKALIKES) if c.isalpha())
+    return words + [meant] if len(meant) > 2 else words
 
 
 def grams(word: str) -> list[str]:
@@ -68,7 +65,7 @@ def learn_lexicon(train: DataFrame, size=LEXICON) -> dict[str, int]:
         for batch in batches:
             toxic, clean = Counter(), Counter()
             for text, y in zip(batch["text"], batch["y"]):
-                (toxic if y else clean).update({g for w in set(plain_words(text)) for g in grams(w)})
+                (toxic if y else clean).update({g for t in set((text or "").lower().split()) for w in token_words(t) for g in grams(w)})
             # an entry needs toxic texts, so the others matter only where it has some
             seen = list(set(toxic) | set(clean))
             yield pd.DataFrame({"gram": seen, "toxic": [toxic[g] for g in seen], "clean": [clean[g] for g in seen]})
@@ -92,33 +89,43 @@ class _Reader:
     """Features of texts under one lexicon."""
 
     def __init__(self, lexicon: dict[str, int]):
-        self.lexicon, self.memo = lexicon, {}
+        self.memo: dict[str, int] = {}
+        self.whole = {g: x for g, x in lexicon.items() if g[-1] != "~"}
+        self.beginnings = {k: {g[:-1]: x for g, x in lexicon.items() if g[-1] == "~" and len(g) == k + 1} for k in BEGINNINGS}
+        self.starts = {g[:3] for g in lexicon}
 
-    def grade(self, word: str) -> int:
+    def grade(self, token: str) -> int:
+        """0 to 3, and 4 more if a whole word of the lexicon is meant."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        found = max((self.lexicon.get(g, 0) for g in grams(word)), default=0)
-        self.memo[word] = found
-        return found
+        best = whole = 0
+        for w in token_words(token):
+            if w[:3] not in self.starts:
+                continue
+            x = self.whole.get(w, 0)
+            whole = max(whole, x)
+            best = max(x, best, *[by.get(w[:k], 0) for k, by in self.beginnings.items()])
+        self.memo[token] = best = best + 4 if whole >= 2 else best
+        return best
 
     def __call__(self, text: str | None) -> list[float]:
-        words = plain_words(text)
-        n = max(1, len(words))
-        grades = list(map(self.memo.get, words))
+        tokens = (text or "").lower().split()
+        n = max(1, len(tokens))
+        grades = list(map(self.memo.get, tokens))
         if None in grades:
-            grades = [self.grade(w) if g is None else g for w, g in zip(words, grades)]
-        by = [grades.count(g) for g in (1, 2, 3)]
-        hits = [i for i, g in enumerate(grades) if g >= 2]
+            grades = [self.grade(w) if g is None else g for w, g in zip(tokens, grades)]
+        high = [i for i, g in enumerate(grades) if g >= 2]
+        by = [grades.count(1), sum(1 for i in high if grades[i] & 3 == 2), sum(1 for i in high if grades[i] & 3 == 3)]
+        whole = sum(1 for i in high if grades[i] >= 4)
         near = 0.0
-        if hits:
-            persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+        if high:
+            persons = [i for i, w in enumerate(tokens) if w.strip(EDGES) in SECOND_PERSON]
             if persons:
-                for i in hits:
+                for i in high:
                     k = bisect_left(persons, i)
                     gap = min(abs(persons[j] - i) for j in (k - 1, k) if 0 <= j < len(persons))
                     near += math.exp(-gap / 10)
-                near /= len(hits)
-        whole = sum(1 for i in hits if words[i] in self.lexicon)
+                near /= len(high)
         return [*(b / n for b in by), *(math.log1p(b) for b in by), whole / n, math.log1p(whole), near] + surface(text)
 
 
