@@ -28,6 +28,8 @@ RADIUS = 3
 SEED = 42
 #: distinct fingerprints that one task compares with each other; more are covered again
 BUCKET = 200
+#: free bits at which a bucket, of at most 2**7 fingerprints then, is compared in any case
+LAST_BITS = 7
 _CHUNK = 1 << 16
 
 
@@ -114,10 +116,12 @@ def links(prints: DataFrame, radius=RADIUS, bucket=BUCKET) -> DataFrame:
         keyed = written(keyed, "cover")
         sizes = keyed.groupBy("child", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         shared = written(keyed.join(sizes, ["child", "key"]), "cover_shared")
-        small = shared.filter(F.col("n") <= bucket).groupBy("child", "key").agg(F.collect_list("fp").alias("l"))
+        # so few free bits hold few fingerprints, and could not be covered again
+        done = F.col("child").isin([c for c, m in children.items() if 64 - m.bit_count() <= LAST_BITS]) | (F.col("n") <= bucket)
+        small = shared.filter(done).groupBy("child", "key").agg(F.collect_list("fp").alias("l"))
         edges = written(small.select(F.explode(_forest(radius)("l")).alias("e")).select("e.a", "e.b").distinct(), "cover_edges")
         found = edges if found is None else found.unionByName(edges)
-        large = shared.filter(F.col("n") > bucket)
+        large = shared.filter(~done)
         hot = [r["child"] for r in large.select("child").distinct().collect()]  # masks, not data
         if not hot:
             return found
@@ -126,35 +130,39 @@ def links(prints: DataFrame, radius=RADIUS, bucket=BUCKET) -> DataFrame:
         todo = large.select("fp", F.col("child").alias("path"))
 
 
-def near_duplicates(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, radius=RADIUS, keep=None) -> DataFrame:
-    """(key, fp, component_id, and the columns in ``keep``) of every row.
+def near_duplicates(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, radius=RADIUS, keep=(),
+                    names=("fp", "component_id")) -> DataFrame:
+    """(key, the columns in ``keep``, fp, component_id) of every row; ``names``
+    are those of the last two.
 
     component_id is the smallest id reachable over links of at most ``radius``
     differing bits.  Null and empty texts have fingerprint 0 and link like any
     other.  Repeated ids each give a row.  A null id is never the smallest:
     its row takes its component's id, or null if the component has none."""
-    columns = list(dict.fromkeys([key, *(keep or [])]))
-    fp, node, root = fresh(docs.select(*columns), "fp", "node", "root")
+    columns = list(dict.fromkeys([key, *keep]))
+    fp, node, component = fresh(docs.select(*columns), "fp", "node", "component")
     hashed = written(docs.select(*columns, fingerprint(F.col(text), shingle).alias(fp)), "simhash")
     prints = written(hashed.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("id")), "simhash_prints")
     linked = components(links(prints, radius))
     rooted = prints.join(linked, prints["fp"] == linked["node"], "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select(F.col("fp").alias(node), "component_id"), "simhash_named")
+    named = written(rooted.join(smallest, "root").select(
+        F.col("fp").alias(node), F.col("component_id").alias(component)), "simhash_named")
     return hashed.join(named, hashed[fp] == named[node]).select(
-        *[hashed[c] for c in columns], hashed[fp].alias("fp"), named["component_id"])
+        *[hashed[c] for c in columns], hashed[fp].alias(names[0]), named[component].alias(names[1]))
 
 
 def one_of_each(docs: DataFrame, text="text", key="doc_id", **options) -> DataFrame:
     """One document of each near-duplicate group: the one with its smallest id."""
-    marked = near_duplicates(docs, text, key, keep=docs.columns, **options)
-    # rows that repeat id and fingerprint are thinned before the shuffle
-    first = Window.partitionBy(key, "component_id").orderBy(F.col(text).isNull(), F.xxhash64(text))
+    fp, component, place = fresh(docs, "of_fp", "of_component", "of_place")
+    marked = near_duplicates(docs, text, key, keep=docs.columns, names=(fp, component), **options)
+    # rows that repeat an id are thinned before the shuffle
+    group = F.coalesce(component, fp)
+    first = Window.partitionBy(key, group).orderBy(F.col(text).isNull(), F.xxhash64(text))
     return (
-        marked.filter(F.col(key).eqNullSafe(F.col("component_id")))
-        .withColumn("component_id", F.coalesce("component_id", "fp"))
-        .withColumn("fp", F.row_number().over(first)).filter(F.col("fp") == 1).select(*docs.columns)
+        marked.filter(F.col(key).eqNullSafe(F.col(component)))
+        .withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
     )
 
 

@@ -42,13 +42,16 @@ def _nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-ANY = F.lit(True)
+def _any():
+    return F.lit(True)
+
+
 OPERATORS = {
     "mix": lambda d, l: mixing.mix(d),
-    "toxicity": lambda d, l: toxicity.classify(d, l, ANY),
-    "quality": lambda d, l: quality.classify(d, l, ANY),
+    "toxicity": lambda d, l: toxicity.classify(d, l, _any()),
+    "quality": lambda d, l: quality.classify(d, l, _any()),
     "pack": lambda d, l: packing.pack(d),
-    "lm": lambda d, l: language_model.score_texts(d, ANY),
+    "lm": lambda d, l: language_model.score_texts(d, _any()),
     "license": lambda d, l: license_scan.scan_licenses(d),
     "simhash": lambda d, l: simhash.near_duplicates(d),
 }
@@ -69,7 +72,7 @@ def test_documents(spark, docs, clashing, labels, name):
 
 
 def test_scores_are_probabilities(docs, labels):
-    for rows in (toxicity.classify(docs, labels, ANY).collect(), quality.classify(docs, labels, ANY).collect()):
+    for rows in (toxicity.classify(docs, labels, _any()).collect(), quality.classify(docs, labels, _any()).collect()):
         assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
