@@ -227,7 +227,7 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 15) -
 
 # ------------------------------------------------------------------ E15
 #: rows of a training partition, and the fewest partitions
-PART_ROWS, LEAST_PARTS = 100_000, 32
+PART_ROWS, LEAST_PARTS = 100_000, 8
 
 
 def _spread(df: DataFrame, key: str = "id") -> DataFrame:
