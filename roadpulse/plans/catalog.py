@@ -277,7 +277,8 @@ _RAW_COLS = ["id", "event_type", "latitude", "longitude", "address", "event_caus
 
 
 @register("missingness_profile", with_ctes(["incidents_raw"]) + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, 1e0 - count({c}) / count(*) AS null_fraction FROM incidents_raw"
+    f"SELECT '{c}' AS column_name, 1e0 - count(CASE WHEN {c} NOT IN ('NULL', 'NA') THEN 1 END) / count(*) AS null_fraction "
+    "FROM incidents_raw"
     for c in _RAW_COLS))
 def q_missingness(spark, sf_dir):
     return dashboards.missingness_profile(raw_incidents(spark, sf_dir))

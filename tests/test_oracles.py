@@ -10,7 +10,8 @@ import __spark_entry__ as entry  # noqa: E402
 from oracle_check import _rows, duck_connect  # noqa: E402
 
 SLOW = {"geo_clusters", "train_models", "feature_importance", "assemble_features", "forecast",
-        "stream_forecast", "stream_feedback", "retrain_with_feedback", "model_io_roundtrip"}
+        "stream_forecast", "stream_feedback", "retrain_with_feedback", "model_io_roundtrip",
+        "training_facts", "geo_cluster_assignment", "model_io_differences"}
 NAMES = sorted(n for n in entry.oracle_sql() if n not in SLOW)
 
 
