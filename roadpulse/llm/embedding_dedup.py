@@ -2,8 +2,9 @@
 
 Filter directions are a random product code: a codeword for each part of the
 (rotated) coordinates (Becker, Ducas, Gama, Laarhoven, 2016).  A vector is
-list-decoded to all directions whose inner product with it exceeds ``alpha``,
-vectors meet in their filters, and meetings are verified by the exact cosine.
+list-decoded to the directions nearest to it, the same number for every vector
+(so none is without filters, however its parts are balanced), vectors meet in
+their filters, and meetings are verified by the exact cosine.
 
 Equal vectors are one class with a count.  A filter with many classes is cut
 into chunks, and pairs of chunks are compared in tasks of bounded size.  A
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,10 @@ from roadpulse.llm.common import fresh, table, written
 from roadpulse.llm.components import components
 
 THRESHOLD = 0.9
-#: filters a vector is expected in; measured recall of pairs at cosine 0.90 to 0.92: 0.97 and more with 56 (0.78 with 20)
-FILTERS = 56
+#: filters of a vector, and the number of vectors beyond which it needs more
+FILTERS, GROWS_FROM = 56, 10**6
+#: inner products held at a time
+DECODED = 1 << 22
 #: classes of a chunk, and rows of a task
 CHUNK, TASK_ROWS = 400, 20_000
 SEED = 42
@@ -36,9 +38,11 @@ class ProductCode:
     """Codewords of each part, and the threshold, for ``n`` vectors of ``width``.
 
     There are about as many directions as vectors, so a filter's expected size
-    stays the same as the table grows."""
+    stays the same as the table grows.  The best directions of two near vectors
+    agree less often where directions lie denser, so their number grows past a
+    million vectors, with the exponent of spherical caps at the threshold."""
 
-    def __init__(self, n: int, width: int, filters=FILTERS, seed=SEED):
+    def __init__(self, n: int, width: int, filters=FILTERS, seed=SEED, threshold=THRESHOLD):
         rng = np.random.default_rng(seed)
         parts = min(width, 2 if n <= 10**8 else 3)
         words = max(8, math.ceil(max(n, 2) ** (1 / parts)))
@@ -49,27 +53,35 @@ class ProductCode:
             w = rng.standard_normal((words, len(cut)))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(len(cut) / width))
         self.directions = words**parts
-        share = min(0.5, filters / self.directions)
-        self.alpha = NormalDist().inv_cdf(1 - share) / math.sqrt(width)
+        grown = filters * max(1.0, n / GROWS_FROM) ** max(0.0, (1 - threshold) / (1 + threshold))
+        self.filters = min(self.directions, math.ceil(grown))
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted ids of the directions that each unit vector exceeds."""
+        """Sorted ids of the ``filters`` directions nearest to each unit vector."""
+        step = max(1, DECODED // len(self.words[0]))
+        return [names for at in range(0, len(unit), step) for names in self._nearest(unit[at:at + step])]
+
+    def _nearest(self, unit: np.ndarray) -> np.ndarray:
         turned = unit @ self.rotation
-        inner = [turned[:, cut] @ w.T for cut, w in zip(self.cuts, self.words)]
-        out = []
-        for row in zip(*inner):
-            most = [0.0]
-            for part in row[:0:-1]:
-                most.insert(0, most[0] + part.max())
-            sums, names = np.zeros(1), np.zeros(1, np.int64)
-            for part, rest in zip(row, most):
-                # only what the best of the remaining parts can still lift over alpha
-                keep = np.flatnonzero(part >= self.alpha - rest - sums.max(initial=-np.inf)) if len(sums) else []
-                total = sums[:, None] + part[keep][None, :]
-                x, y = np.nonzero(total >= self.alpha - rest)
-                sums, names = total[x, y], names[x] * len(part) + np.asarray(keep, np.int64)[y]
-            out.append(np.sort(names))
-        return out
+        sums = names = None
+        for cut, w in zip(self.cuts, self.words):
+            inner, code = _best(turned[:, cut] @ w.T, self.filters)
+            if sums is None:
+                sums, names = inner, code
+                continue
+            # a sum of the x-th and y-th best has x * y - 1 sums before it
+            x, y = np.nonzero(np.outer(np.arange(1, sums.shape[1] + 1), np.arange(1, inner.shape[1] + 1)) <= self.filters)
+            sums, at = _best(sums[:, x] + inner[:, y], self.filters)
+            names = np.take_along_axis(names[:, x] * len(w) + code[:, y], at, 1)
+        return np.sort(names, axis=1)
+
+
+def _best(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest values of each row, largest first, and their places."""
+    at = np.argpartition(-values, k - 1, axis=1)[:, :k] if k < values.shape[1] else np.tile(np.arange(values.shape[1]), (len(values), 1))
+    order = np.argsort(-np.take_along_axis(values, at, 1), axis=1, kind="stable")
+    at = np.take_along_axis(at, order, 1).astype(np.int64)
+    return np.take_along_axis(values, at, 1), at
 
 
 def _usable(vector):
@@ -176,7 +188,7 @@ def near_duplicates(vectors: DataFrame, key="vec_id", vector="embedding", thresh
 
 def _links(classes: DataFrame, width: int, threshold: float, filters: int) -> DataFrame:
     """(id, partner, links): a class's counted links, and forest edges."""
-    code = ProductCode(classes.count(), width, filters)
+    code = ProductCode(classes.count(), width, filters, threshold=threshold)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

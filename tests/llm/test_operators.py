@@ -132,6 +132,20 @@ def test_caps_recall_and_precision(spark):
     assert sum(got.values()) >= 0.95 * sum(true.values()) > 100
 
 
+@pytest.mark.parametrize("n", [20_000, 10**6, 10**7])
+def test_caps_recall_at_any_size(n):
+    """Pairs right at the threshold, under the code of a table of ``n`` vectors."""
+    rng = np.random.default_rng(9)
+    x, z = rng.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + math.sqrt(1 - 0.905**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    code = embedding_dedup.ProductCode(n, 64)
+    a, b = code.decode(x), code.decode(y)
+    assert min(map(len, a + b)) >= embedding_dedup.FILTERS
+    assert sum(len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)) >= 0.97 * 300
+
+
 def test_caps_in_chunks(spark, monkeypatch):
     x = _clustered(400, 16, 6)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
