@@ -230,6 +230,20 @@ def test_prior_estimate():
     assert abs(estimate_prior(good, other) - 0.6) < 0.05
 
 
+def test_quality_learns_from_every_document(spark, sf_dir):
+    """Documents beyond the bound of the labelled sample count as unlabelled ones too."""
+    from roadpulse.llm import quality, surface
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    few = surface.sampled(docs.select("doc_id").distinct(), "doc_id", 20).union(labels.select("doc_id")).distinct()
+    rest = docs.join(few, "doc_id", "left_anti").select("doc_id", F.lit("!! ## $$ 1 1 1").alias("text"))
+    changed = docs.join(few, "doc_id", "left_semi").unionByName(rest)
+    assert rest.count() > 20
+    was, now = (quality.train(d, labels, F.lit(True), sample=20) for d in (docs, changed))
+    assert not np.allclose(was, now, rtol=0.01, atol=0.01)
+
+
 def test_lm_counts_and_base(spark, sf_dir, texts):
     words = {i: t.encode().lower().split() + [b""] for i, t in texts.items()}
     taught = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
