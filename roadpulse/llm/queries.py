@@ -1,7 +1,9 @@
 """The queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from roadpulse.llm import chat, embedding_dedup, language_model, license_scan, mixing, packing, quality, simhash, topk, toxicity
+from roadpulse.llm import (
+    chat, embedding_dedup, language_model, license_scan, mixing, packing, quality, sentence_pieces, simhash, topk, toxicity,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_format_chats": chat.op9_format_chats,
     "op10_topk": topk.op10_topk,
+    "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
 }
 
 ORACLES = {
