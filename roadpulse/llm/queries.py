@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from roadpulse.llm import (
-    chat, embedding_dedup, language_model, license_scan, mixing, packing, quality, sentence_pieces, simhash, topk, toxicity,
+    chat, embedding_dedup, hard_negatives, language_model, license_scan, mixing, packing, quality, sentence_pieces, simhash, topk, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_format_chats": chat.op9_format_chats,
     "op10_topk": topk.op10_topk,
     "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_license_scan": license_scan.OP6_SQL,
     "op9_format_chats": chat.OP9_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
