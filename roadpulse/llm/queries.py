@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 from roadpulse.llm import (
-    chat, embedding_dedup, hard_negatives, language_model, license_scan, mixing, packing, quality, sentence_pieces, simhash, topk, toxicity,
+    chat, embedding_dedup, hard_negatives, language_model, license_scan, mixing, packing, quality, ranked_search,
+    sentence_pieces, simhash, topk, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_format_chats": chat.op9_format_chats,
     "op10_topk": topk.op10_topk,
     "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
@@ -25,5 +27,6 @@ ORACLES = {
     "op6_license_scan": license_scan.OP6_SQL,
     "op9_format_chats": chat.OP9_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
