@@ -10,8 +10,9 @@ it.  No priority queue of merges is needed, and the work is linear in practice
 even for a text without a single blank.
 
 A text is cut into chunks where no piece of the vocabulary can reach across:
-before a run of blanks, and around characters that no piece holds, which
-become byte pieces.  Chunks repeat, so a worker keeps the ids of short ones.
+before a run of blanks, between letters and signs that stand next to each other
+in no piece, and around characters that no piece holds, which become byte
+pieces.  Chunks repeat, so a worker keeps the ids of short ones.
 """
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from roadpulse.llm.common import fresh, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: short chunks, and pairs of pieces, that a worker keeps; beyond it the store starts anew
+#: short chunks that a worker keeps twice over (new ones, and those kept before), and pairs of pieces
 KEPT_CHUNKS, KEPT_PAIRS, SHORT = 300_000, 500_000, 64
 #: ids of an output batch
 BATCH_IDS = 1 << 20
@@ -67,6 +68,7 @@ class Pieces:
 
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # a piece that its own merges don't lead to never comes up
         reached = [p for p in self.ids if self.merge(p) == [p]]
         known = set(reached)
@@ -75,8 +77,17 @@ class Pieces:
         for p in reached:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
-        letters = "".join(re.escape(c) for c in sorted({c for p in self.ids for c in p} - {BLANK}))
-        self.cut = re.compile(f"{BLANK}+[{letters}]*|[{letters}]+|[^{BLANK}{letters}]+", re.S)
+        own = {i: np.array([i], "<i4").tobytes() for i in range(n)}
+        self.packed = {p: own[i] for p, i in self.ids.items()}
+        self.packed_bytes = {b: own[i] for b, i in self.byte_ids.items()}
+        self.packed_end = own[self.end]
+        # signs that stand next to a letter in some piece go with the letters
+        held = {c for p in self.ids for c in p} - {BLANK}
+        joined = {c for p in self.ids for a, b in zip(p, p[1:]) if BLANK not in (a, b) and a.isalpha() != b.isalpha() for c in (a, b)}
+        letters, signs = ("".join(re.escape(c) for c in sorted(x)) for x in (
+            {c for c in held if c.isalpha() or c in joined}, {c for c in held if not (c.isalpha() or c in joined)}))
+        runs = [f"{BLANK}*[{x}]+" for x in (letters, signs) if x]
+        self.cut = re.compile("|".join([*runs, f"[^{BLANK}{letters}{signs}]+", f"{BLANK}+"]), re.S)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short text: best score first, then leftmost."""
@@ -100,59 +111,59 @@ class Pieces:
 
     def walk(self, chunk: str) -> list[str]:
         """Pieces of a chunk; a character that is no piece stands alone."""
-        n = len(chunk)
-        longest: list[str | None] = [None] * n
+        n, shorter, pairs = len(chunk), self.shorter, self.pairs
+        longest = list(chunk)
         for last, piece in self.trie.iter(chunk):
-            longest[last - len(piece) + 1] = piece  # longer ones end later
+            longest[last + 1 - len(piece)] = piece  # longer ones end later
         failed = bytearray(n // 8 + 1)
         taken: list[str] = []
-        at, piece = 0, longest[0] or chunk[0]
+        at, piece, before = 0, longest[0], None
         while at < n:
-            before = taken[-1] if taken else None
             while piece is not None:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (before is None or self.compatible(before, piece)):
-                    break
-                piece = self.shorter.get(piece) or (chunk[at] if len(piece) > 1 else None)
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    if before is None:
+                        break
+                    good = pairs.get((before, piece))
+                    if self.compatible(before, piece) if good is None else good:
+                        break
+                piece = shorter.get(piece) or (chunk[at] if len(piece) > 1 else None)
             if piece is not None:
                 taken.append(piece)
-                at = to
-                piece = (longest[at] or chunk[at]) if at < n else None
+                at, before = to, piece
+                piece = longest[at] if at < n else None
             elif before is not None:
                 failed[at >> 3] |= 1 << (at & 7)
-                taken.pop()
-                at -= len(before)
-                piece = before  # its end is marked now, so a shorter one is next
+                piece = taken.pop()  # its end is marked now, so a shorter one is next
+                at -= len(piece)
+                before = taken[-1] if taken else None
             else:
                 raise ValueError("no compatible sequence of pieces")
         return taken
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
-        return np.array(out, "<i4").tobytes()
+        """Packed ids; a character that is no piece becomes its bytes' pieces."""
+        packed = self.packed
+        return b"".join([packed.get(p) or b"".join([self.packed_bytes[b] for b in p.encode()]) for p in pieces])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text and the end id, as little-endian 32-bit numbers."""
-        end = np.array([self.end], "<i4").tobytes()
         if not text:
-            return end
+            return self.packed_end
         chunks = self.cut.findall(BLANK + text.replace(" ", BLANK))
         found = list(map(self.chunks.get, chunks))
         if None in found:
-            for k, chunk in enumerate(chunks):
-                if found[k] is None:
-                    ids = self.chunks.get(chunk)
-                    if ids is None:
-                        ids = self._ids(self.walk(chunk))
-                        if len(chunk) <= SHORT:
-                            if len(self.chunks) >= KEPT_CHUNKS:
-                                self.chunks.clear()
-                            self.chunks[chunk] = ids
+            kept, older = self.chunks, self.older
+            for k, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[k]
+                    ids = kept.get(chunk) or older.get(chunk) or self._ids(self.walk(chunk))
+                    if len(chunk) <= SHORT:
+                        kept[chunk] = ids
                     found[k] = ids
-        found.append(end)
+            if len(kept) >= KEPT_CHUNKS:
+                self.chunks, self.older = {}, kept
+        found.append(self.packed_end)
         return b"".join(found)
 
     def decode(self, ids: list[int]) -> str:
