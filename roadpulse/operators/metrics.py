@@ -1,50 +1,40 @@
 """Evaluation metrics as aggregations (no global sort, no collect).
 
 Rank metrics (ROC-AUC, average precision) need cumulative counts over the
-score order.  Scores are probabilities, so they are first bucketed into
-4096 slices (a <= 4097-row table whose running sums are cheap), and only
-inside a slice are distinct scores ordered - both levels are aggregations
-with map-side combine, so a score value held by many rows costs one row.
+score order.  Rows are first counted by distinct score, so a score held by
+many rows costs one row, and the counts are summed along the scores by
+``running_sums``, which spreads any set of scores over many tasks.
+
+Rows whose label or score is NULL, or whose score is NaN, are no evidence
+either way: the rank and threshold metrics leave them out.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadpulse.operators.prefix import running_sums
 from roadpulse.operators.quantiles import exact_quantiles
 
-_SLICES = 4096
-
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    s = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
-    return (s.groupBy(F.floor(F.col("_s") * _SLICES).cast("long").alias("_b"), "_s")
-            .agg(F.sum("_y").alias("_pos"), F.sum(F.lit(1) - F.col("_y")).alias("_neg")))
+def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(label 0/1, score) of the rows that have both."""
+    rows = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
+    return rows.where(F.col("_y").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
 
 
 def rank_metrics(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """E8 + E9: exact ROC-AUC (ties count half) and average precision as
-    the step sum of recall increments times precision (not trapezoidal)."""
-    sc = _score_counts(df, label, score)
-    per_b = sc.groupBy("_b").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    wb_up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wb_dn = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.select("_b",
-                         F.coalesce(F.sum("_bn").over(wb_up), F.lit(0)).alias("_neg_below_b"),
-                         F.coalesce(F.sum("_bp").over(wb_dn), F.lit(0)).alias("_pos_above_b"),
-                         F.coalesce(F.sum("_bn").over(wb_dn), F.lit(0)).alias("_neg_above_b"))
-    w_in_up = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    w_in_dn = Window.partitionBy("_b").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    sc = sc.select("_b", "_s", "_pos", "_neg",
-                   F.coalesce(F.sum("_neg").over(w_in_up), F.lit(0)).alias("_neg_below_in"),
-                   F.sum("_pos").over(w_in_dn).alias("_tp_in"),
-                   F.sum("_neg").over(w_in_dn).alias("_fp_in"))
-    j = sc.join(F.broadcast(per_b), "_b")  # <= 4097 rows
-    tp = F.col("_tp_in") + F.col("_pos_above_b")
-    fp = F.col("_fp_in") + F.col("_neg_above_b")
-    agg = j.agg(
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
-        F.sum(F.col("_pos") * (F.col("_neg_below_b") + F.col("_neg_below_in") + F.col("_neg") / 2.0)).alias("_auc_num"),
+    """E8 + E9: exact ROC-AUC (ties count half) and average precision as the
+    step sum of recall increments times precision (not trapezoidal).  Scores
+    may be any numbers.  Without a positive, or for the AUC a negative, NULL."""
+    counts = _scored(df, label, score).groupBy("_s").agg(
+        F.sum("_y").alias("_pos"), F.sum(F.lit(1) - F.col("_y")).alias("_neg"))
+    run = running_sums(counts, [], [F.col("_s")], {"_pos_below": "_pos", "_neg_below": "_neg"},
+                       {"_P": "_pos", "_N": "_neg"}, name="rank_metrics")
+    tp, fp = F.col("_P") - F.col("_pos_below"), F.col("_N") - F.col("_neg_below")  # at this score or above
+    agg = run.agg(
+        F.max("_P").alias("_P"), F.max("_N").alias("_N"),
+        F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0)).alias("_auc_num"),
         F.sum(F.when(F.col("_pos") > 0, F.col("_pos") * tp / (tp + fp))).alias("_ap_num"),
     )
     ok = (F.col("_P") > 0) & (F.col("_N") > 0)
@@ -56,13 +46,13 @@ def rank_metrics(df: DataFrame, label: str = "label", score: str = "score") -> D
 
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """Precision / recall / F1 at ``score >= threshold`` (0 on zero
-    division), positive rate and the confusion counts [[tn, fp], [fn, tp]]."""
-    y = F.col(label).cast("int") == 1
-    p = F.col(score) >= threshold
-    c = df.agg(
+    division), positive rate and the confusion counts [[tn, fp], [fn, tp]],
+    over the rows that have a label and a score."""
+    y, p = F.col("_y") == 1, F.col("_s") >= threshold
+    c = _scored(df, label, score).agg(
         F.count(F.when(y & p, 1)).alias("tp"), F.count(F.when(~y & p, 1)).alias("fp"),
         F.count(F.when(~y & ~p, 1)).alias("tn"), F.count(F.when(y & ~p, 1)).alias("fn"),
-        F.avg(F.col(label).cast("double")).alias("positive_rate"),
+        F.avg(F.col("_y").cast("double")).alias("positive_rate"),
     )
     prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))

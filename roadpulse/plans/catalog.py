@@ -868,7 +868,8 @@ def q_class_weights(spark, sf_dir):
     coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
     sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
     sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
-  FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY score) g) c""")
+  FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scores
+    WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY score) g) c""")
 def q_rank_metrics(spark, sf_dir):
     """E8 + E9: exact ROC-AUC and step average precision."""
     return MT.rank_metrics(scores_df(spark, sf_dir), "label", "score")
@@ -882,7 +883,7 @@ def q_rank_metrics(spark, sf_dir):
       count(CASE WHEN label <> 1 AND score >= 5e-1 THEN 1 END) AS fp,
       count(CASE WHEN label <> 1 AND score < 5e-1 THEN 1 END) AS tn,
       count(CASE WHEN label = 1 AND score < 5e-1 THEN 1 END) AS fn,
-      avg(CAST(label AS DOUBLE)) AS positive_rate FROM scores) a) b""")
+      avg(CAST(label AS DOUBLE)) AS positive_rate FROM scores WHERE score IS NOT NULL AND NOT isnan(score)) a) b""")
 def q_binary_metrics(spark, sf_dir):
     """Metrics at threshold 0.5."""
     return MT.binary_metrics(scores_df(spark, sf_dir), "label", "score")

@@ -215,11 +215,14 @@ FROM ({_BASE}) b"""
 
 
 def scores_sql(dialect: str) -> str:
-    """Scored hold-out rows for the metric operators (labels + predictions)."""
+    """Scored hold-out rows for the metric operators (labels + predictions);
+    some scores are missing, no number, or outside of [0, 1]."""
     return f"""SELECT
   'ev-' || CAST(event_id AS STRING) AS id,
   CASE WHEN ({CLOSURE}) THEN 1 ELSE 0 END AS label,
-  ((event_id*53 + user_id*7) % 100)/1e2 AS score,
+  CASE WHEN event_id % 83 = 5 THEN NULL WHEN event_id % 89 = 7 THEN CAST('NaN' AS DOUBLE)
+       WHEN event_id % 97 = 9 THEN 15e-1 WHEN event_id % 101 = 11 THEN -25e-2
+       ELSE ((event_id*53 + user_id*7) % 100)/1e2 END AS score,
   value AS actual_min,
   value + (event_id % 11) - 5 AS pred_min
 FROM ({_BASE}) b"""
