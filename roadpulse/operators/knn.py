@@ -1,220 +1,68 @@
-"""Exact k-nearest-neighbour join without an index.
+"""Exact k-nearest-neighbour join.
 
-Points live on nested unit-sphere grids: fine cells of edge ``c0`` (the chord
-of ``cell_km``), and level-L cells made of 4^L fine cells per axis
-(``floor(fine / 4^L)``).  Two points within great-circle distance d_L =
-2R asin(c_L/2) sit in the same or adjacent level-L cells (27-neighbourhood).
-
-For a request, level L equi-joins its 27 level-L cells with the per-cell
-*counts* of level L-1 (an area-bounded summary, never the points).  From each
-sub-cell's centre and half-diagonal come lower / upper bounds of the distance
-to any point inside; ``ub_k`` is the smallest upper bound whose cumulative
-count reaches k.  When ``ub_k <= d_L`` every point that can be among the k
-nearest lies in a sub-cell with ``lb <= ub_k`` inside this neighbourhood, so
-the request is settled at L with those candidate cells.  The last level
-covers the globe.
-
-The first ``first_pass`` levels are evaluated together in one job (most
-requests settle there); the remaining requests climb one level per job.
-Only candidate fine cells are then joined with the points, and the top k per
-request are kept with ``row_number() <= k`` (a window group limit).
-
-Dense places are thinned and refined first, both exactly: of points with equal
-keys and coordinates only the k smallest ids can ever be among a request's k
-nearest, and while the fullest cell holds more than ``CELL_POINTS * k`` points
-the cell edge is quartered, down to ``MIN_CELL_KM``.  So a request meets a
-bounded number of points unless a metre holds more of them.  No cross join, no
-broadcast of data-sized tables.  Ties are broken by the right-side id.
+The right side is a stored ``PointIndex``, or a table, for which an index is
+written first.  A table of very few rows, as of corridor centroids, is counted
+and then goes to every task as one array.  No cross join, no broadcast of
+anything that is not counted.  Ties are broken by the right-side id.
 """
 from __future__ import annotations
 
-import math
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from roadpulse.constants import EARTH_RADIUS_KM
-from roadpulse.session import materialize
-from roadpulse.functions.geo import chord_for_km, haversine_km, neighbour_offsets, unit_xyz
-
-_EPS_KM = 1e-9
-#: points of the fullest cell, per wanted neighbour, above which cells are quartered
-CELL_POINTS = 16
-MIN_CELL_KM = 0.001
+from roadpulse.functions.geo import haversine_km
+from roadpulse.operators.spatial_index import PointIndex
+from roadpulse.session import scratch_path
 
+#: right rows up to which they are sent to every task
+FEW = 64
 
-def _level_radius_km(cell: float) -> float:
-    """Guaranteed neighbourhood radius of a level with edge ``cell``."""
-    if cell >= 1.0:
-        return math.inf
-    return 2.0 * EARTH_RADIUS_KM * math.asin(min(1.0, cell / 2.0))
 
+def _among_few(left: DataFrame, right: DataFrame, k: int, left_id, left_lat, left_lon, right_id, right_lat, right_lon,
+               keys, max_km) -> DataFrame:
+    """Each left row against one array of all right rows (at most ``FEW``)."""
+    held = right.where(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).agg(
+        F.collect_list(F.struct(*right.columns)).alias("_held"))
+    rows = left.where(F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()).join(F.broadcast(held), how="cross")  # one row
 
-def _chord_to_km(col):
-    c = F.least(F.greatest(col, F.lit(0.0)), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(c / 2)
+    def away(p):
+        return F.struct(haversine_km(left_lat, left_lon, p[right_lat], p[right_lon]).alias("distance_km"),
+                        p[right_id].alias("id"), p.alias("row"))
 
-
-def _levels(c0: float, max_km: float | None) -> list[tuple[int, float, bool]]:
-    """(level, guaranteed radius, is_last) up to the globe or ``max_km``."""
-    out, level = [], 1
-    while True:
-        d = _level_radius_km(c0 * 4 ** level)
-        last = math.isinf(d) or (max_km is not None and d >= max_km)
-        out.append((level, d, last))
-        if last:
-            return out
-        level += 1
-
-
-def _fit_cell(points: DataFrame, keys, lat: str, lon: str, cell_km: float, k: int) -> tuple[float, int]:
-    """Chord edge of the fine cells, and how often ``cell_km`` was quartered."""
-    x, y, z = unit_xyz(lat, lon)
-    steps = 0
-    while True:
-        c0 = chord_for_km(cell_km)
-        fullest = (points.groupBy(*keys, *[F.floor(v / F.lit(c0)).alias(n) for v, n in ((x, "_ix"), (y, "_iy"), (z, "_iz"))])
-                   .count().agg(F.max("count")).first()[0]) or 0
-        if fullest <= CELL_POINTS * k or cell_km / 4 < MIN_CELL_KM:
-            return c0, steps
-        cell_km, steps = cell_km / 4, steps + 1
+    near = F.col("_held")
+    for key in keys:
+        near = F.filter(near, lambda p, key=key: p[key] == F.col(key))
+    near = F.transform(near, away)
+    if max_km is not None:
+        near = F.filter(near, lambda p: p["distance_km"] <= max_km)
+    best = F.slice(F.array_sort(near), 1, k)
+    out = rows.select(F.col(left_id), F.posexplode(best).alias("_rank", "_best"))
+    return out.select(left_id, *[F.col("_best.row")[c].alias(c) for c in right.columns], F.col("_best.distance_km").alias("distance_km"),
+                      (F.col("_rank") + 1).alias("nn_rank"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, *,
+def knn_join(left: DataFrame, right: DataFrame | PointIndex, k: int, *,
              left_id: str = "request_id", left_lat: str = "lat", left_lon: str = "lon",
              right_id: str = "id", right_lat: str = "latitude", right_lon: str = "longitude",
-             keys: tuple[str, ...] = (), max_km: float | None = None,
-             cell_km: float = 0.05, first_pass: int = 3) -> DataFrame:
+             keys: tuple[str, ...] = (), max_km: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """For each left row, the k nearest right rows (sharing ``keys``), or
     with ``max_km`` the k nearest within that radius.  k is capped at the
     number of right rows with the same keys.
 
-    Returns ``left_id``, every right column, ``distance_km`` and ``nn_rank``
-    (1 = nearest).
+    Returns ``left_id``, every right column (of an index: ``columns``),
+    ``distance_km`` and ``nn_rank`` (1 = nearest).  Rows without coordinates
+    have no neighbours and are nobody's.
     """
-    keys = tuple(keys)
-    if left.isEmpty():  # nothing to place: skip the level jobs
-        from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-        schema = StructType([left.schema[left_id], *right.schema.fields,
-                             StructField("distance_km", DoubleType()), StructField("nn_rank", IntegerType())])
-        return left.sparkSession.createDataFrame([], schema)
-
-    same = Window.partitionBy(*keys, right_lat, right_lon).orderBy(right_id)
-    right = materialize(right.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same"),
-                        "knn_points")
-    c0, steps = _fit_cell(right, keys, right_lat, right_lon, cell_km, k)
-    first_pass += steps
-    x, y, z = unit_xyz(right_lat, right_lon)
-    pts = right.withColumns({
-        "_ix": F.floor(x / F.lit(c0)).cast("long"),
-        "_iy": F.floor(y / F.lit(c0)).cast("long"),
-        "_iz": F.floor(z / F.lit(c0)).cast("long"),
-    })
-    # area-bounded summaries, reused by every level
-    # (checkpointed: reused by every level without rescanning the points)
-    fine = pts.groupBy(*keys, "_ix", "_iy", "_iz").agg(F.count("*").alias("_cnt"))
-    fine = materialize(fine, "knn_cells")
-    key_n = fine.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-
-    lx, ly, lz = unit_xyz(left_lat, left_lon)
-    req = left.select(F.col(left_id).alias("_lid"), *keys, lx.alias("_x"), ly.alias("_y"), lz.alias("_z"))
-    req = req.withColumns({
-        "_fx": F.floor(F.col("_x") / F.lit(c0)).cast("long"),
-        "_fy": F.floor(F.col("_y") / F.lit(c0)).cast("long"),
-        "_fz": F.floor(F.col("_z") / F.lit(c0)).cast("long"),
-    })
-    # key counts: one row per key (or a single row without keys)
-    req = req.join(key_n, list(keys), "inner") if keys else req.join(key_n, how="cross")
-    req = req.withColumn("_k", F.least(F.lit(k), F.col("_n"))).drop("_n")
-
-    def level_frame(pend: DataFrame, level: int, d_lvl: float, last: bool) -> DataFrame:
-        m, ms = 4 ** level, 4 ** (level - 1)
-        c_sub = c0 * ms
-        q = pend.select("_lid", *keys, "_x", "_y", "_z", "_k",
-                        F.floor(F.col("_fx") / m).cast("long").alias("_qx"),
-                        F.floor(F.col("_fy") / m).cast("long").alias("_qy"),
-                        F.floor(F.col("_fz") / m).cast("long").alias("_qz"),
-                        F.explode(neighbour_offsets()).alias("_o"))
-        q = q.select("_lid", *keys, "_x", "_y", "_z", "_k",
-                     (F.col("_qx") + F.col("_o.dx")).alias("_px"),
-                     (F.col("_qy") + F.col("_o.dy")).alias("_py"),
-                     (F.col("_qz") + F.col("_o.dz")).alias("_pz"))
-        sub = (fine.groupBy(*keys,
-                            F.floor(F.col("_ix") / ms).cast("long").alias("_sx"),
-                            F.floor(F.col("_iy") / ms).cast("long").alias("_sy"),
-                            F.floor(F.col("_iz") / ms).cast("long").alias("_sz"))
-               .agg(F.sum("_cnt").alias("_cnt")))
-        sub = sub.withColumns({"_px": F.floor(F.col("_sx") / 4).cast("long"),
-                               "_py": F.floor(F.col("_sy") / 4).cast("long"),
-                               "_pz": F.floor(F.col("_sz") / 4).cast("long")})
-        j = q.join(sub, [*keys, "_px", "_py", "_pz"])
-        half = c_sub * math.sqrt(3.0) / 2.0
-        dc = F.sqrt(F.pow(F.col("_x") - (F.col("_sx") + 0.5) * c_sub, 2)
-                    + F.pow(F.col("_y") - (F.col("_sy") + 0.5) * c_sub, 2)
-                    + F.pow(F.col("_z") - (F.col("_sz") + 0.5) * c_sub, 2))
-        j = j.select("_lid", *keys, "_k", "_sx", "_sy", "_sz", "_cnt",
-                     _chord_to_km(dc - F.lit(half)).alias("_lb"),
-                     _chord_to_km(dc + F.lit(half)).alias("_ub"))
-        w = Window.partitionBy("_lid").orderBy("_ub", "_sx", "_sy", "_sz").rowsBetween(Window.unboundedPreceding, 0)
-        j = j.withColumn("_cum", F.sum("_cnt").over(w))
-        wl = Window.partitionBy("_lid")
-        j = j.withColumns({
-            "_ubk": F.min(F.when(F.col("_cum") >= F.col("_k"), F.col("_ub"))).over(wl),
-            "_tot": F.sum("_cnt").over(wl),
-        })
-        if max_km is not None:
-            bound = F.when(F.col("_tot") >= F.col("_k"), F.least(F.col("_ubk"), F.lit(max_km))).otherwise(F.lit(max_km))
-        else:
-            bound = F.col("_ubk")
-        settled = F.lit(True) if last else ((F.col("_tot") >= F.col("_k")) & (F.col("_ubk") <= F.lit(d_lvl)))
-        return j.withColumns({"_bound": bound, "_settled": settled, "_level": F.lit(level), "_ms": F.lit(ms)})
-
-    levels = _levels(c0, max_km)
-    pending = req
-    cands_all = []
-    i = 0
-    while i < len(levels):
-        batch = levels[i:i + (first_pass if i == 0 else 1)]
-        frames = [level_frame(pending, lv, d, last) for lv, d, last in batch]
-        j = frames[0]
-        for f in frames[1:]:
-            j = j.unionByName(f)
-        # the lowest level at which each request settles
-        first = F.min(F.when(F.col("_settled"), F.col("_level"))).over(Window.partitionBy("_lid"))
-        j = materialize(j.withColumn("_first", first).where(F.col("_level") == F.col("_first")).drop("_first"),
-                        "knn_level")
-        cands_all.append(j.where(F.col("_lb") <= F.col("_bound") + F.lit(_EPS_KM))
-                         .select("_lid", *keys, "_sx", "_sy", "_sz", "_ms", "_bound"))
-        i += len(batch)
-        if i >= len(levels):
-            break
-        # requests with no points in a neighbourhood are absent from ``j``:
-        # pending = not settled (anti join), not "present and unsettled"
-        pending = pending.join(j.select("_lid").distinct(), "_lid", "left_anti")
-        if pending.isEmpty():
-            break
-
-    cands = cands_all[0]
-    for c in cands_all[1:]:
-        cands = cands.unionByName(c)
-    # candidate sub-cells -> non-empty fine cells (summary join, area-bounded)
-    fc = None
-    for ms in sorted({4 ** (lv - 1) for lv, _, _ in levels}):
-        part = fine.select(*keys, "_ix", "_iy", "_iz", F.lit(ms).alias("_ms"),
-                           F.floor(F.col("_ix") / ms).cast("long").alias("_sx"),
-                           F.floor(F.col("_iy") / ms).cast("long").alias("_sy"),
-                           F.floor(F.col("_iz") / ms).cast("long").alias("_sz"))
-        fc = part if fc is None else fc.unionByName(part)
-    fine_cands = cands.join(fc, [*keys, "_ms", "_sx", "_sy", "_sz"]) \
-        .select("_lid", *keys, "_ix", "_iy", "_iz", "_bound")
-
-    lpos = left.select(F.col(left_id).alias("_lid"), F.col(left_lat).alias("_llat"), F.col(left_lon).alias("_llon"))
-    pairs = fine_cands.join(pts, [*keys, "_ix", "_iy", "_iz"]).join(lpos, "_lid")
-    pairs = pairs.withColumn("distance_km", haversine_km("_llat", "_llon", right_lat, right_lon))
-    keep = F.col("distance_km") <= F.col("_bound") + F.lit(_EPS_KM)
-    if max_km is not None:
-        keep = keep & (F.col("distance_km") <= F.lit(max_km))
-    pairs = pairs.where(keep)
-    rank = F.row_number().over(Window.partitionBy("_lid").orderBy("distance_km", right_id))
-    out = pairs.withColumn("nn_rank", rank).where(F.col("nn_rank") <= k)
-    return out.select(F.col("_lid").alias(left_id), *right.columns, "distance_km", "nn_rank")
+    if not isinstance(right, PointIndex):
+        if left.isEmpty():  # nothing to place: write no index
+            return left.sparkSession.createDataFrame([], T.StructType([
+                left.schema[left_id], *right.schema.fields, T.StructField("distance_km", T.DoubleType()),
+                T.StructField("nn_rank", T.IntegerType())]))
+        if right.limit(FEW + 1).count() <= FEW:
+            return _among_few(left, right, k, left_id, left_lat, left_lon, right_id, right_lat, right_lon, keys, max_km)
+        right = PointIndex.build(right, scratch_path(right.sparkSession, f"knn_{uuid.uuid4().hex[:12]}"),
+                                 id=right_id, lat=right_lat, lon=right_lon, keys=keys)
+    return right.knn(left, k, left_id=left_id, left_lat=left_lat, left_lon=left_lon, by_keys=bool(keys), max_km=max_km, columns=columns)

@@ -2,6 +2,8 @@
 geometry and conflict detection - all as joins over the grid kNN."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,30 @@ from roadpulse.functions.geo import (
     bearing_between, chord_for_km, grid_cell, haversine_km, neighbour_offsets, offset_point,
 )
 from roadpulse.operators.knn import knn_join
+from roadpulse.operators.living_history import LivingHistory
+from roadpulse.operators.spatial_index import PointIndex
+from roadpulse.session import materialize, scratch_path
 
 SIMILAR_COLS = ["event_cause", "address", "corridor", "priority", "requires_road_closure",
                 "duration_min", "duration_valid", "start_ts"]
 
 
-def nearest_context(requests: DataFrame, history: DataFrame, k: int = CONTEXT_K) -> DataFrame:
+CONTEXT_COLS = ["corridor", "police_station", "zone", "is_corridor"]
+
+
+def history_index(history: DataFrame | PointIndex) -> PointIndex:
+    """The history's index by cause: itself, or one written for this call."""
+    if isinstance(history, PointIndex):
+        return history
+    held = history.select("id", "latitude", "longitude", *dict.fromkeys([*CONTEXT_COLS, *SIMILAR_COLS]))
+    return PointIndex.build(held, scratch_path(history.sparkSession, f"history_{uuid.uuid4().hex[:12]}"), keys=("event_cause",))
+
+
+def nearest_context(requests: DataFrame, history: DataFrame | PointIndex, k: int = CONTEXT_K) -> DataFrame:
     """Over the k nearest history rows, the most common corridor,
     station, zone and corridor flag (ties -> smallest), nearest distance and
     neighbour count."""
-    hist = history.select(F.col("id").alias("hid"), "latitude", "longitude", "corridor",
-                          "police_station", "zone", "is_corridor")
-    nn = knn_join(requests.select("request_id", "lat", "lon"), hist, k, right_id="hid")
+    nn = knn_join(requests.select("request_id", "lat", "lon"), history_index(history), k, columns=CONTEXT_COLS)
     return nn.groupBy("request_id").agg(
         F.mode("corridor", True).alias("corridor"),
         F.mode("police_station", True).alias("police_station"),
@@ -35,36 +49,40 @@ def nearest_context(requests: DataFrame, history: DataFrame, k: int = CONTEXT_K)
     )
 
 
-def similar_incidents(requests: DataFrame, history: DataFrame, k: int = SIMILAR_K,
+def similar_incidents(requests: DataFrame, history: DataFrame | PointIndex, k: int = SIMILAR_K,
                       max_km: float = SIMILAR_MAX_KM) -> DataFrame:
     """Precedents.  Candidates are the same cause when that cause has
     >= 3 rows in the whole history, else every cause; the k nearest within
     ``max_km`` (equal to "k nearest, then radius")."""
-    hist = history.select(F.col("id").alias("hid"), "latitude", "longitude", *SIMILAR_COLS)
-    cause_n = history.groupBy("event_cause").agg(F.count("*").alias("_cause_n"))
-    req = requests.select("request_id", "lat", "lon", "event_cause").join(cause_n, "event_cause", "left")
+    index = history_index(history)
+    cause_n = index.key_counts().withColumnRenamed("n", "_cause_n")  # exact far beyond 3
+    req = materialize(requests.select("request_id", "lat", "lon", "event_cause").join(cause_n, "event_cause", "left"), "similar_asked")
     common = F.coalesce(F.col("_cause_n"), F.lit(0)) >= SIMILAR_MIN_SAME_CAUSE
-    same = knn_join(req.where(common).select("request_id", "lat", "lon", "event_cause"), hist, k,
-                    right_id="hid", keys=("event_cause",), max_km=max_km)
-    anyc = knn_join(req.where(~common).select("request_id", "lat", "lon"), hist, k,
-                    right_id="hid", max_km=max_km)
-    return same.unionByName(anyc)
+    columns = ["id", "latitude", "longitude", *SIMILAR_COLS]
+    same = knn_join(req.where(common).select("request_id", "lat", "lon", "event_cause"), index, k,
+                    keys=("event_cause",), max_km=max_km, columns=columns)
+    rare = req.where(~common).select("request_id", "lat", "lon")
+    if not rare.isEmpty():
+        same = same.unionByName(knn_join(rare, index, k, max_km=max_km, columns=columns))
+    return same.withColumnRenamed("id", "hid")
 
 
-def corridor_centroids(history: DataFrame) -> DataFrame:
+def corridor_centroids(history: DataFrame | LivingHistory) -> DataFrame:
     """Mean position of every named corridor."""
+    if isinstance(history, LivingHistory):
+        return history.corridor_centroids()
     return (history.where(F.col("corridor") != "Non-corridor").groupBy("corridor")
             .agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")))
 
 
-def nearest_corridors(requests: DataFrame, history: DataFrame, exclude_col: str | None = None,
+def nearest_corridors(requests: DataFrame, history: DataFrame | LivingHistory, exclude_col: str | None = None,
                       k: int = NEAREST_CORRIDORS_K) -> DataFrame:
     """The k nearest corridor centroids, skipping the request's own
     (closed) corridor when ``exclude_col`` names a non-empty value."""
     cents = corridor_centroids(history)
     cols = ["request_id", "lat", "lon"] + ([exclude_col] if exclude_col else [])
     req = requests.select(*cols)
-    nn = knn_join(req, cents, k + 1, right_id="corridor", cell_km=0.5)
+    nn = knn_join(req, cents, k + 1, right_id="corridor")
     if exclude_col:
         nn = nn.join(req.select("request_id", F.col(exclude_col).alias("_excl")), "request_id")
         nn = nn.where(F.col("_excl").isNull() | (F.col("_excl") == "") | (F.col("corridor") != F.col("_excl")))

@@ -16,6 +16,7 @@ from roadpulse.functions import geo as G
 from roadpulse.functions import temporal as T
 from roadpulse.functions.text import cause_title, prettify
 from roadpulse.operators import cleaning, dashboards
+from roadpulse.operators.living_history import LivingHistory
 from roadpulse.plans.oracle import (
     CLEAN_SQL, PROCESSED_SQL, RAW_PARSED_SQL, _r, processed_ctes, with_ctes,
 )
@@ -45,6 +46,14 @@ def processed(spark, sf_dir) -> DataFrame:
     return cleaning.prepare_incidents(incidents(spark, sf_dir))
 
 
+def stored_history(spark, sf_dir) -> LivingHistory:
+    """The processed incidents as a stored history, written once per input
+    directory in the shared scratch folder."""
+    path = scratch_path(spark, f"history_v1_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}")
+    history = LivingHistory(spark, path)
+    return history if history.version else LivingHistory.create(processed(spark, sf_dir), path)
+
+
 def raw_csv_path(spark: SparkSession, sf_dir: str) -> str:
     """Land the text export as CSV (with two surplus columns) once per input
     directory, in the shared scratch folder."""
@@ -328,7 +337,7 @@ def q_grid_knn(spark, sf_dir):
           f"SELECT request_id, corridor, police_station, zone, is_corridor, round(nearest_distance_km, 6) "
           f"AS nearest_distance_km, n_neighbors_used FROM ({CONTEXT_SQL}) c")
 def q_nearest_context(spark, sf_dir):
-    ctx = spatial.nearest_context(requests_df(spark, sf_dir), processed(spark, sf_dir))
+    ctx = spatial.nearest_context(requests_df(spark, sf_dir), stored_history(spark, sf_dir))
     return ctx.withColumn("nearest_distance_km", F.round("nearest_distance_km", 6))
 
 
@@ -338,7 +347,7 @@ def q_nearest_context(spark, sf_dir):
   CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance_km, hid) AS INT) AS nn_rank
 FROM sim8 WHERE distance_km <= 5e0""")
 def q_similar(spark, sf_dir):
-    s = spatial.similar_incidents(requests_df(spark, sf_dir), processed(spark, sf_dir))
+    s = spatial.similar_incidents(requests_df(spark, sf_dir), stored_history(spark, sf_dir))
     return s.select("request_id", "hid", "event_cause", "corridor", F.round("duration_min", 6).alias("duration_min"),
                     "duration_valid", "requires_road_closure", "start_ts",
                     F.round("distance_km", 6).alias("distance_km"), F.col("nn_rank").cast("int").alias("nn_rank"))
@@ -366,7 +375,7 @@ NEAREST_CORRIDORS_SQL = f"""SELECT request_id, CAST(route_rank AS INT) AS route_
           NEAREST_CORRIDORS_SQL)
 def q_nearest_corridors(spark, sf_dir):
     """Three nearest corridors other than the request's own (context) one."""
-    hist = processed(spark, sf_dir)
+    hist = stored_history(spark, sf_dir)
     req = requests_df(spark, sf_dir)
     ctx = spatial.nearest_context(req, hist).select("request_id", F.col("corridor").alias("ctx_corridor"))
     out = spatial.nearest_corridors(req.join(ctx, "request_id"), hist, exclude_col="ctx_corridor")
@@ -557,7 +566,7 @@ FROM requests r LEFT JOIN (
 def q_precedent_stats(spark, sf_dir):
     """F9 + F10: precedent median and P10/P50/P90 interval per request."""
     req = requests_df(spark, sf_dir)
-    sim = spatial.similar_incidents(req, processed(spark, sf_dir))
+    sim = spatial.similar_incidents(req, stored_history(spark, sf_dir))
     return scoring.precedent_stats(req, sim)
 
 
@@ -990,7 +999,7 @@ def q_assemble(spark, sf_dir):
     """F16: context + calendar features of every request (the geo cluster,
     a KMeans output, is checked in ``geo_clusters``)."""
     models, _, _ = trained(spark, sf_dir, with_metrics=False)
-    f = FC.assemble_features(requests_df(spark, sf_dir), processed(spark, sf_dir), models)
+    f = FC.assemble_features(requests_df(spark, sf_dir), stored_history(spark, sf_dir), models)
     return f.select("request_id", "corridor", "police_station", "zone", "is_corridor",
                     F.round("nearest_distance_km", 6).alias("nearest_distance_km"),
                     F.hour("when_ist").alias("hour"), "month", "is_weekend", "daypart", "is_festival_window",
@@ -1001,7 +1010,7 @@ def q_assemble(spark, sf_dir):
 def q_forecast(spark, sf_dir):
     """the end-to-end forecast of every request, flattened."""
     models, _, _ = trained(spark, sf_dir, with_metrics=False)
-    fc = FC.forecast(requests_df(spark, sf_dir), processed(spark, sf_dir), models)
+    fc = FC.forecast(requests_df(spark, sf_dir), stored_history(spark, sf_dir), models)
     return FC.flatten_forecast(fc)
 
 
@@ -1017,7 +1026,7 @@ def q_stream_forecast(spark, sf_dir):
     """G1: requests landed as 5 JSON drops (one landed twice) are scored by
     the streaming forecast; a replay on the same checkpoint adds nothing."""
     models, _, _ = trained(spark, sf_dir, with_metrics=False)
-    hist = processed(spark, sf_dir)
+    hist = stored_history(spark, sf_dir)
     base = scratch_path(spark, f"stream_forecast_{uuid.uuid4().hex[:10]}")
     req = requests_df(spark, sf_dir)
     src = ST.land_drops(req, f"{base}/in", F.col("requested_at"))
@@ -1032,6 +1041,41 @@ _ODD_SQL = """SELECT * EXCLUDE (k) REPLACE (CASE k WHEN 0 THEN strftime(CAST(sta
   FROM outcomes, (VALUES (0), (1), (2)) t(k)"""
 
 
+_LOGGED_SQL = """SELECT id, event_type, latitude, longitude, address, event_cause, requires_road_closure,
+  TRY_CAST(start_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS start_datetime,
+  TRY_CAST(end_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS end_datetime, status, priority, corridor,
+  TRY_CAST(created_date AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS created_date, police_station,
+  TRY_CAST(closed_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS closed_datetime,
+  TRY_CAST(resolved_datetime AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS resolved_datetime, zone, junction"""
+
+
+@register("stream_living_history", processed_ctes("outcomes", "requests", extra={
+    "logged": f"{_LOGGED_SQL} FROM (SELECT DISTINCT * FROM ({OUTCOME_ROWS_SQL}) d) o",
+    "base": "SELECT * FROM processed",
+    "incidents_2": "SELECT * FROM logged",
+    "added": PROCESSED_SQL.replace("FROM incidents)", "FROM incidents_2)")}) + """
+SELECT r.request_id, count(*) AS n_neighbors_used, count(*) FILTER (WHERE h.id LIKE 'fb-%') AS n_logged,
+  round(min(h.distance_km), 6) AS nearest_distance_km FROM requests r JOIN (
+  SELECT r.request_id, h.id, h.distance_km FROM (SELECT 1) one, requests r, LATERAL (
+    SELECT x.id, KM AS distance_km FROM (
+      SELECT id, latitude, longitude FROM base UNION ALL SELECT id, latitude, longitude FROM added) x
+    ORDER BY distance_km, id LIMIT 5) h) h ON h.request_id = r.request_id GROUP BY r.request_id""".replace(
+        "KM", hav_sql("r.lat", "r.lon", "x.latitude", "x.longitude")))
+def q_stream_living_history(spark, sf_dir):
+    """G1 + G2: outcomes streamed into the log and the stored history, and the
+    five nearest incidents of every request afterwards, logged ones among them."""
+    base = scratch_path(spark, f"stream_living_{uuid.uuid4().hex[:10]}")
+    history = LivingHistory.create(processed(spark, sf_dir), f"{base}/history")
+    outs = outcomes_df(spark, sf_dir)
+    src = ST.land_drops(outs, f"{base}/in", F.to_timestamp("start_datetime"))
+    for _ in range(2):
+        ST.start_stream_feedback(spark, src, f"{base}/log", f"{base}/ckpt", max_files=3, history=history).awaitTermination()
+    nn = history.knn(requests_df(spark, sf_dir).select("request_id", "lat", "lon"), 5, columns=["id"])
+    return nn.groupBy("request_id").agg(
+        F.count("*").alias("n_neighbors_used"), F.count(F.when(F.col("id").startswith("fb-"), 1)).alias("n_logged"),
+        F.round(F.min("distance_km"), 6).alias("nearest_distance_km"))
+
+
 @register("stream_feedback", with_ctes(["outcomes"], {"odd": _ODD_SQL}) + f"""SELECT DISTINCT * FROM (
   {OUTCOME_ROWS_SQL} UNION ALL {OUTCOME_ROWS_SQL.replace("FROM outcomes", "FROM odd")}) o""")
 def q_stream_feedback(spark, sf_dir):
@@ -1152,7 +1196,7 @@ def q_diversion_suggestion(spark, sf_dir):
     """Road-graph routes where a graph node with neighbours is within
     reach, else the nearest-corridor fallback."""
     req = requests_df(spark, sf_dir)
-    hist = processed(spark, sf_dir)
+    hist = stored_history(spark, sf_dir)
     ctx = spatial.nearest_context(req, hist).select("request_id", "corridor")
     fb_ = FC.diversion_fallback(req.join(ctx, "request_id"), hist)
     road = RD.diversion_routes(req.select("request_id", "lat", "lon"), road_nodes(spark, sf_dir),
@@ -1207,7 +1251,7 @@ def q_briefing(spark, sf_dir):
     """A10: the text briefing of every forecast (deployment points from the
     geometric ring, as when no road graph is loaded)."""
     models, _, _ = trained(spark, sf_dir, with_metrics=False)
-    fc = materialize(FC.forecast(requests_df(spark, sf_dir), processed(spark, sf_dir), models), "forecasts")
+    fc = materialize(FC.forecast(requests_df(spark, sf_dir), stored_history(spark, sf_dir), models), "forecasts")
     plan = fc.select("request_id", "lat", "lon", F.col("barricades.barricade_points").alias("barricade_points"),
                      F.col("manpower.personnel").alias("personnel"))
     return BR.briefing_text(fc, spatial.deployment_points(plan))
@@ -1221,7 +1265,7 @@ def q_model_io(spark, sf_dir):
     base = scratch_path(spark, f"models_copy_{uuid.uuid4().hex[:10]}")
     ml.save_models(models, base)
     again = ml.load_models(base)
-    feats = FC.assemble_features(req, processed(spark, sf_dir), models)
+    feats = FC.assemble_features(req, stored_history(spark, sf_dir), models)
     a = ml.predict_closure(models["closure_model"], feats.withColumn("priority", F.lit("High")))
     b = ml.predict_closure(again["closure_model"], feats.withColumn("priority", F.lit("High")))
     return a.select("request_id", F.col("closure_p").alias("p_saved")).join(

@@ -14,6 +14,7 @@ from roadpulse.constants import RAIN_SENSITIVE
 from roadpulse.functions import scoring as S
 from roadpulse.functions.temporal import calendar_columns
 from roadpulse.operators import ml, scoring, spatial
+from roadpulse.operators.living_history import LivingHistory
 from roadpulse.session import materialize
 
 def assemble_features(requests: DataFrame, history: DataFrame, models: dict,
@@ -43,18 +44,24 @@ def diversion_fallback(requests_ctx: DataFrame, history: DataFrame) -> DataFrame
                                                      x["longitude"].alias("lon"))).alias("route_points"))
 
 
-def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversions: DataFrame | None = None,
+def forecast(requests: DataFrame, history: DataFrame | LivingHistory, models: dict, road_diversions: DataFrame | None = None,
              weather: DataFrame | None = None) -> DataFrame:
     """end-to-end forecast for every request (see SURVEY 1.4).
 
+    ``history`` is a table of prepared incidents, or a stored
+    ``LivingHistory``, of which only its aggregates and the regions of the
+    requests are read.
+
     ``road_diversions`` (request_id, approach_count, suggested_routes) comes
     from the road-graph operator when a graph is available; requests it
     does not cover use the historical corridor fallback.  ``weather``
     (request_id, is_rain, multiplier) applies the rain adjustment (F13).  The
     anomaly (F11) compares the adjusted probability with history.
     """
+    # context and precedents come from one index: the history's own, or one written here
+    index = spatial.history_index(history)
     # context feeds the features and the corridor fallback: computed once
-    ctx = materialize(spatial.nearest_context(requests, history), "forecast_context")
+    ctx = materialize(spatial.nearest_context(requests, index), "forecast_context")
     feats = assemble_features(requests, history, models, ctx)
     feats = ml.predict_priority(models["priority_model"], feats)
     feats = feats.withColumn("priority_used", S.resolve_priority("priority_override", "suggested_priority"))
@@ -63,7 +70,7 @@ def forecast(requests: DataFrame, history: DataFrame, models: dict, road_diversi
     scored = ml.predict_tier(models["duration_tier_model"], scored)
 
     # used twice (stats and the precedent list): written once
-    sim = materialize(spatial.similar_incidents(requests, history), "forecast_similar")
+    sim = materialize(spatial.similar_incidents(requests, index), "forecast_similar")
     stats = scoring.precedent_stats(requests, sim)
     scored = scored.join(stats, "request_id", "left")
     scored = scored.withColumn("_dur_for_index", F.coalesce("precedent_median_min", "ml_duration_min"))
