@@ -11,6 +11,7 @@ task holds a bounded pool of pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,16 +23,23 @@ from pyspark.sql import functions as F
 from roadpulse.llm.common import table
 
 CAPACITY = 1024
-MAX_SEGMENTS = 512
+#: segments of a sequence: attention masks and position ids are kept by segment
+MAX_SEGMENTS = 32
 END_ID = 0
 #: pieces held open in a task; beyond it sequences are filled until half are placed
 POOL = 4096
-#: distinct words whose ids a worker keeps; beyond it the store starts anew
+#: distinct words whose ids a worker keeps twice over: new ones, and those kept before
 CACHE_WORDS = 300_000
+#: white space in a row from which a text goes to the tokenizer whole (the rank file's splitter recurses over it)
+LONG_BLANK = 4096
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -39,7 +47,8 @@ class WordIds:
     text are those of its blank-led words in a row, and words repeat.  Where a
     blank touches other white space this doesn't hold and the text is encoded
     whole.  Latin words go through the vocabulary's rank file (the same ids);
-    all else, and control strings, through the tokenizer itself."""
+    all else, control strings and very long runs of white space, through the
+    tokenizer itself."""
 
     def __init__(self, tokenizer=TOKENIZER, ranks=RANKS):
         import base64
@@ -52,13 +61,14 @@ class WordIds:
         with open(public_tokenizers.path(ranks), "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.latin = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.odd = re.compile("[^\u0000-ɏ]|<\\|")
+        self.odd = re.compile("[^\u0000-ɏ]|<\\||\\s{%d}" % LONG_BLANK)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         ids = self.exact.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.latin.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+        return pack_ids(ids)
 
     def __call__(self, text: str) -> bytes:
         words = text.split(" ")
@@ -68,18 +78,20 @@ class WordIds:
         if not head or head[-1].isspace():
             return self.encode(text)
         found = list(map(self.rest.get, words))
-        if None in found[1:]:
-            if len(self.rest) > CACHE_WORDS:
-                self.rest.clear()
-                found = [None] * len(words)
-            for i, w in enumerate(words):
-                if found[i] is None and i:
-                    ids = self.rest.get(w)
+        found[0] = b""
+        if None in found:
+            kept, older = self.rest, self.older
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = kept.get(w) or older.get(w)
                     if ids is None:
                         if not w or w[0].isspace() or w[-1].isspace():
                             return self.encode(text)
-                        ids = self.rest[w] = self.encode(" " + w)
-                    found[i] = ids
+                        ids = self.encode(" " + w)
+                    found[i] = kept[w] = ids
+            if len(kept) >= CACHE_WORDS:
+                self.rest, self.older = {}, kept
         ids = self.first.get(head)
         if ids is None:
             if len(self.first) > CACHE_WORDS // 10:
@@ -174,7 +186,7 @@ class _Packer:
 
 
 class _Example:
-    """A tokenized example; tokens from ``loss_from`` on bear loss.
+    """A tokenized example; its tokens from ``loss_from`` on bear loss, but not its end id.
     A piece is (example, start, length, loss tokens, example again for splitting)."""
 
     __slots__ = ("key", "data", "n", "loss_from")
@@ -183,7 +195,7 @@ class _Example:
         self.key, self.data, self.n, self.loss_from = key, data, len(data) // 4, loss_from
 
     def piece(self, start: int, length: int):
-        return (self, start, length, max(0, start + length - max(start, self.loss_from)), self)
+        return (self, start, length, max(0, min(start + length, self.n - 1) - max(start, self.loss_from)), self)
 
     def split(self, piece, length: int):
         return self.piece(piece[1], length), self.piece(piece[1] + length, piece[2] - length)
@@ -195,7 +207,7 @@ def pack(examples: DataFrame, key="doc_id", text="text", prompt=None, capacity=C
     sequence_id, offset, loss_tokens (and ids, if asked for).
 
     ``prompt`` names a column whose tokens precede the text's and bear no
-    loss; ``max_loss`` limits the loss-bearing tokens of a sequence (default:
+    loss, nor does the end id; ``max_loss`` limits the loss-bearing tokens of a sequence (default:
     ``capacity``).  Null or empty text: the end id alone.  Long texts are cut
     freely; repeated rows and null keys are packed each on their own; other
     columns are left out.  An empty table gives an empty result."""
