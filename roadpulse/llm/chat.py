@@ -15,44 +15,98 @@ from roadpulse.llm.common import fresh, table, written
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
-#: Layouts: nested field paths, then either the list's fields or the fixed
-#: (role, field) turns.  ``roles`` renames a layout's own role names.
+#: Layouts: required and optional field paths, then either the list's fields or
+#: the fixed (role, paths) turns, whose texts are joined by a blank line.
+#: ``roles`` renames a layout's own role names.  Optional turns that a record
+#: lacks are left out.
+_ROLES = {"human": "user", "gpt": "assistant"}
 LAYOUTS = (
     {"paths": ("messages[].content", "messages[].role"), "list": "messages", "role": "role", "text": "content"},
     {"paths": ("conversations[].from", "conversations[].value"), "list": "conversations", "role": "from", "text": "value",
-     "roles": {"human": "user", "gpt": "assistant"}},
-    {"paths": ("prompt", "response"), "turns": (("user", "prompt"), ("assistant", "response"))},
-    {"paths": ("instruction", "output"), "turns": (("user", "instruction"), ("assistant", "output"))},
-    {"paths": ("instruction", "output", "system"),
-     "turns": (("system", "system"), ("user", "instruction"), ("assistant", "output"))},
+     "roles": _ROLES},
+    {"paths": ("prompt", "response"), "optional": ("system",),
+     "turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
+    {"paths": ("prompt", "completion"), "optional": ("system",),
+     "turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))},
+    {"paths": ("instruction", "output"), "optional": ("input", "system"),
+     "turns": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))},
+    {"paths": ("instruction", "response"), "optional": ("context", "system"),
+     "turns": (("system", ("system",)), ("user", ("instruction", "context")), ("assistant", ("response",)))},
+    {"paths": ("question", "answer"), "optional": ("system",),
+     "turns": (("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))},
+    {"paths": ("data.prompt", "data.response"), "optional": ("data.system",),
+     "turns": (("system", ("data.system",)), ("user", ("data.prompt",)), ("assistant", ("data.response",)))},
+    {"paths": ("data.messages[].content", "data.messages[].role"), "list": "data.messages", "role": "role", "text": "content"},
 )
+#: a text may be as long as a string can be
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
-def field_paths(record: Column) -> Column:
+def _json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, WHOLE)
+
+
+def field_paths(record: Column, known: tuple[str, ...] | None = None) -> Column:
     """Sorted nested field paths of a JSON object, as one string.
 
-    A list of objects gives ``list[].field`` for the fields of all its
-    members; any other value gives its key.  Not an object: null."""
-    top = F.from_json(record, "map<string,string>")
+    An object gives ``object.field``, a list of objects ``list[].field`` for
+    the fields of all its members, and a list inside an object both; any other
+    value gives its key.  With ``known``, only these paths.  Not an object: null."""
+    top = _json(record, "map<string,string>")
 
-    def paths(e):
-        members = F.from_json(e["value"], "array<map<string,string>>")
+    def below(path, value):
+        """Paths of a value that may be a list of objects."""
+        members = _json(value, "array<map<string,string>>")
         fields = F.array_distinct(F.flatten(F.transform(F.filter(members, lambda m: m.isNotNull()), F.map_keys)))
-        nested = F.transform(fields, lambda k: F.concat(e["key"], F.lit("[]."), k))
-        return F.when(F.startswith(F.ltrim(e["value"]), F.lit("[{")) & (F.size(fields) > 0), nested).otherwise(F.array(e["key"]))
+        nested = F.transform(fields, lambda k: F.concat(path, F.lit("[]."), k))
+        return F.when(F.startswith(F.ltrim(value), F.lit("[")) & (F.size(fields) > 0), nested).otherwise(F.array(path))
+
+    def paths(e):
+        inner = _json(e["value"], "map<string,string>")
+        parts = F.flatten(F.transform(F.map_entries(inner), lambda f: below(F.concat(e["key"], F.lit("."), f["key"]), f["value"])))
+        return F.when(F.startswith(F.ltrim(e["value"]), F.lit("{")) & (F.size(parts) > 0), parts).otherwise(below(e["key"], e["value"]))
+
+    found = F.flatten(F.transform(F.map_entries(top), paths))
+    if known is not None:
+        found = F.array_intersect(found, F.array(*[F.lit(p) for p in known]))
+    return F.array_join(F.array_sort(found), "|")
+
 
-    return F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(top), paths))), "|")
+def _known(layouts) -> tuple[str, ...]:
+    return tuple(sorted({p for x in layouts for p in (*x["paths"], *x.get("optional", ()))}))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def fingerprint(record: Column, layouts=LAYOUTS) -> Column:
+    """Hash of the record's field paths that the layouts speak of; other
+    fields, as ids or names, make no difference."""
+    return F.xxhash64(field_paths(record, _known(layouts)))
 
 
-def _layout_turns(layout: dict, record: Column) -> Column:
-    top = F.from_json(record, "map<string,string>")
+def fingerprints(layouts=LAYOUTS) -> list[tuple[str, dict]]:
+    """All (paths, layout) that a record may show: required paths with any of the optional ones."""
+    out = {}
+    for layout in layouts:
+        optional = layout.get("optional", ())
+        for chosen in range(1 << len(optional)):
+            some = [p for i, p in enumerate(optional) if chosen >> i & 1]
+            out.setdefault("|".join(sorted((*layout["paths"], *some))), layout)
+    return list(out.items())
+
+
+def _at(record: Column, path: str) -> Column:
+    """The value at a path of object fields."""
+    for field in path.split("."):
+        record = _json(record, "map<string,string>")[field]
+    return record
+
+
+def _layout_turns(layout: dict, record: Column, paths: set[str]) -> Column:
     if "list" not in layout:
-        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(top[field], F.lit("")).alias("text"))
-                         for role, field in layout["turns"]])
+        def text(fields):
+            parts = [_at(record, f) for f in fields if f in paths]
+            return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & ((p != "") | F.lit(len(parts) == 1))), "\n\n")
+        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text(fields), F.lit("")).alias("text"))
+                         for role, fields in layout["turns"] if paths.intersection(fields)])
     renamed = layout.get("roles", {})
 
     def turn(m):
@@ -61,16 +115,15 @@ def _layout_turns(layout: dict, record: Column) -> Column:
             role = F.when(m[layout["role"]] == theirs, F.lit(ours)).otherwise(role)
         return F.struct(role.alias("role"), F.coalesce(m[layout["text"]], F.lit("")).alias("text"))
 
-    return F.transform(F.from_json(top[layout["list"]], "array<map<string,string>>"), turn)
+    return F.transform(_json(_at(record, layout["list"]), "array<map<string,string>>"), turn)
 
 
 def canonical_turns(print_: Column, record: Column, layouts=LAYOUTS) -> Column:
     """Turns (role, text) of a record whose fingerprint is ``print_``; null
     where no mapping has that fingerprint."""
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in layouts:
-        known = F.xxhash64(F.lit("|".join(sorted(layout["paths"]))))
-        turns = F.when(print_ == known, _layout_turns(layout, record)).otherwise(turns)
+    for paths, layout in fingerprints(layouts):
+        turns = F.when(print_ == F.xxhash64(F.lit(paths)), _layout_turns(layout, record, set(paths.split("|")))).otherwise(turns)
     return turns
 
 
@@ -88,7 +141,8 @@ def format_chats(records: DataFrame, record="record", loss_role="assistant", lay
     the turn bears no loss).
 
     Null record, or a layout without a mapping: formatted is null, so nothing
-    vanishes unseen.  Null role or text: empty.  No turns: an empty string.
+    vanishes unseen.  Fields that no layout speaks of are passed over; texts
+    may be of any length that fits a value.  Null role or text: empty.  No turns: an empty string.
     Equal records are formatted alike; other columns are kept, and columns
     named formatted or loss_spans are replaced.  A record's turns are put
     together in one task, as its text is one value."""
@@ -98,7 +152,7 @@ def format_chats(records: DataFrame, record="record", loss_role="assistant", lay
     at_turn = F.col(turn)
     return (
         written(records.withColumn(key, F.monotonically_increasing_id()), "chat")  # ids stay as written
-        .withColumn(turns, canonical_turns(fingerprint(F.col(record)), F.col(record), layouts))
+        .withColumn(turns, canonical_turns(fingerprint(F.col(record), layouts), F.col(record), layouts))
         .select(*records.columns, key, F.col(turns).isNull().alias(turns), F.posexplode_outer(turns).alias(pos, turn))
         # the record's own columns travel with its first turn alone
         .withColumns({c: F.when(F.coalesce(pos, F.lit(0)) == 0, F.col(c)) for c in records.columns})
@@ -147,8 +201,9 @@ def read_loss_text(formatted: Column, spans: Column) -> Column:
 
 def conversation_records(rows: DataFrame) -> DataFrame:
     """One JSON record per conversation of (conv_id, turn, role, text): the
-    operator's input, in whichever known layout suits its turns."""
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    operator's input, in whichever known layout suits its turns.  Turns without
+    a number come last."""
+    turn = F.struct(F.col("turn").isNull().alias("last"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     t = F.col("t")
     roles = F.array_join(t["role"], "|")
@@ -193,9 +248,9 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
   sum({len(START) + len(SEP) + len(END)} + length(replace(replace(role, '\', '\\'), '<|', '<\|'))
       + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
