@@ -81,14 +81,14 @@ def threshold_pairs(q: np.ndarray, t: np.ndarray, x: np.ndarray, may: np.ndarray
 
 def _first(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of each group's k best, ties to the smaller id."""
-    order = np.lexsort((ids, -score, group))
+    order = np.lexsort((ids, ~score, group))  # ~ turns the order round, and no number overflows
     g = group[order]
     return order[np.arange(len(g)) - np.searchsorted(g, g, "left") < k]
 
 
 def _kth(group: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
     """Each group's k-th best score; the least number where a group has fewer."""
-    order = np.lexsort((-score, group))
+    order = np.lexsort((~score, group))
     first = np.searchsorted(group[order], np.arange(n), "left")
     full = np.bincount(group, minlength=n) >= k
     out = np.full(n, LEAST)

@@ -20,33 +20,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import table, written
+from roadpulse.llm.vectors import LEAST, products, quantized
 
 K = 20
 #: rows of a block, blocks of a shard, queries of a batch
 BLOCK, SHARD, BATCH = 256, 32, 1024
-NONE = -(1 << 62)
-
-
-def quantized(vector, scale=64):
-    """floor(scale * x) of each component as longs; null where the vector is
-    null or holds null or non-finite components."""
-    numbers = F.transform(vector, lambda x: x.cast("double"))
-    bad = F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)),
-                  F.transform(numbers, lambda x: F.floor(x * scale).cast("long")))
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floating point where it can't round."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 1 << 53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+#: below every score
+NONE = LEAST
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best of listed candidates, ties to smaller id."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))  # ~ turns the order round, and no number overflows
     q = query[order]
     first = np.searchsorted(q, q, "left")
     return order[np.arange(len(q)) - first < k]
@@ -63,7 +48,7 @@ def _cut_blocks(width: int, every: int, k: int):
             v = np.array(rows, np.int64).reshape(len(rows), width)
             names = np.array(ids, np.int64)
             asks = np.flatnonzero(names % every == 0)
-            scores = _products(v[asks], v)
+            scores = products(v[asks], v)
             scores[names[asks][:, None] == names[None, :]] = NONE
             floor = np.partition(scores, -k, axis=1)[:, -k] if len(rows) >= k and len(asks) else np.full(len(asks), NONE)
             return pd.DataFrame({
@@ -92,8 +77,8 @@ def _search(width: int, k: int):
         blocks = blocks.sort_values("block")
         names, q, floor = queries["query_id"].to_numpy(), read(queries["v"]), queries["floor"].to_numpy().copy()
         # a positive weight's impact is largest at a block's maximum, a negative one's at its minimum
-        bound = _products(np.maximum(q, 0), read(blocks["high"])) + _products(np.minimum(q, 0), read(blocks["low"]))
-        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = products(np.hstack((np.maximum(q, 0), np.minimum(q, 0))), np.hstack((read(blocks["high"]), read(blocks["low"]))))
+        order = np.argsort(bound, axis=1, kind="stable")[:, ::-1]
         ids = [np.frombuffer(x, "<i8") for x in blocks["ids"]]
         rows = [np.frombuffer(x, "<i8").reshape(-1, width) for x in blocks["m"]]
         got = (np.zeros(0, np.int64),) * 3  # query position, id, score
@@ -104,10 +89,10 @@ def _search(width: int, k: int):
             alive, at = alive[keep], at[keep]
             if not len(alive):
                 break
-            new = []
+            new = []  # scores of all candidates that may still be among the k best
             for b in np.unique(at):
                 asking = alive[at == b]
-                scores = _products(q[asking], rows[b])
+                scores = products(q[asking], rows[b])
                 hit = (scores >= floor[asking][:, None]) & (names[asking][:, None] != ids[b][None, :])
                 x, y = np.nonzero(hit)
                 new.append((asking[x], ids[b][y], scores[x, y]))
@@ -127,16 +112,17 @@ def top_k(vectors: DataFrame, k=K, every=20, key="vec_id", vector="embedding", s
     ``every``, the k highest integer inner products over all other rows.
 
     Null keys, null vectors and vectors with null or non-finite components
-    take no part.  Shorter vectors count as ended by zeros.  Rows that repeat
-    key and vector count once; an id is never its own candidate.  Equal
-    scores: smaller id first.  An empty table gives an empty result."""
+    take no part.  Shorter vectors count as ended by zeros.  A key that repeats
+    counts once, with its smallest vector; an id is never its own candidate.
+    Scores beyond 64 bits are held at the limits.  Equal scores: smaller id
+    first.  An empty table gives an empty result."""
     rows = written(
         vectors.select(F.col(key).cast("long").alias("id"), quantized(F.col(vector), scale).alias("v"))
-        .filter(F.col("id").isNotNull() & F.col("v").isNotNull()).distinct(), "topk_rows")
+        .filter(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")), "topk_rows")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     padded = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
     # rows with the same strongest component stand together, so that maxima say something
-    strongest = F.array_max(F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), i.alias("i"), x.alias("x"))))
+    strongest = F.array_max(F.transform("v", lambda x, i: F.struct(F.abs(x.cast("double")).alias("a"), i.alias("i"), x.alias("x"))))
     ordered = [strongest["i"], strongest["x"], F.xxhash64("v"), F.col("id")]
     blocks = written(
         padded.repartitionByRange(*ordered).sortWithinPartitions(*ordered).mapInPandas(
@@ -174,8 +160,9 @@ def op10_topk(spark, sf_dir):
 
 
 OP10_SQL = """
-WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH vectors AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
 terms AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM vectors),
 scores AS (SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score
   FROM terms q JOIN terms d ON q.i = d.i WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id GROUP BY ALL),
