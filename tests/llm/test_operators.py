@@ -208,7 +208,7 @@ def test_packing_limits(spark):
     loss = Counter()
     for r in got:
         loss[r["doc_id"]] += r["loss_tokens"]
-    assert loss == {i: len(a.split()) + 1 for i, _, a in rows}
+    assert loss == {i: len(a.split()) for i, _, a in rows}  # the end bears none
 
 
 @pytest.mark.parametrize("name,column", [("op2_toxicity", "toxic"), ("op3_quality", "quality")])
@@ -270,26 +270,80 @@ def test_predictions_are_a_distribution():
     arrays, rng = language_model._Seats(row), np.random.default_rng(1)
     seats, discounts = arrays.start(), None
     for _ in range(4):
-        at, n = arrays.totals(seats)
+        tables = [x.tables for x in seats]
+        at, n = arrays.totals(tables)
         totals = np.zeros(language_model.PLACES, np.int64)
         totals[at] = n
         rules = language_model._Rules(totals, discounts)
         discounts = rules.discounts
         assert (rules.known, rules.tokens) == (3, 53)
-        p = arrays.predict(seats, rules)[0].reshape(4, 3)
+        p = arrays.predict(tables, rules)[0].reshape(4, 3)
         assert np.allclose(p.sum(0), 1) and (p > 0).all()
-        seats = arrays.sweep(seats, rules, rng)
-        assert all((t <= c).all() and ((t > 0) == (c > 0)).all() for t, c in (
-            (seats[0], arrays.c), (seats[1], arrays.under(seats[0])), (seats[2], arrays.root(seats[1]))))
-
-
-def test_reseat_follows_the_restaurant():
-    """Mean tables of 200 customers whose parent always serves their dish: the
-    known expectation of a Pitman-Yor restaurant."""
-    d, s, n = 0.5, 1.0, 200
-    want, seen = 1.0, 1
+        arrays.sweep(seats, rules, rng)
+        packed = arrays.pack(seats)
+        assert [x.packed()[1].tolist() for x in arrays.seats(packed)] == [x.packed()[1].tolist() for x in seats]
+        tables = [x.tables for x in seats]
+        wanted = (arrays.c, arrays.under(tables[0]), arrays.root(tables[1]))
+        for x, c in zip(seats, wanted):
+            assert (x.customers == c).all() and (x.tables <= c).all() and ((x.tables > 0) == (c > 0)).all()
+
+
+def _table_odds(n, parent, others, d, s):
+    """Exact odds of the number of tables of n customers of one dish."""
+    ways = {1: 1.0}  # generalised Stirling numbers
     for i in range(1, n):
-        want += (s + d * want) / (s + i)
-    rng = np.random.default_rng(3)
-    got = language_model.reseat(np.full(4000, n), np.ones(4000), np.ones(4000), np.zeros(4000), d, s, rng).mean()
-    assert abs(got - want) < 0.03 * want
+        ways = {t: ways.get(t - 1, 0.0) + (i - d * t) * ways.get(t, 0.0) for t in range(1, i + 2)}
+    odds = np.array([ways[t] * parent**t * math.prod(s + d * (others + k) for k in range(t)) for t in range(1, n + 1)])
+    return odds / odds.sum()
+
+
+@pytest.mark.parametrize("case", [(2, 0.3, 0), (6, 0.05, 4), (9, 1.0, 0), (9, 0.4, 30)])
+def test_gibbs_reaches_the_posterior_from_any_seating(case):
+    """Sweeps from one table and from tables of one: the exact posterior both times."""
+    n, parent, others = case
+    d, s, many = 0.6, 1.0, 4000
+    exact = _table_odds(n, parent, others, d, s)
+    for start in (language_model.Seating.first(np.full(many, n)), language_model.Seating(np.full(many, n), np.ones(many * n))):
+        rng = np.random.default_rng(5)
+        for _ in range(40):
+            language_model.gibbs(start, np.full(many, n), np.full(many, parent), np.full(many, others), d, s, rng)
+        got = np.bincount(start.tables, minlength=n + 1)[1:] / many
+        assert np.abs(got - exact).max() < 0.03, (got, exact)
+
+
+def test_gibbs_takes_the_present_tables_into_account():
+    """One sweep moves a seating, it does not make a new one."""
+    rng = np.random.default_rng(2)
+    one, single = language_model.Seating.first(np.full(500, 200)), language_model.Seating(np.full(500, 200), np.ones(100_000))
+    for x in (one, single):
+        language_model.gibbs(x, np.full(500, 200), np.full(500, 0.01), np.zeros(500), 0.6, 1.0, rng)
+    assert one.tables.mean() < 5 and single.tables.mean() > 100
+
+
+def test_customers_follow_the_children():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        was, now = rng.integers(0, 9, 50), rng.integers(0, 9, 50)
+        seats = language_model.Seating.first(was)
+        language_model.gibbs(seats, now, rng.random(50), rng.integers(0, 9, 50), 0.5, 1.0, rng)
+        assert (seats.customers == now).all() and ((seats.tables > 0) == (now > 0)).all()
+
+
+def test_scores_against_a_plain_model(spark):
+    """Where every dish has one customer there is one seating, so the score
+    follows from the restaurants' rule by hand."""
+    docs = [(1, "ab cd ef gh", True), (2, "AB cd", False), (3, "zz", False), (4, None, False)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, taught boolean")
+    got = {r["key"]: r for r in language_model.score_texts(
+        frame.withColumnRenamed("doc_id", "key"), F.col("taught"), key="key").collect()}
+    d, s, n = 0.9, 1.0, 5  # discounts are held at 0.9; four words and the end, each once
+    root = lambda c: (c * (1 - d) + (s + d * n) / (n + 1)) / (s + n)
+    below = lambda c, up, seen: (c * (1 - d) + (s + d * seen) * up) / (s + seen)
+    known = below(1, below(1, root(1), 1), 1)      # a word after the word before it
+    elsewhere = lambda c: below(0, below(0, root(c), 1), 1)  # noqa: E731  another word in a restaurant of one
+    nowhere = root(1)                              # the end after an unknown word: both restaurants are empty
+    # "cd" is served after "ab", and its end stands where "ef" was served
+    expected = {1: 5 * math.log10(known), 2: 2 * math.log10(known) + math.log10(elsewhere(1)),
+                3: math.log10(elsewhere(0)) + math.log10(nowhere), 4: math.log10(elsewhere(1))}
+    for i, score in expected.items():
+        assert got[i]["score"] == pytest.approx(score, rel=1e-5), i
