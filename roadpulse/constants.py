@@ -73,8 +73,6 @@ DEFAULT_BASE_PERSONNEL = 2
 SEVERITY_MULT_BASE, SEVERITY_MULT_SPAN = 0.6, 1.4
 CLOSURE_EXTRA_PERSONNEL = 2
 
-BARRICADE_NOTE_HEURISTIC = "Heuristic: based on predicted closure probability and road type."
-BARRICADE_NOTE_ROADS = "Adjusted using road-network data: {n} approach roads detected at this junction."
 
 # --- fixed values: geometry ---------------------------------------------------
 EARTH_RADIUS_KM = 6371.0

@@ -12,7 +12,7 @@ from roadpulse.constants import (
     SIMILAR_K, SIMILAR_MAX_KM, SIMILAR_MIN_SAME_CAUSE,
 )
 from roadpulse.functions.geo import (
-    bearing_between, chord_for_km, grid_cell, haversine_km, neighbour_offsets, offset_point,
+    bearing_between, chord_for_km, haversine_km, neighbour_offsets, offset_point, unit_xyz,
 )
 from roadpulse.operators.knn import knn_join
 from roadpulse.operators.living_history import LivingHistory
@@ -91,7 +91,7 @@ def nearest_corridors(requests: DataFrame, history: DataFrame | LivingHistory, e
             .select("request_id", "route_rank", "corridor", "latitude", "longitude", "distance_km"))
 
 
-def _ring(n_col, start_idx=None):
+def _ring(n_col):
     return F.when(n_col > 0, F.sequence(F.lit(0), n_col - 1)).otherwise(F.array().cast("array<int>"))
 
 
@@ -131,21 +131,40 @@ def deployment_points(plan: DataFrame, lat: str = "lat", lon: str = "lon",
     return bar.unionByName(off_b).unionByName(rest)
 
 
+#: events of a cell that one task compares with a neighbour; a cell with more is dealt to several
+CELL_SHARE = 2048
+
+
 def detect_conflicts(register: DataFrame, radius_m: float = CONFLICT_RADIUS_M) -> DataFrame:
-    """Pairs of active events closer than ``radius_m`` (strict), as an
-    equi-join on grid cells of that size; each pair once (id_a < id_b)."""
+    """Pairs of active events closer than ``radius_m`` (strict), each pair
+    once (id_a < id_b), as an equi-join on grid cells of that size.
+
+    A cell meets itself and the half of its neighbours that come after it, and
+    only those that hold events: the cells' counts, one small row each, are
+    joined first.  A crowded cell's events are dealt to several tasks."""
     cell = chord_for_km(radius_m / 1000.0)
-    act = register.where(F.col("status") == "active").select("id", "lat", "lon", "personnel")
-    cx, cy, cz = grid_cell("lat", "lon", cell)
-    act = act.withColumns({"_cx": cx, "_cy": cy, "_cz": cz})
-    a = act.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "lat", "lon", "personnel")],
-                   F.explode(neighbour_offsets()).alias("_o"), "_cx", "_cy", "_cz")
-    a = a.select("*", (F.col("_cx") + F.col("_o.dx")).alias("_nx"), (F.col("_cy") + F.col("_o.dy")).alias("_ny"),
-                 (F.col("_cz") + F.col("_o.dz")).alias("_nz")).drop("_o", "_cx", "_cy", "_cz")
-    b = act.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "lat", "lon", "personnel")],
-                   F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), F.col("_cz").alias("_nz"))
-    pairs = a.join(b, ["_nx", "_ny", "_nz"]).where(F.col("a_id") < F.col("b_id"))
+    x, y, z = unit_xyz("lat", "lon")
+    act = register.where(F.col("status") == "active").select(
+        "id", "lat", "lon", "personnel", x.alias("_x"), y.alias("_y"), z.alias("_z"))
+    act = act.withColumns({f"_c{v}": F.floor(F.col(f"_{v}") / F.lit(cell)).cast("long") for v in "xyz"})
+    act = materialize(act.where(F.col("_cx").isNotNull()), "conflicts_active")
+    cells = act.groupBy("_cx", "_cy", "_cz").agg(F.ceil(F.count("*") / F.lit(CELL_SHARE)).alias("_shares"))
+    # a cell and its later neighbours that hold events, with the shares of theirs
+    later = F.filter(neighbour_offsets(), lambda o: (o["dx"] > 0) | ((o["dx"] == 0) & ((o["dy"] > 0) | ((o["dy"] == 0) & (o["dz"] >= 0)))))
+    near = cells.select("_cx", "_cy", "_cz", F.explode(later).alias("_o")).select(
+        "_cx", "_cy", "_cz", *[(F.col(f"_c{v}") + F.col(f"_o.d{v}")).alias(f"_n{v}") for v in "xyz"])
+    near = near.join(cells.select(*[F.col(f"_c{v}").alias(f"_n{v}") for v in "xyz"], "_shares"), ["_nx", "_ny", "_nz"])
+    a = act.join(near, ["_cx", "_cy", "_cz"]).select(
+        *[F.col(c).alias(f"a_{c}") for c in ("id", "lat", "lon", "personnel", "_x", "_y", "_z", "_cx", "_cy", "_cz")], "_nx", "_ny", "_nz",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"))
+    b = act.join(cells, ["_cx", "_cy", "_cz"]).select(
+        *[F.col(c).alias(f"b_{c}") for c in ("id", "lat", "lon", "personnel", "_x", "_y", "_z")],
+        *[F.col(f"_c{v}").alias(f"_n{v}") for v in "xyz"], F.pmod(F.xxhash64("id"), F.col("_shares")).alias("_share"))
+    same = (F.col("a__cx") == F.col("_nx")) & (F.col("a__cy") == F.col("_ny")) & (F.col("a__cz") == F.col("_nz"))
+    chord = sum(F.pow(F.col(f"a__{v}") - F.col(f"b__{v}"), 2) for v in "xyz")  # cheap, and never more than the arc
+    pairs = a.join(b, ["_nx", "_ny", "_nz", "_share"]).where(
+        (chord <= F.lit((cell + 1e-9) ** 2)) & (~same | (F.col("a_id") < F.col("b_id"))))
     dist_m = haversine_km("a_lat", "a_lon", "b_lat", "b_lon") * 1000.0
     return (pairs.withColumn("distance_m", dist_m).where(F.col("distance_m") < radius_m)
-            .select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "distance_m",
+            .select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), "distance_m",
                     (F.col("a_personnel") + F.col("b_personnel")).alias("combined_personnel")))
