@@ -1,4 +1,6 @@
 """Training, forecast, stream, briefing and model I/O on one small history."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +67,13 @@ def test_briefings(spark, told, tmp_path):
                        F.col("manpower.personnel").alias("personnel"))
     texts = briefing.briefing_text(told, spatial.deployment_points(plan))
     rows = {r.request_id: r.briefing for r in texts.collect()}
-    assert len(rows) == told.count() and all("EVENT IMPACT BRIEFING" in t and "Closure risk" in t for t in rows.values())
+    assert len(rows) == told.count()
+    for r in told.collect():
+        text = rows[r.request_id]
+        assert text.startswith(f"Briefing {r.request_id}, ") and "\nRisk\n- Impact " in text and "\nDuration\n" in text
+        assert f"- {r.manpower.personnel} officers" in text and ("Road closure in the rain" in text) == (r.weather_adjusted_closure is not None)
+        assert len(re.findall(r"(?m)^- B\d+ to the ", text)) == r.barricades.barricade_points
+        assert len(re.findall(r"(?m)^- P\d+ ", text)) == r.manpower.personnel and ("\nPrecedents\n" in text) == (len(r.similar_incidents) > 0)
     briefing.write_briefings(texts, str(tmp_path / "out"))
     written = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert all(f"### {k}" in written for k in rows)
