@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions import geo as G
 from roadpulse.functions import temporal as T
 from roadpulse.functions.text import cause_title, prettify
-from roadpulse.operators import cleaning, dashboards
+from roadpulse.operators import cleaning, dashboards, places
 from roadpulse.operators.living_history import LivingHistory
 from roadpulse.plans.oracle import (
     CLEAN_SQL, PROCESSED_SQL, RAW_PARSED_SQL, _r, processed_ctes, with_ctes,
@@ -1234,6 +1234,44 @@ def q_gazetteer(spark, sf_dir):
     return RD.gazetteer_lookup(q, gazetteer_df(spark, sf_dir), dashboards.bbox(hist))
 
 
+_PLACE_SEARCH_SQL = r"""
+, asked AS (SELECT query_id, query, CASE WHEN trim(query) <> '' THEN
+    trim(regexp_replace(regexp_replace(lower(trim(query)), ',\s*bengaluru.*$', ''), '\s+', ' ', 'g')) END AS key FROM place_searches),
+box AS (SELECT min(latitude) - 0.06 AS south, max(latitude) + 0.06 AS north, min(longitude) - 0.06 AS west,
+  max(longitude) + 0.06 AS east FROM processed),
+keys AS (SELECT key, list_filter(list_distinct(regexp_split_to_array(key, '[^a-z0-9]+')), lambda w: w <> '') AS ws
+  FROM (SELECT DISTINCT key FROM asked WHERE key <> '') d),
+known AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(pkey, '[^a-z0-9]+')), lambda w: w <> '') AS pws FROM (
+  SELECT *, trim(regexp_replace(lower(trim(display_name)), '\s+', ' ', 'g')) AS pkey,
+    CASE WHEN lat BETWEEN south AND north AND lon BETWEEN west AND east THEN 0 ELSE 1 END AS outside FROM places, box) p),
+qwords AS (SELECT DISTINCT unnest(ws) AS w FROM keys), pwords AS (SELECT DISTINCT unnest(pws) AS p FROM known),
+near AS (SELECT w, p, levenshtein(w, p) AS e FROM qwords, pwords
+  WHERE levenshtein(w, p) <= CASE WHEN length(w) >= 8 THEN 2 WHEN length(w) >= 4 THEN 1 ELSE 0 END
+    AND regexp_replace(w, '[^0-9]', '', 'g') = regexp_replace(p, '[^0-9]', '', 'g')),
+names AS (SELECT DISTINCT pkey, pws FROM known),
+by_words AS (SELECT key, pkey, sum(e) AS edits, greatest(any_value(m) - any_value(k), 0) AS missing FROM (
+    SELECT key, pkey, a.w, any_value(k) AS k, any_value(m) AS m, min(e) AS e
+    FROM (SELECT key, len(ws) AS k, unnest(ws) AS w FROM keys) a JOIN near USING (w)
+      JOIN (SELECT pkey, len(pws) AS m, unnest(pws) AS p FROM names) b USING (p) GROUP BY key, pkey, a.w) t
+  GROUP BY key, pkey HAVING count(*) = any_value(k)),
+whole AS (SELECT key, pkey, levenshtein(key, pkey) AS edits, 0 AS missing FROM keys, names
+  WHERE abs(length(key) - length(pkey)) <= 2
+    AND levenshtein(key, pkey) <= CASE WHEN length(key) >= 8 THEN 2 WHEN length(key) >= 4 THEN 1 ELSE 0 END
+    AND regexp_replace(key, '[^0-9]', '', 'g') = regexp_replace(pkey, '[^0-9]', '', 'g')),
+best AS (SELECT key, edits, missing, lat, lon, display_name FROM (SELECT * FROM by_words UNION ALL SELECT * FROM whole) u
+  JOIN known USING (pkey)
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY edits, missing, outside, n DESC, display_name, lat, lon) = 1)
+SELECT query_id, query, lat, lon, display_name, CAST(edits AS INT) AS edits, CAST(missing AS INT) AS missing
+FROM asked LEFT JOIN best USING (key)"""
+
+
+@register("place_search", processed_ctes("places", "place_searches") + _PLACE_SEARCH_SQL)
+def q_place_search(spark, sf_dir):
+    """C17: misspelt, partial and reordered place names against a place list."""
+    return places.search_places(FX.fixture(spark, sf_dir, "place_searches"), FX.fixture(spark, sf_dir, "places"),
+                                dashboards.bbox(processed(spark, sf_dir)))
+
+
 REQUEST_COLS = "request_id, event_cause, event_type, lat, lon, when_ist, priority_override, requested_at, shift_id"
 
 

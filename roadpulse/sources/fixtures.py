@@ -328,6 +328,31 @@ def place_queries_sql(dialect: str) -> str:
 FROM ({_BASE}) b"""
 
 
+def places_sql(dialect: str) -> str:
+    """A place list: a named road at every lattice junction, some names shared."""
+    return f"""SELECT r.node_id, p_name || ' ' || lower(p_type) || ' Road ' || substr(p_brand, 7) AS display_name,
+  r.lat, r.lon, CAST(p_size AS BIGINT) AS n FROM ({road_nodes_sql(dialect)}) r JOIN part ON p_partkey = r.node_id"""
+
+
+def place_searches_sql(dialect: str) -> str:
+    """Place names as people type them, one per place: whole, reordered and
+    partial names, a letter left out or replaced, blanks forgotten, one word
+    alone, names of nowhere and blanks."""
+    i = "CAST(1 + node_id % 11 AS INT)"
+    return f"""SELECT 'ps-' || CAST(node_id AS STRING) AS query_id, CASE node_id % 10
+    WHEN 0 THEN '  '
+    WHEN 1 THEN upper(display_name)
+    WHEN 2 THEN 'road ' || substr(p_brand, 7) || ' ' || p_name
+    WHEN 3 THEN substr(display_name, 1, {i} - 1) || substr(display_name, {i} + 1)
+    WHEN 4 THEN substr(display_name, 1, {i} - 1) || 'x' || substr(display_name, {i} + 1)
+    WHEN 5 THEN p_name || ' ' || substr(p_type, 2) || ', Bengaluru'
+    WHEN 6 THEN replace(p_name, ' ', '') || ' ' || lower(p_type) || ' Raod ' || substr(p_brand, 7)
+    WHEN 7 THEN 'Nowhere Lane ' || CAST(node_id % 13 AS STRING)
+    WHEN 8 THEN substr(p_name, 1 + instr(p_name, ' '))
+    ELSE lower(p_type) || '  ' || substr(p_name, 1, instr(p_name, ' ') - 1) || 's' END AS query
+FROM ({places_sql(dialect)}) l JOIN part ON p_partkey = l.node_id"""
+
+
 def scenario_scores_sql(dialect: str) -> str:
     """Requests with stand-in model outputs (closure probability, duration
     estimate, suggested priority) and context, so the scoring rules can be
@@ -359,6 +384,8 @@ FIXTURES = {
     "road_nodes": road_nodes_sql,
     "road_edges": road_edges_sql,
     "place_queries": place_queries_sql,
+    "places": places_sql,
+    "place_searches": place_searches_sql,
 }
 
 
