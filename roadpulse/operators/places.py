@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.operators.roads import normalise_place
+from roadpulse.session import materialize
 
 #: edits allowed from these lengths on, and the size of a gram (q)
 ONE_EDIT, TWO_EDITS, MOST_EDITS, GRAM = 4, 8, 2, 2
@@ -71,7 +72,7 @@ def similar_strings(asked: DataFrame, known: DataFrame, left: str, right: str) -
     longest = known.agg(F.max(F.char_length(right)).alias("_longest"))
     open_ = (asked.where(edits_allowed(F.col(left)) > 0).join(longest, how="cross")
              .where(F.char_length(left) <= F.col("_longest") + MOST_EDITS).select(left))
-    known_grams = _grams(known, right)
+    known_grams = materialize(_grams(known, right), "known_grams")
     frequency = known_grams.groupBy("gram", "occurrence").agg(F.count("*").alias("_places"))
     a = _prefixes(_grams(open_, left), frequency, left).where(F.col("at") <= GRAM * edits_allowed(F.col(left)))
     b = _prefixes(known_grams, frequency, right).withColumnRenamed("at", "_at")
@@ -101,24 +102,23 @@ def _by_words(keys: DataFrame, known: DataFrame) -> DataFrame:
     word the best of each word that it may stand for."""
     asked = keys.select("key", "words", F.explode("words").alias("word"))
     postings = known.select("place_key", "place", F.size("place_words").alias("_m"), F.explode("place_words").alias("place_word"))
-    similar = similar_strings(asked, postings, "word", "place_word")
+    similar = materialize(similar_strings(asked, postings, "word", "place_word"), "similar_words")
     best = postings.groupBy("place_word").agg(
         F.count("*").alias("_n"), F.min(F.struct((F.col("_m") - 1).alias("missing"), "place")).alias("_best"))
     met = asked.join(similar, "word").join(best, "place_word")
     single = met.where(F.size("words") == 1).select("key", "edits", "_best.missing", "_best.place")
-    # the rarest word of each query all of whose words stand for something
-    weights = met.where(F.size("words") > 1).groupBy("key", "words", "word").agg(F.sum("_n").alias("_n"))
-    rarest = weights.groupBy("key", "words").agg(
-        F.min(F.struct("_n", "word"))["word"].alias("word"), F.count("*").alias("_met")).where(F.col("_met") == F.size("words"))
-    pairs = (rarest.join(similar, "word").join(postings.select("place_word", "place_key"), "place_word")
-             .select("key", "words", "place_key").distinct()
-             .join(known.select("place_key", "place", "place_words"), "place_key"))
-
-    def least(w):
-        fits = F.transform("place_words", lambda p: F.when(_digits(w) == _digits(p), F.levenshtein(w, p)))
-        return F.array_min(F.filter(fits, lambda e: e <= edits_allowed(w)))
-
-    costs = pairs.withColumn("_costs", F.transform("words", least)).where(~F.exists("_costs", lambda e: e.isNull()))
+    # queries all of whose words stand for something: their rarest word, and what each word may stand for
+    meant = met.where(F.size("words") > 1).groupBy("key", "words", "word").agg(
+        F.sum("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("place_word", "edits"))).alias("_means"))
+    full = materialize(meant.groupBy("key", "words").agg(
+        F.min(F.struct("_n", "word"))["word"].alias("word"), F.collect_list("_means").alias("_means"))
+        .where(F.size("_means") == F.size("words")), "place_meanings")
+    pairs = (full.select("key", "word").join(similar, "word").join(postings.select("place_word", "place_key"), "place_word")
+             .select("key", "place_key").distinct()
+             .join(known.select("place_key", "place", "place_words"), "place_key")
+             .join(full.select("key", "words", "_means"), "key"))
+    costs = pairs.withColumn("_costs", F.transform("_means", lambda m: F.array_min(F.transform(
+        "place_words", lambda p: F.element_at(m, p))))).where(~F.exists("_costs", lambda e: e.isNull()))
     many = costs.select("key", F.aggregate("_costs", F.lit(0), lambda s, e: s + e).alias("edits"),
                         F.greatest(F.size("place_words") - F.size("words"), F.lit(0)).alias("missing"), "place")
     return single.unionByName(many)
@@ -133,8 +133,9 @@ def search_places(queries: DataFrame, places: DataFrame, bbox: DataFrame) -> Dat
     unmatched queries keep their row with NULLs; repeated ids and names each
     keep theirs."""
     q = queries.select("query_id", "query").withColumn("key", F.when(F.trim("query") != "", normalise_place("query")))
-    keys = q.where(F.col("key") != "").select("key").distinct().withColumn("words", place_words("key"))
-    known = _known_places(places, bbox)
+    # read by both ways, several times each: written once
+    keys = materialize(q.where(F.col("key") != "").select("key").distinct().withColumn("words", place_words("key")), "place_keys")
+    known = materialize(_known_places(places, bbox), "known_places")
     whole = (similar_strings(keys, known, "key", "place_key").join(known, "place_key")
              .select("key", "edits", F.lit(0).alias("missing"), "place"))
     answers = whole.unionByName(_by_words(keys, known)).groupBy("key").agg(
