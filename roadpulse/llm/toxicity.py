@@ -3,8 +3,8 @@
 The lexicon is learned: words and word beginnings that stand in toxic training
 texts far more often than in clean ones, in three grades.  Features are their
 densities, how near they stand to a second person, and the surface rates of
-capitals, punctuation and obfuscation.  Trees (MLlib) are fitted on two thirds
-of the training sample and calibrated by isotonic regression on the rest.
+capitals, punctuation and obfuscation.  Trees (MLlib) are fitted, and calibrated
+by isotonic regression, on what lexicons and trees of other rows say (``train``).
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -161,28 +162,43 @@ class ToxicityModel:
         return out.drop(x, raw, p, label, margin).withColumn(column, F.least(F.greatest(column, F.lit(0.0)), F.lit(1.0)))
 
 
+#: parts of the training rows; what is learned for a part never saw it
+PARTS = 3
+
+
 def train(docs: DataFrame, labels: DataFrame, learnable, text="text", key="doc_id", label="toxic", sample=SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` labelled documents that ``learnable`` admits.
-    With no label, or one class alone, every score is that class's (0 for none)."""
-    rows = written(labelled(docs, labels, label, learnable, text, key, sample), "toxic_sample")
+    With no label, or one class alone, every score is that class's (0 for none).
+
+    The rows are dealt by id into ``PARTS``.  Trees are fitted to features under
+    lexicons that were learned from the other parts, as those of new texts are,
+    and the calibration to margins of trees that saw neither the row nor a
+    lexicon made with it.  Scores come from the lexicon and trees of all rows."""
+    rows = written(labelled(docs, labels, label, learnable, text, key, sample).withColumn(
+        "part", F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(PARTS))), "toxic_sample")
     lexicon = learn_lexicon(rows)
     if not lexicon and rows.select("y").distinct().count() < 2:
         one = rows.agg(F.max("y")).first()[0]
         return ToxicityModel({}, None, None, one or 0)
-    ready = written(
-        rows.select("id", F.col("y").cast("double").alias("y"), features(F.col("text"), lexicon).alias("a"))
-        .coalesce(4), "toxic_features").withColumn("x", array_to_vector("a"))
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(3))
-    fitted = ready.filter(part != 0)
-    if fitted.select("y").distinct().count() < 2:
-        fitted = ready
-    trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=42,
-                          minInstancesPerNode=3).fit(fitted)
-    held = trees.transform(ready.filter(part == 0)).select("y", vector_to_array("rawPrediction")[1].alias("margin"))
+    classes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.countDistinct("y").alias("n")).collect()}
+    # too few rows to learn both classes without any of the parts: one lexicon, no calibration
+    apart = len(classes) == PARTS and min(classes.values()) == 2
+    seen = F.col("y").cast("double").alias("y")
+    if apart:
+        parts = [rows.filter(F.col("part") == p).select("id", "part", seen, features(
+            F.col("text"), learn_lexicon(rows.filter(F.col("part") != p))).alias("a")) for p in range(PARTS)]
+        ready = reduce(DataFrame.unionByName, parts)
+    else:
+        ready = rows.select("id", "part", seen, features(F.col("text"), lexicon).alias("a"))
+    ready = written(ready.coalesce(4), "toxic_features").withColumn("x", array_to_vector("a"))
+    boosted = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=42,
+                            minInstancesPerNode=3)
     isotonic = None
-    if held.select("y").distinct().count() == 2:
-        isotonic = IsotonicRegression(featuresCol="margin", labelCol="y").fit(held)
-    return ToxicityModel(lexicon, trees, isotonic)
+    if apart:
+        margins = [boosted.fit(ready.filter(F.col("part") != p)).transform(ready.filter(F.col("part") == p))
+                   .select("y", vector_to_array("rawPrediction")[1].alias("margin")) for p in range(PARTS)]
+        isotonic = IsotonicRegression(featuresCol="margin", labelCol="y").fit(reduce(DataFrame.unionByName, margins))
+    return ToxicityModel(lexicon, boosted.fit(ready), isotonic)
 
 
 FOLDS, HELD_OUT = 3, 1

@@ -145,3 +145,24 @@ def test_vectors(spark):
         assert top[0, 1] == (6, 4096) and top[0, 2] == (20, 4096) and top[20, 1] == (0, 4096)
     assert embedding_dedup.near_duplicates(vectors.limit(0)).collect() == []
     assert topk.top_k(vectors.limit(0)).collect() == []
+
+
+def test_toxicity_learns_from_other_rows(spark, monkeypatch):
+    """Lexicons and trees behind the calibration never saw the rows they speak of."""
+    rows = [(i, "you zorbal fool" if i % 3 == 0 else f"a quiet walk by the river {i}", int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen, real = [], toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda d, *a: seen.append({r["id"] for r in d.select("id").collect()}) or real(d, *a))
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels, _any()).collect()}
+    whole, *others = sorted(seen, key=len, reverse=True)
+    assert len(whole) == 90 and len(others) == toxicity.PARTS
+    left_out = [whole - o for o in others]
+    assert sum(map(len, left_out)) == 90 and set.union(*left_out) == whole
+    assert all(got[i]["predicted"] == y for i, _, y in rows)
+
+
+def test_toxicity_with_few_labels(spark):
+    docs = spark.createDataFrame([(1, "bad zorbal"), (2, "fine day"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.classify(docs, labels, _any()).collect())
