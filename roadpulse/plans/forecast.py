@@ -15,6 +15,7 @@ from roadpulse.functions import scoring as S
 from roadpulse.functions.temporal import calendar_columns
 from roadpulse.operators import ml, scoring, spatial
 from roadpulse.operators.living_history import LivingHistory
+from roadpulse.operators.registry import ModelRegistry, current_models
 from roadpulse.session import materialize
 
 def assemble_features(requests: DataFrame, history: DataFrame, models: dict,
@@ -44,13 +45,14 @@ def diversion_fallback(requests_ctx: DataFrame, history: DataFrame) -> DataFrame
                                                      x["longitude"].alias("lon"))).alias("route_points"))
 
 
-def forecast(requests: DataFrame, history: DataFrame | LivingHistory, models: dict, road_diversions: DataFrame | None = None,
+def forecast(requests: DataFrame, history: DataFrame | LivingHistory, models: dict | ModelRegistry, road_diversions: DataFrame | None = None,
              weather: DataFrame | None = None) -> DataFrame:
     """end-to-end forecast for every request (see SURVEY 1.4).
 
     ``history`` is a table of prepared incidents, or a stored
     ``LivingHistory``, of which only its aggregates and the regions of the
-    requests are read.
+    requests are read.  ``models`` is a set, or a registry, of which the
+    champion is used.
 
     ``road_diversions`` (request_id, approach_count, suggested_routes) comes
     from the road-graph operator when a graph is available; requests it
@@ -58,6 +60,7 @@ def forecast(requests: DataFrame, history: DataFrame | LivingHistory, models: di
     (request_id, is_rain, multiplier) applies the rain adjustment (F13).  The
     anomaly (F11) compares the adjusted probability with history.
     """
+    models = current_models(models)
     # context and precedents come from one index: the history's own, or one written here
     index = spatial.history_index(history)
     # context feeds the features and the corridor fallback: computed once
