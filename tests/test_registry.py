@@ -96,3 +96,18 @@ def test_retraining_meets_the_champion(spark, sf_dir, tmp_path):
     assert reg.retrain_and_challenge(r, raw, log.limit(0), cleaning.prepare_incidents, params=WEAK, n_init=1) is None
     won = reg.retrain_and_challenge(r, raw, log, cleaning.prepare_incidents, params=BETTER, n_init=1)
     assert won in (True, False) and r.history().count() == len(reg.DECISIVE)
+
+
+def test_swaps_without_forests(spark, tmp_path, monkeypatch):
+    """What the manifest holds after duels, with stand-ins for models and their scores."""
+    store = {}
+    monkeypatch.setattr(ml, "save_models", lambda models, folder: store.__setitem__(folder, models))
+    monkeypatch.setattr(ml, "load_models", lambda folder: store[folder])
+    monkeypatch.setattr(reg, "decisive_scores", lambda models, rows: {"closure_model": models["x"]} if rows.count() else {})
+    rows = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int)) AS start_ts FROM range(10)")
+    r = reg.ModelRegistry(spark, str(tmp_path / "m"))
+    assert r.champion() is None and r.challenge({"x": 0.5}, 0, rows) and r.models() == {"x": 0.5}
+    assert not r.challenge({"x": 0.4}, 0, rows) and r.models() == {"x": 0.5}
+    assert not r.challenge({"x": 0.9}, 2 ** 60, rows) and r.models() == {"x": 0.5}  # no row is late enough
+    assert r.challenge({"x": 0.6}, None, rows) and r.models() == {"x": 0.6}
+    assert r.manifest.read()[0] == 4 and r.history().where("model = 'closure_model' AND outcome = 'won'").count() == 1
