@@ -67,3 +67,12 @@ def test_a_split_by_hand():
     gain, feature, at, left = growth.best(growth.histogram(codes, np.zeros(4, int), v, feats, starts, cells), v.sum(0)[:, None], feats, starts)
     assert (feature[0], at[0]) == (1, 1) and np.isclose(gain[0], 5 - (9 + 4) / 5)
     assert left[:, 0].tolist() == [3, 0, 3, 2]
+
+
+def test_it_scores_a_stream(spark, rows, tmp_path):
+    m = fitted(rows, Forest("y", "weight", subset="sqrt", classes=True, **SETTINGS))
+    rows.write.json(f"{tmp_path}/in")
+    seen = []
+    spark.readStream.schema(rows.schema).json(f"{tmp_path}/in").writeStream.foreachBatch(
+        lambda batch, i: seen.append(m.transform(batch).where("prediction = y").count())).trigger(availableNow=True).start().awaitTermination()
+    assert sum(seen) > 3900
