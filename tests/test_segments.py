@@ -9,9 +9,9 @@ def test_the_plan_does_not_hold_every_segment_s_search(spark, tmp_path):
     rows = [(f"p{i:03d}", 12.9 + rng.random() * 0.1, 77.5 + rng.random() * 0.1) for i in range(90)]
     frame = lambda some: spark.createDataFrame(some, "id string, latitude double, longitude double")
     whole = PointIndex.build(frame(rows), str(tmp_path / "whole"))
-    parts = PointIndex.build(frame(rows[:60]), str(tmp_path / "parts"))
-    for a in (60, 75):
-        parts.add(frame(rows[a:a + 15]))
+    parts = PointIndex.build(frame(rows[:84]), str(tmp_path / "parts"))
+    for a in (84, 87):  # fewer points than neighbours: searched by cells
+        parts.add(frame(rows[a:a + 3]))
     asked = spark.createDataFrame([(f"r{i}", 12.9 + rng.random() * 0.1, 77.5 + rng.random() * 0.1) for i in range(30)],
                                   "request_id string, lat double, lon double")
     got = parts.knn(asked, 4, columns=["id"])
