@@ -320,6 +320,52 @@ def test_gibbs_takes_the_present_tables_into_account():
     assert one.tables.mean() < 5 and single.tables.mean() > 100
 
 
+def _one_by_one(sizes, parent, others, d, s, rng):
+    """Numbers of tables after every customer has moved once, in plain Python."""
+    at = [t for t, n in enumerate(sizes) for _ in range(n)]
+    for i in rng.permutation(len(at)):
+        at[i] = -1
+        sizes = Counter(t for t in at if t >= 0)
+        tables = list(sizes)
+        odds = np.array([*(sizes[t] - d for t in tables), (s + d * (others + len(tables))) * parent])
+        at[i] = [*tables, max(tables) + 1][rng.choice(len(odds), p=odds / odds.sum())]
+    return sorted(Counter(at).values())
+
+
+@pytest.mark.parametrize("sizes", [(9,), (5, 2, 1), (1, 1, 1, 1, 1, 1), (4, 4)])
+def test_a_sweep_is_as_one_by_one(sizes):
+    """Seatings after a sweep, as often as when customers move one after another."""
+    parent, others, d, s, many = 0.3, 2, 0.6, 1.0, 6000
+    rng, n = np.random.default_rng(3), sum(sizes)
+    plain = Counter(tuple(_one_by_one(list(sizes), parent, others, d, s, rng)) for _ in range(many))
+    seats = language_model.Seating(np.full(many, len(sizes)), np.tile(sizes, many))
+    language_model.gibbs(seats, np.full(many, n), np.full(many, parent), np.full(many, others), d, s, rng, np.full(many, n))
+    swept = Counter(tuple(sorted(x[x > 0].tolist())) for x in np.split(seats.size, seats.start[1:-1]))
+    for seating in plain | swept:
+        assert abs(plain[seating] - swept[seating]) < 5 * math.sqrt(plain[seating] + swept[seating] + 1), seating
+
+
+def test_every_customer_moves_in_a_sweep():
+    """Of 200 customers at tables of their own most join another when they have their turn."""
+    row = {"words": b"a", "spans": language_model._pack([1]), "classes": language_model._pack([7 << 8 | 1], kind="<u2"),
+           "counts": language_model._pack([200], kind="<i8")}
+    arrays = language_model._Seats(row)
+    seats = [language_model.Seating([200], np.ones(200)), language_model.Seating([1], [200]), language_model.Seating([1], [1])]
+    totals = np.zeros(language_model.PLACES, np.int64)
+    totals[[language_model.CUSTOMERS + (7 << 8 | 1), language_model.TABLES + (7 << 8 | 1)]] = 200
+    totals[language_model.TABLES + (7 << 8 | 2)] = 100_000  # other words, so that the parent seldom serves this one
+    totals[[language_model.PARENTS + 7, language_model.ROOT]] = 1
+    totals[language_model.KNOWN] = 1000
+    arrays.sweep(seats, language_model._Rules(totals, [0.6, 0.6, 0.6]), np.random.default_rng(6))
+    assert seats[0].customers.tolist() == [200] and seats[0].tables[0] < 110
+
+
+def test_sweeps_of_large_dishes_take_as_long_as_their_changes():
+    seats = language_model.Seating.first(np.full(20, 10**9))
+    language_model.gibbs(seats, np.full(20, 10**9), np.full(20, 1e-3), np.full(20, 1000), 0.6, 1.0, np.random.default_rng(8), np.full(20, 10**9))
+    assert (seats.customers == 10**9).all() and seats.tables.sum() > 20
+
+
 def test_customers_follow_the_children():
     rng = np.random.default_rng(4)
     for _ in range(30):
