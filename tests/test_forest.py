@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from roadpulse.operators import ml
-from roadpulse.operators.forest import Forest, _Growth
+from roadpulse.operators.forest import Forest, _codes, _Growth
 
 SETTINGS = dict(numTrees=5, maxDepth=30, minInstancesPerNode=1, maxBins=64, seed=3)
 
@@ -76,3 +76,23 @@ def test_it_scores_a_stream(spark, rows, tmp_path):
     spark.readStream.schema(rows.schema).json(f"{tmp_path}/in").writeStream.foreachBatch(
         lambda batch, i: seen.append(m.transform(batch).where("prediction = y").count())).trigger(availableNow=True).start().awaitTermination()
     assert sum(seen) > 3900
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+@pytest.mark.parametrize("alike", [True, False])
+def test_sums_of_a_branch_are_those_of_its_rows(classes, alike):
+    """Cells counted slot by slot, to the last bit as when every column is added up row by row."""
+    rng = np.random.default_rng(7)
+    growth = _Growth(np.array([2, 5, 3]), classes, dict(maxDepth=30, minInstancesPerNode=1, seed=1, subset="all"))
+    y = rng.integers(0, 3, 500).astype(float) if classes else rng.random(500)
+    w = (np.array([0.3, 1.1, 2.7])[y.astype(int)] if classes else np.ones(500)) if alike else rng.random(500)
+    drawn, cell = rng.integers(1, 4, 500), rng.integers(0, 6, 500)
+    columns, add = growth.counted(y, w, drawn)
+    v = growth.sums(y, w, drawn)
+    assert len(columns) == (2 if classes else 3) + (not alike)
+    assert (add(cell, columns, 6) == np.stack([np.bincount(cell, s, 6) for s in v.T[:-1]])).all()
+
+
+def test_missing_numbers_stand_above_all_bins():
+    x = np.array([[0.0, 1.0], [1.0, 2.5], [np.nan, np.nan], [0.5, 9.0]])
+    assert _codes(x, [[0.5], [1.0, 2.0, 3.0]]).tolist() == [[0, 0], [1, 2], [1, 3], [0, 3]]
