@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from roadpulse.operators import ml
-from roadpulse.operators.forest import Forest, _codes, _Growth
+from roadpulse.operators.forest import Forest, _codes, _Growth, walk
 
 SETTINGS = dict(numTrees=5, maxDepth=30, minInstancesPerNode=1, maxBins=64, seed=3)
 
@@ -96,3 +96,21 @@ def test_sums_of_a_branch_are_those_of_its_rows(classes, alike):
 def test_missing_numbers_stand_above_all_bins():
     x = np.array([[0.0, 1.0], [1.0, 2.5], [np.nan, np.nan], [0.5, 9.0]])
     assert _codes(x, [[0.5], [1.0, 2.0, 3.0]]).tolist() == [[0, 0], [1, 2], [1, 3], [0, 3]]
+
+
+def test_walk_goes_to_the_leaf_of_every_row():
+    rng = np.random.default_rng(9)
+    growth = _Growth(np.array([2, 200, 256]), 2, dict(maxDepth=30, minInstancesPerNode=1, seed=1, subset="all"))
+    codes = np.column_stack([rng.integers(0, b, 400) for b in growth.bins]).astype(np.uint8)
+    y = rng.integers(0, 2, 400).astype(float)
+    t = growth.grow(codes, y, np.ones(400), np.ones(400, int), 0, rng)
+    feature, bins, left = np.frombuffer(t["feature"], "<i2"), np.frombuffer(t["bin"], "u1"), np.frombuffer(t["left"], "<i4")
+
+    def leaf(row):
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] + int(row[feature[at]] > bins[at])
+        return at
+
+    assert walk(feature, bins, left, codes).tolist() == [leaf(row) for row in codes]
+    assert len(walk(feature, bins, left, codes[:0])) == 0 and walk(np.array([-1]), bins[:1], left[:1], codes).tolist() == [0] * 400
