@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.operators import ml
 from roadpulse.operators.forest import Forest, _codes, _Growth, walk
+from roadpulse.plans.forecast import dealt_for_scoring
 
 SETTINGS = dict(numTrees=5, maxDepth=30, minInstancesPerNode=1, maxBins=64, seed=3)
 
@@ -114,3 +115,11 @@ def test_walk_goes_to_the_leaf_of_every_row():
 
     assert walk(feature, bins, left, codes).tolist() == [leaf(row) for row in codes]
     assert len(walk(feature, bins, left, codes[:0])) == 0 and walk(np.array([-1]), bins[:1], left[:1], codes).tolist() == [0] * 400
+
+
+def test_requests_are_dealt_to_tasks_before_they_are_scored(spark):
+    """All of them, by their number: a join may have put them into one partition."""
+    asked = spark.range(300).select(F.col("id").alias("request_id")).coalesce(1)
+    dealt = dealt_for_scoring(asked)
+    assert dealt.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in dealt.collect()) == list(range(300))
